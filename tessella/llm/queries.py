@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessella.llm import mixing
+from tessella.llm import mixing, packing, token_counts
 
 QUERIES = {
+    "op2_token_counts": token_counts.count_documents,
     "op3_mixing": mixing.mix,
+    "op7_best_fit_packing": packing.pack_documents,
 }
 
 ORACLES = {
