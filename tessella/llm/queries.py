@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import mixing, packing, token_counts
+from tessella.llm import mixing, packing, quality_cnn, token_counts, toxicity
 
 QUERIES = {
     "op2_token_counts": token_counts.count_documents,
     "op3_mixing": mixing.mix,
+    "op6_toxicity": toxicity.classify,
     "op7_best_fit_packing": packing.pack_documents,
+    "op8_quality_classifier": quality_cnn.classify,
 }
 
 ORACLES = {
