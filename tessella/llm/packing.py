@@ -13,7 +13,9 @@ rows with a null doc_id are packed too; an empty table gives an empty result; ot
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -31,7 +33,9 @@ from tessella.llm.common import Scratch
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker keeps; the memo starts anew beyond that, with the same results.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_500_000
+#: Latin-1 letters, then perhaps punctuation: words that become one or two runs of tokens, each closed by one token that ends a run.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,!?;:]*)")
 _WORKER: dict = {}
 
 
@@ -39,7 +43,7 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids (little-endian unsigned 32-bit), equal to the tokenizer's own.
 
     The tokenizer drops white space before merging, so the ids of a text are those of its space-separated words;
-    each distinct word is encoded once. Texts with a separator that only Python knows go to the tokenizer whole.
+    each distinct word is encoded once. Only separators that both know are split at.
     """
     if path in _WORKER:
         return _WORKER[path]
@@ -47,16 +51,34 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     from tokenizers import Tokenizer
 
     tokenizer, memo = Tokenizer.from_file(path), {}
+    suffix = json.loads(tokenizer.to_str())["model"]["end_of_word_suffix"]
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for token, i in tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
+
+    def learn(new: list[bytes]) -> None:
+        plain, other = [], []
+        for word in new:
+            found = PLAIN.fullmatch(text := word.decode()) if suffix else None
+            (plain if found else other).append((word, text, 2 if found and found[1] else 1))
+        for at in range(0, len(plain), 2000):  # many words in one call; the tokens that end a run tell them apart
+            some = plain[at : at + 2000]
+            ids = np.array(tokenizer.encode(" ".join(x[1] for x in some), add_special_tokens=False).ids, "<u4")
+            last = np.flatnonzero(ends[ids]) + 1
+            cuts = last[np.cumsum([x[2] for x in some]) - 1].tolist()
+            raw, start = ids.tobytes(), 0
+            for (word, _, _), cut in zip(some, cuts):
+                memo[word] = raw[4 * start : 4 * cut]
+                start = cut
+        for at in range(0, len(other), 4096):
+            some = other[at : at + 4096]
+            for (word, _, _), found in zip(some, tokenizer.encode_batch_fast([x[1] for x in some], add_special_tokens=False)):
+                memo[word] = np.array(found.ids, "<u4").tobytes()
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [text.encode().split() for text in texts]
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        new = list({word for words in split for word in words if word not in memo})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for word, found in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                memo[word] = np.array(found.ids, "<u4").tobytes()
+        learn(list({word for words in split for word in words if word not in memo}))
         return [b"".join([memo[word] for word in words]) for words in split]
 
     _WORKER[path] = encode
