@@ -63,6 +63,15 @@ def n_words(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each computed once a row.
+
+    Adjacent projections are merged by the optimizer, and a lambda would then compute an array that it looks into anew
+    for every element; a generator that makes one row keeps the projections apart.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def running_total(scratch: Scratch, name: str, df: DataFrame, order: list[Column], value: str) -> DataFrame:
     """``df`` with ``_before``: the sum of ``value`` over all rows that come earlier in ``order``.
 

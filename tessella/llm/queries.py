@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessella.llm import mixing, packing, quality_cnn, token_counts, toxicity
+from tessella.llm import mixing, packing, quality_cnn, quality_rules, token_counts, toxicity
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.rate,
     "op2_token_counts": token_counts.count_documents,
     "op3_mixing": mixing.mix,
     "op6_toxicity": toxicity.classify,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_quality_rules": quality_rules.RATE_SQL,
     "op3_mixing": mixing.MIX_SQL,
 }
