@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from tessella.llm import mixing, packing, quality_cnn, quality_rules, token_counts, toxicity
+from tessella.llm import embed_dedup, mixing, packing, quality_cnn, quality_rules, token_counts, toxicity, warc_merkle
 
 QUERIES = {
     "op1_quality_rules": quality_rules.rate,
     "op2_token_counts": token_counts.count_documents,
     "op3_mixing": mixing.mix,
+    "op5_merkle_fixity": warc_merkle.audit_pages,
     "op6_toxicity": toxicity.classify,
     "op7_best_fit_packing": packing.pack_documents,
     "op8_quality_classifier": quality_cnn.classify,
+    "op10_embedding_links": embed_dedup.link_embeddings,
 }
 
 ORACLES = {
     "op1_quality_rules": quality_rules.RATE_SQL,
     "op3_mixing": mixing.MIX_SQL,
+    "op5_merkle_fixity": warc_merkle.AUDIT_SQL,
+    "op10_embedding_links": embed_dedup.LINK_SQL,
 }
