@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessella.llm import embed_dedup, mixing, packing, quality_cnn, quality_rules, token_counts, toxicity, warc_merkle
+from tessella.llm import embed_dedup, minhash, mixing, packing, quality_cnn, quality_rules, token_counts, toxicity, warc_merkle
 
 QUERIES = {
     "op1_quality_rules": quality_rules.rate,
     "op2_token_counts": token_counts.count_documents,
     "op3_mixing": mixing.mix,
+    "op4_minhash_forest": minhash.link_documents,
     "op5_merkle_fixity": warc_merkle.audit_pages,
     "op6_toxicity": toxicity.classify,
     "op7_best_fit_packing": packing.pack_documents,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op1_quality_rules": quality_rules.RATE_SQL,
     "op3_mixing": mixing.MIX_SQL,
+    "op4_minhash_forest": minhash.LINK_SQL,
     "op5_merkle_fixity": warc_merkle.AUDIT_SQL,
     "op10_embedding_links": embed_dedup.LINK_SQL,
 }
