@@ -35,6 +35,9 @@ HASHES = ORDERS * DEPTH
 WINDOW = 3
 #: Candidates of a lower similarity by the one-bit sketches are over eight standard deviations under the threshold.
 SKETCH_BITS, SKETCH_LEAST = 128, 0.45
+#: Rounds in which each class tries its most alike candidate; then the rest of each region is compared in blocks.
+ROUNDS = 2
+BLOCK, COLUMNS = 512, 8192
 
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -205,29 +208,83 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 
 def connect(scratch: Scratch, pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links that connect all classes which the confirmed candidates connect: (a, b)."""
+    """Confirmed links (a, b): rounds in which each class tries the most alike candidate of another component."""
     links, open_pairs = None, pairs
-    for k in range(3):
-        if k < 2:  # each class with the most alike one of another component
-            both = open_pairs.unionByName(open_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "alike"))
-            best = both.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b"))
-            chosen = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            chosen = open_pairs
-        chosen = scratch.save(chosen.select("a", "b"), f"chosen-{k}")
+    for k in range(ROUNDS):
+        both = open_pairs.unionByName(open_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "alike"))
+        best = both.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b"))
+        chosen = scratch.save(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"chosen-{k}")
         found = scratch.save(confirmed(chosen, texts, width, percent), f"links-{k}")
         links = found if links is None else links.union(found)
-        if k == 2:
-            return links
-        named = components(scratch, links, f"cc-{k}")
-        rest = open_pairs.join(chosen, ["a", "b"], "left_anti")
-        for side in ("a", "b"):
-            rest = rest.join(named.select(F.col("id").alias(side), F.col("component").alias(f"_{side}")), side, "left")
-        rest = rest.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b", "alike")
-        open_pairs = scratch.save(rest, f"open-{k}")
+        if k + 1 < ROUNDS:
+            named = components(scratch, links, f"cc-{k}")
+            rest = open_pairs.join(chosen, ["a", "b"], "left_anti")
+            for side in ("a", "b"):
+                rest = rest.join(named.select(F.col("id").alias(side), F.col("component").alias(f"_{side}")), side, "left")
+            rest = rest.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b", "alike")
+            open_pairs = scratch.save(rest, f"open-{k}")
     return links
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left, right) sizes of the intersections, by products of membership matrices over the elements on both sides."""
+    flat = [np.concatenate(x) for x in (left, right)]
+    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    places = []
+    for sets, values in zip((left, right), flat):
+        at = np.searchsorted(both, values)
+        known = at < len(both)
+        known[known] = both[at[known]] == values[known]
+        places.append((np.repeat(np.arange(len(sets)), [len(x) for x in sets])[known], at[known]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, len(both), COLUMNS):
+        part = []
+        for sets, (rows, at) in zip((left, right), places):
+            member = np.zeros((len(sets), COLUMNS), np.float32)
+            inside = (at >= first) & (at < first + COLUMNS)
+            member[rows[inside], at[inside] - first] = 1
+            part.append(member)
+        out += part[0] @ part[1].T
+    return np.rint(out).astype(np.int64)
+
+
+def rest_of_regions(scratch: Scratch, pairs: DataFrame, links: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Further links (a, b): every class outside its region's largest component against all classes of the region, in blocks.
+
+    A region is what candidates connect, confirmed or not. Whatever a window or a round has left out lies within one.
+    """
+    regions = components(scratch, pairs, "region").select(F.col("id").alias("set"), F.col("component").alias("region"))
+    named = components(scratch, links, "linked").select(F.col("id").alias("set"), "component")
+    members = regions.join(named, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    members = scratch.save(members, "members-of-regions")
+    sizes = members.groupBy("region", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("_largest"), F.count("*").alias("_parts"), F.sum("n").alias("_rows"), F.max("n").alias("_most"))
+    mixed_regions = scratch.save(largest.where("_parts > 1"), "mixed-regions")
+    # Blocks by hash: about BLOCK classes each, however large the region.
+    inside = members.join(mixed_regions, "region").join(texts, "set")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    place = F.pmod(F.xxhash64("set"), F.lit(1 << 20))
+    inside = inside.withColumns({"_t": blocks(F.col("_rows")), "_q": blocks(F.col("_rows") - F.col("_most"))})
+    side = ["region", "component", "set", "text"]
+    targets = inside.select(*side, (place % F.col("_t")).alias("t"), F.explode(F.sequence(F.lit(0), F.col("_q") - 1)).alias("q"), F.lit(0).alias("_side"))
+    queries = inside.where("component <> _largest").select(*side, F.explode(F.sequence(F.lit(0), F.col("_t") - 1)).alias("t"), (place % F.col("_q")).alias("q"), F.lit(1).alias("_side"))
+    queries = queries.select(*targets.columns)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        t, q = (rows[rows["_side"] == k] for k in (0, 1))
+        if not len(t) or not len(q):
+            return pd.DataFrame({"a": [], "b": []})
+        left, right = (shingle_sets(x["text"].tolist(), width) for x in (q, t))
+        common = common_counts(left, right)
+        total = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])
+        u, v = np.nonzero(100 * common >= percent * (total - common))
+        found = pd.DataFrame({"a": q["set"].to_numpy()[u], "b": t["set"].to_numpy()[v], "from": q["component"].to_numpy()[u], "to": t["component"].to_numpy()[v]})
+        found = found[found["from"] != found["to"]].drop_duplicates(["a", "to"])  # one link to each component connects the same
+        return found[["a", "b"]]
+
+    return scratch.save(targets.union(queries).groupBy("region", "t", "q").applyInPandas(run, "a binary, b binary"), "links-rest")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, row, n_shingles, component_id, kept."""
     scratch = Scratch(spark, "minhash")
@@ -240,6 +297,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(wanted, "row").select("set", "text").dropDuplicates(["set"])
     texts = scratch.save(texts, "texts")
     links = connect(scratch, pairs, texts, width, percent)
+    links = links.union(rest_of_regions(scratch, pairs, links, texts, width, percent))
     named = components(scratch, links, "cc")
     members = rows.select("doc_id", "row", "n_shingles", "set").join(named.withColumnRenamed("id", "set"), "set", "left")
     members = scratch.save(members.withColumn("component", F.coalesce("component", "set")), "members")
