@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import embed_dedup, minhash, mixing, packing, quality_cnn, quality_rules, token_counts, toxicity, warc_merkle
+from tessella.llm import embed_dedup, minhash, mixing, packing, quality_cnn, quality_rules, suffix_dedup, token_counts, toxicity, warc_merkle
 
 QUERIES = {
     "op1_quality_rules": quality_rules.rate,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.classify,
     "op7_best_fit_packing": packing.pack_documents,
     "op8_quality_classifier": quality_cnn.classify,
+    "op9_suffix_array": suffix_dedup.remove_repeats,
     "op10_embedding_links": embed_dedup.link_embeddings,
 }
 
@@ -21,5 +22,6 @@ ORACLES = {
     "op3_mixing": mixing.MIX_SQL,
     "op4_minhash_forest": minhash.LINK_SQL,
     "op5_merkle_fixity": warc_merkle.AUDIT_SQL,
+    "op9_suffix_array": suffix_dedup.remove_repeats,
     "op10_embedding_links": embed_dedup.LINK_SQL,
 }
