@@ -1,7 +1,88 @@
-"""Corpus pipeline placeholder until its stages exist."""
+"""The corpus pipeline: five stages over ``documents``, each applying one operator of tessella.llm.
+
+Stages run in order; each works on all rows that its predecessor kept. All but the last return the columns of
+documents. Null texts are empty; rows with equal ids stay separate rows; an empty table runs through.
+
+1. toxicity: documents whose compression-distance score reaches the threshold go.
+2. near duplicates: one document of each group stays, the one with the smallest id (of equal ids, one).
+3. repeated passages: bytes that a string of 200 bytes covers which also starts elsewhere are cut out; a document of
+   which nothing is left goes.
+4. mixing: documents are taken by the curriculum, as often as the mix takes them, in training order.
+5. packing: the pieces of all documents with their sequences.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import minhash, mixing, packing, suffix_dedup, toxicity
+from tessella.llm.common import Scratch
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents under the toxicity threshold."""
+    model = toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(docs, model).where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates at five words and a similarity of 0.8."""
+    marks = minhash.near_duplicates(spark, docs, 5, 80)
+    # A group without an id keeps its rows; of rows equal in id and text one stays.
+    kept = marks.where("kept OR component_id IS NULL").select("row").distinct()
+    once = docs.withColumn("_row", F.xxhash64("doc_id", "text")).dropDuplicates(["_row"])
+    return once.join(kept, F.col("_row") == kept["row"], "left_semi").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their repeated passages; characters that a cut splits go as well."""
+    found = suffix_dedup.deduplicated(spark, docs)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            texts = [None if t is None else suffix_dedup.kept_bytes(t.encode(), s).decode(errors="ignore") for t, s in zip(rows["text"], rows["_spans"])]
+            rows["_gone"] = [bool(len(s)) and not (t or "").strip() for t, s in zip(texts, rows["_spans"])]
+            rows["text"] = texts
+            rows["n_chars"] = [0 if t is None else len(t) for t in texts]
+            yield rows[[*COLUMNS, "_gone"]]
+
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, _gone boolean"
+    return found.select(*COLUMNS, "_spans").mapInPandas(cut, ddl).where("NOT _gone").drop("_gone")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in the order of the curriculum, each as often as the mix takes it."""
+    return mixing.curriculum(spark, docs).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece with its sequence and place."""
+    return packing.pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("suffix_array", cut_repeats),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Compression lengths, minimum hashes and tokenizers are beyond SQL; tests hold every stage against its plain form.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each stage's result written to the shared folder and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

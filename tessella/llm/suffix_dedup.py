@@ -226,7 +226,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def kept_bytes(data: bytes, spans: list) -> bytes:
-    if not spans:
+    if not len(spans):
         return data
     out, at = [], 0
     for span in spans:

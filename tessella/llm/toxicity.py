@@ -22,6 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.training import logistic, remainder, sample, sigmoid
 
@@ -145,20 +146,24 @@ def train(rows: list[tuple[str, int]]) -> dict | None:
     return {"ordinary": content[0], "toxic": content[1], "weights": logistic(np.array(x), np.array(y, float))}
 
 
-def score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """``docs`` as (doc_id, score), whole texts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+def scored(docs: DataFrame, model: dict | None) -> DataFrame:
+    """``docs`` with _score, of whole texts; ``docs`` has a column text and may have any others."""
+    if model is None:
+        return docs.withColumn("_score", F.lit(0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(model["ordinary"], model["toxic"])
         w = model["weights"]
         for batch in batches:
             x = np.array([coder.features(normal(t.as_py())) for t in batch.column("text")]).reshape(-1, len(w) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigmoid(x @ w[:-1] + w[-1]))], schema=schema)
+            yield batch.append_column("_score", pa.array(sigmoid(x @ w[:-1] + w[-1])))
 
-    if model is None:
-        return docs.select("doc_id", F.lit(0.0).alias("score"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+
+
+def score(docs: DataFrame, model: dict | None) -> DataFrame:
+    """(doc_id, score) of whole texts."""
+    return scored(docs.select("doc_id", "text"), model).select("doc_id", F.col("_score").alias("score"))
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> dict | None:
