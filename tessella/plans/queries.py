@@ -223,11 +223,11 @@ def global_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register("gap_segments", f"""
-WITH {SERIES.strip()}, {segments_sql("user_id", "series", "-45.0::DOUBLE", "3", "2")} SELECT user_id, "start", "end" FROM found
+WITH {SERIES.strip()}, {segments_sql("user_id", "series", "-45.0::DOUBLE", "3", "1")} SELECT user_id, "start", "end" FROM found
 """)
 def gap_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Sounds in each user's series."""
-    return segments.gap_segments(series(spark, folder), ["user_id"], F.lit(-45.0), F.lit(3), F.lit(2))
+    return segments.gap_segments(series(spark, folder), ["user_id"], F.lit(-45.0), F.lit(3), F.lit(1))
 
 
 @register("segment_counts", f"""
@@ -338,14 +338,14 @@ def plateau(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register("regular_runs", """
-WITH o AS (SELECT user_id, epoch_ms(ts) AS t FROM events), g AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS gap FROM o),
-r AS (SELECT *, sum(CASE WHEN gap BETWEEN 36000000 * 0.6 AND 36000000 * 1.6 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t) AS run FROM g),
+WITH o AS (SELECT user_id, epoch_us(ts) AS t FROM events), g AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS gap FROM o),
+r AS (SELECT *, sum(CASE WHEN gap BETWEEN 36000000000 * 0.6 AND 36000000000 * 1.6 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t) AS run FROM g),
 n AS (SELECT user_id, run, min(t) AS first, max(t) AS last, count(*) AS n FROM r GROUP BY user_id, run)
 SELECT user_id, first, last, n FROM n QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) = 1
 """)
 def regular_runs(spark: SparkSession, folder: str) -> DataFrame:
-    onsets = table(spark, folder, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
-    return segments.regular_runs(onsets, ["user_id"], F.lit(36_000_000))
+    onsets = table(spark, folder, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return segments.regular_runs(onsets, ["user_id"], F.lit(36_000_000_000))
 
 
 @register("rolloff", """
