@@ -34,6 +34,15 @@ def per_file(df: DataFrame, function: Callable[[str, pd.Series], list[tuple]], s
     return df.mapInPandas(run, schema)
 
 
+def load(path: str) -> tuple[np.ndarray, int]:
+    """All samples and the rate; no samples and rate 0 of a file that can't be read."""
+    try:
+        with open(path, "rb") as f:
+            return read_wav(f)
+    except (OSError, ValueError):
+        return np.zeros((0, 1)), 0
+
+
 def frames_in(f) -> int:
     from tessella.sources.audio import wav_header
 
@@ -81,8 +90,9 @@ def envelope(files: DataFrame) -> DataFrame:
     """Level series for a graph: frames of 20 ms, longer in long files, so that at most 8,000 stand for a file."""
 
     def one(path, row):
-        with open(path, "rb") as f:
-            x, rate = read_wav(f)
+        x, rate = load(path)
+        if not rate:
+            return []
         seconds = max(dsp.FRAME_S, len(x) / max(rate, 1) / 8000)
         levels = dsp.frame_levels(dsp.mono(x), max(1, int(rate * seconds)), keep_tail=True)
         return [(row.path, np.round(levels, 1), seconds, rate, len(x) / max(rate, 1), dsp.peak_level(x))]
@@ -110,8 +120,7 @@ def fingerprints(files: DataFrame) -> DataFrame:
     """(path, vector, model): 48 acoustic features."""
 
     def one(path, row):
-        with open(path, "rb") as f:
-            x, rate = read_wav(f)
+        x, rate = load(path)
         return [(row.path, dsp.fingerprint(x, rate).tolist(), "features48")] if rate else []
 
     return per_file(files.select("path", "uri"), one, "path string, vector array<float>, model string")
@@ -122,9 +131,8 @@ def loops(files: DataFrame, min_s: float = 0.0) -> DataFrame:
     fields = "start_s double, end_s double, min_s double, short boolean, crossfade_ms double, periodic boolean, period_ms double, strength double, duration double"
 
     def one(path, row):
-        with open(path, "rb") as f:
-            x, rate = read_wav(f)
-        return [(row.path, *dsp.suggest_loop(x, rate, min_s).values())] if len(x) > rate // 20 else []
+        x, rate = load(path)
+        return [(row.path, *dsp.suggest_loop(x, rate, min_s).values())] if rate and len(x) > rate // 20 else []
 
     return per_file(files.select("path", "uri"), one, f"path string, {fields}")
 
@@ -138,8 +146,7 @@ def chop_files(files: DataFrame) -> DataFrame:
     """(parent, uri, content) of 16-bit pieces; ``files`` has segments, an array of (start, end) in seconds. Empty ones get no number."""
 
     def one(path, row):
-        with open(path, "rb") as f:
-            x, rate = read_wav(f)
+        x, rate = load(path)
         parts = dsp.pieces(x, rate, [(s["start"], s["end"]) for s in row.segments])
         return [(row.path, numbered(row.uri, f"_chop{k:02d}.wav"), wav_bytes(p, rate)) for k, p in enumerate(parts, 1)]
 
@@ -150,8 +157,7 @@ def loop_files(files: DataFrame) -> DataFrame:
     """(parent, uri, content) of 16-bit loops; ``files`` has start_s, end_s, crossfade_ms and curve."""
 
     def one(path, row):
-        with open(path, "rb") as f:
-            x, rate = read_wav(f)
+        x, rate = load(path)
         region = dsp.pieces(x, rate, [(row.start_s, row.end_s)])
         return [(row.path, numbered(row.uri, "_loop.wav"), wav_bytes(dsp.crossfade_loop(r, round(row.crossfade_ms / 1000 * rate), row.curve), rate)) for r in region]
 
@@ -166,9 +172,8 @@ def copies_16_bit(files: DataFrame) -> DataFrame:
         target = numbered(row.uri, "_16bit.wav")
         if os.path.exists(local(target)):
             return []
-        with open(path, "rb") as f:
-            x, rate = read_wav(f)
-        return [(row.path, target, wav_bytes(dsp.normal_peak(x), rate))]
+        x, rate = load(path)
+        return [(row.path, target, wav_bytes(dsp.normal_peak(x), rate))] if rate else []
 
     return per_file(files.select("path", "uri"), one, "parent string, uri string, content binary")
 
@@ -226,10 +231,11 @@ def audio_vectors(files: DataFrame, embedder, settings: dict) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for at in range(0, len(rows), 32):
-                some, mels = rows.iloc[at : at + 32], []
-                for uri in some["uri"]:
-                    with open(local(uri), "rb") as f:
-                        mels.append(dsp.model_mel(*read_wav(f), settings))
+                some = rows.iloc[at : at + 32]
+                sounds = [load(local(uri)) for uri in some["uri"]]
+                some, mels = some[[bool(r) for _, r in sounds]], [dsp.model_mel(x, r, settings) for x, r in sounds if r]
+                if not mels:
+                    continue
                 yield pd.DataFrame({"path": some["path"], "vector": embedder.embed(mels).tolist(), "model": embedder.name})
 
     return files.select("path", "uri").mapInPandas(run, "path string, vector array<float>, model string")
