@@ -16,7 +16,8 @@ LOCAL_SHARED = "/tmp/checkpoints/tessella"
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go when it is done, and long texts reach Python in small batches.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,12 +33,14 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet, drop the shuffle files it took, and read it again."""
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
+        before = {key: self.spark.conf.get(key) for key in WRITING}
         try:
+            for key, value in WRITING.items():
+                self.spark.conf.set(key, value)
             df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for key, value in before.items():
+                self.spark.conf.set(key, value)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
@@ -108,26 +111,70 @@ def _arrow(df: DataFrame) -> list[pa.Field]:
     return list(to_arrow_schema(df.schema))
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links as an edge from each node to the smallest of its component, itself included."""
+    nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = flat[: len(u)], flat[len(u) :]
+    least = np.arange(len(nodes))
+    while True:
+        before = least.copy()
+        np.minimum.at(least, a, least[b])
+        np.minimum.at(least, b, least[a])
+        least = least[least]
+        if (before == least).all():
+            return nodes, nodes[least]
+
+
+#: Edges that a task contracts at a time.
+CONTRACT = 200_000
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components, fewer and shorter: within each piece of a partition, stars, a > b."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u, v = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in ("a", "b"))
+        nodes, least = stars(u, v)
+        real = nodes != least
+        return pa.RecordBatch.from_arrays([pa.array(x[real], parts[0].column("a").type) for x in (nodes, least)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for batch in batches:
+            parts, n = [*parts, batch], n + batch.num_rows
+            if n >= CONTRACT:
+                yield flush(parts)
+                parts, n = [], 0
+        if n:
+            yield flush(parts)
+
+    return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
     """(id, component): the smallest id that each endpoint of ``edges`` (a, b) reaches.
 
-    Alternating large-star and small-star rounds: each hooks neighbours to the smallest one, in a plain
-    group-by with a partial minimum, until no edge changes; no group is collected, links stay on the executors.
+    Each task first contracts its own edges. Then alternating large-star and small-star rounds hook neighbours to the
+    smallest one, in plain group-bys with a partial minimum, until no edge changes; no group is collected, and links
+    stay on the executors.
     """
-    now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    k = 0
+    now, k = scratch.save(contracted(edges).distinct(), f"{name}-0"), 0
+    size = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = size(now)
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = scratch.save(large.where("a <> b").distinct(), f"{name}-{k}l")
+        large = scratch.save(contracted(large.where("a <> b")).distinct(), f"{name}-{k}l")
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(low, large.a == low.u)
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        after = scratch.save(small.where("a <> b").distinct(), f"{name}-{k + 1}")
-        # Settled when the edges are stars: no centre is itself hooked, and the edges did not change.
-        counts = [x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for x in (now, after)]
+        small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        now = scratch.save(contracted(small.where("a <> b")).distinct(), f"{name}-{k + 1}")
         scratch.drop(f"{name}-{k}", f"{name}-{k}l")
-        now, k = after, k + 1
-        if counts[0] == counts[1]:
-            return now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id").unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+        k, after = k + 1, size(now)
+        if after == before:
+            # Stars: each node has one edge, to its component.
+            ends = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("component")), F.struct(F.col("b").alias("id"), F.col("b").alias("component")))
+            return now.select(F.explode(ends).alias("e")).select("e.*").distinct()
+        before = after

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, components, running_total
+from tessella.llm.common import Scratch, components, running_total, stars
 
 THRESHOLD = 0.93
 PROJECTIONS = 32
@@ -76,20 +76,6 @@ def links(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, n
     return u[good], v[good]
 
 
-def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The links as an edge from each node to the smallest of its component."""
-    nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = flat[: len(u)], flat[len(u) :]
-    least = np.arange(len(nodes))
-    while True:
-        before = least.copy()
-        np.minimum.at(least, a, least[b])
-        np.minimum.at(least, b, least[a])
-        least = least[least]
-        if (before == least).all():
-            return nodes, nodes[least]
-
-
 def meet(threshold: float):
     """applyInPandas function over one pair of blocks: (cid, n, other), links counted by weight, and star edges."""
 

@@ -4,7 +4,7 @@ A document's shingles are its distinct runs of ``width`` words, as 64-bit hashes
 A class gets ORDERS * DEPTH minimum hashes; each of the ORDERS runs of DEPTH hashes is a key. All classes are sorted by
 each key; neighbours in an order share the longest prefixes. A class takes the nearest classes of each order, as deep as
 the region is dense, down to a common prefix of LEAST hashes. Candidates are confirmed on the full sets, most alike
-first; once two classes are known to be connected, no more candidates between them are looked at.
+first; classes that are connected then need no more candidates between them.
 
 Orders are range-sorted, so a region that holds a third of all classes is spread over tasks; the few rows at the ends
 of each range are matched across ranges afterwards. Places that the window leaves out in a dense region are gone through
@@ -35,8 +35,8 @@ HASHES = ORDERS * DEPTH
 WINDOW = 3
 #: Candidates of a lower similarity by the one-bit sketches are over eight standard deviations under the threshold.
 SKETCH_BITS, SKETCH_LEAST = 128, 0.45
-#: Rounds in which each class tries its most alike candidate; then the rest of each region is compared in blocks.
-ROUNDS = 2
+#: Candidates that each class tries first, the most alike ones; then the rest of each region is compared in blocks.
+FIRST = 4
 BLOCK, COLUMNS = 512, 8192
 
 _rng = np.random.default_rng(20240229)
@@ -207,23 +207,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
 
 
-def connect(scratch: Scratch, pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b): rounds in which each class tries the most alike candidate of another component."""
-    links, open_pairs = None, pairs
-    for k in range(ROUNDS):
-        both = open_pairs.unionByName(open_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "alike"))
-        best = both.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b"))
-        chosen = scratch.save(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"chosen-{k}")
-        found = scratch.save(confirmed(chosen, texts, width, percent), f"links-{k}")
-        links = found if links is None else links.union(found)
-        if k + 1 < ROUNDS:
-            named = components(scratch, links, f"cc-{k}")
-            rest = open_pairs.join(chosen, ["a", "b"], "left_anti")
-            for side in ("a", "b"):
-                rest = rest.join(named.select(F.col("id").alias(side), F.col("component").alias(f"_{side}")), side, "left")
-            rest = rest.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b", "alike")
-            open_pairs = scratch.save(rest, f"open-{k}")
-    return links
+def best_links(scratch: Scratch, pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between each class and its FIRST most alike candidates."""
+    both = pairs.select(F.explode(F.array(F.struct("a", "b", "alike"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "alike"))).alias("e")).select("e.*")
+    # A class has at most 2 * WINDOW * ORDERS candidates in its own orders and as many in theirs.
+    best = both.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("alike", "b")), asc=False), 1, FIRST).alias("_best"))
+    flat = best.select("a", F.explode("_best.b").alias("b"))
+    chosen = scratch.save(flat.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "chosen")
+    return scratch.save(confirmed(chosen, texts, width, percent), "links")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -248,10 +239,11 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return np.rint(out).astype(np.int64)
 
 
-def rest_of_regions(scratch: Scratch, pairs: DataFrame, links: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Further links (a, b): every class outside its region's largest component against all classes of the region, in blocks.
+def linked(scratch: Scratch, pairs: DataFrame, links: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(set, component) of all classes that have candidates.
 
-    A region is what candidates connect, confirmed or not. Whatever a window or a round has left out lies within one.
+    After ``links``, every class outside its region's largest component is compared with all classes of the region, in
+    blocks. A region is what candidates connect, confirmed or not; whatever a window has left out lies within one.
     """
     regions = components(scratch, pairs, "region").select(F.col("id").alias("set"), F.col("component").alias("region"))
     named = components(scratch, links, "linked").select(F.col("id").alias("set"), "component")
@@ -263,55 +255,62 @@ def rest_of_regions(scratch: Scratch, pairs: DataFrame, links: DataFrame, texts:
     # Blocks by hash: about BLOCK classes each, however large the region.
     inside = members.join(mixed_regions, "region").join(texts, "set")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-    place = F.pmod(F.xxhash64("set"), F.lit(1 << 20))
+    spot = F.pmod(F.xxhash64("set"), F.lit(1 << 20))
     inside = inside.withColumns({"_t": blocks(F.col("_rows")), "_q": blocks(F.col("_rows") - F.col("_most"))})
     side = ["region", "component", "set", "text"]
-    targets = inside.select(*side, (place % F.col("_t")).alias("t"), F.explode(F.sequence(F.lit(0), F.col("_q") - 1)).alias("q"), F.lit(0).alias("_side"))
-    queries = inside.where("component <> _largest").select(*side, F.explode(F.sequence(F.lit(0), F.col("_t") - 1)).alias("t"), (place % F.col("_q")).alias("q"), F.lit(1).alias("_side"))
+    targets = inside.select(*side, (spot % F.col("_t")).alias("t"), F.explode(F.sequence(F.lit(0), F.col("_q") - 1)).alias("q"), F.lit(0).alias("_side"))
+    queries = inside.where("component <> _largest").select(*side, F.explode(F.sequence(F.lit(0), F.col("_t") - 1)).alias("t"), (spot % F.col("_q")).alias("q"), F.lit(1).alias("_side"))
     queries = queries.select(*targets.columns)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         t, q = (rows[rows["_side"] == k] for k in (0, 1))
         if not len(t) or not len(q):
             return pd.DataFrame({"a": [], "b": []})
+        names = np.array(sorted(set(rows["component"])), object)
+        place = lambda x: np.array([at[c] for c in x["component"]], int)
+        at = {c: k for k, c in enumerate(names)}
         left, right = (shingle_sets(x["text"].tolist(), width) for x in (q, t))
         common = common_counts(left, right)
         total = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])
         u, v = np.nonzero(100 * common >= percent * (total - common))
-        found = pd.DataFrame({"a": q["set"].to_numpy()[u], "b": t["set"].to_numpy()[v], "from": q["component"].to_numpy()[u], "to": t["component"].to_numpy()[v]})
-        found = found[found["from"] != found["to"]].drop_duplicates(["a", "to"])  # one link to each component connects the same
-        return found[["a", "b"]]
+        ends = np.unique(np.column_stack([place(q)[u], place(t)[v]]), axis=0)
+        ends = ends[ends[:, 0] != ends[:, 1]]
+        return pd.DataFrame({"a": names[ends[:, 0]], "b": names[ends[:, 1]]})
 
-    return scratch.save(targets.union(queries).groupBy("region", "t", "q").applyInPandas(run, "a binary, b binary"), "links-rest")
+    # Components that a further link connects, as links between their names.
+    further = scratch.save(targets.union(queries).groupBy("region", "t", "q").applyInPandas(run, "a binary, b binary"), "further")
+    joined = components(scratch, further, "joined").select(F.col("id").alias("component"), F.col("component").alias("_joined"))
+    return members.join(joined, "component", "left").select("set", F.coalesce("_joined", "component").alias("component"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, row, n_shingles, component_id, kept."""
+    """One row per document: doc_id, row (hash of id and text), n_shingles, component (null without shingles), component_id, kept."""
     scratch = Scratch(spark, "minhash")
     rows = scratch.save(signed(docs, width), "signed")
     classes = rows.where("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("row"), F.first("signature").alias("signature"))
     pairs = candidates(scratch, orders(classes), "forest", ["part", "key", "set"])
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     wanted = scratch.save(rows.where("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("row")).join(wanted, "set"), "wanted")
-    # One text of each class that has candidates; the whole corpus is shuffled once, at most these texts again.
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(wanted, "row").select("set", "text").dropDuplicates(["set"])
+    # One text of each class that has candidates; the whole corpus is shuffled once, at most these texts again. What is
+    # wanted grows with the corpus, so it is merged at every size.
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(wanted.hint("merge"), "row").select("set", "text").dropDuplicates(["set"])
     texts = scratch.save(texts, "texts")
-    links = connect(scratch, pairs, texts, width, percent)
-    links = links.union(rest_of_regions(scratch, pairs, links, texts, width, percent))
-    named = components(scratch, links, "cc")
-    members = rows.select("doc_id", "row", "n_shingles", "set").join(named.withColumnRenamed("id", "set"), "set", "left")
+    links = best_links(scratch, pairs, texts, width, percent)
+    named = linked(scratch, pairs, links, texts, width, percent)
+    members = rows.select("doc_id", "row", "n_shingles", "set").join(named, "set", "left")
     members = scratch.save(members.withColumn("component", F.coalesce("component", "set")), "members")
-    least = members.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join deals both sides anew and can split a component that holds a third of all rows.
+    least = scratch.save(members.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     out = members.join(least, "component", "left")
     component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "row", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "row", "n_shingles", "component", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def link_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: components of all documents at three words and a similarity of 0.85."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(spark, docs, 3, 85).drop("row")
+    return near_duplicates(spark, docs, 3, 85).drop("row", "component")
 
 
 LINK_SQL = r"""
