@@ -37,7 +37,7 @@ LENGTH, SEED, STEP = 200, 32, 16
 #: Different rows of one family that a task may gather, and symbols of one suffix array.
 FAMILY, SYMBOLS = 4096, 60_000
 #: Bytes of texts that are looked at together; a longer text is a slab of its own.
-SLAB = 1 << 19
+SLAB = 1 << 18
 BYTE = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -250,3 +250,22 @@ def remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     return docs.mapInArrow(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+REMOVE_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+sized AS (SELECT r, doc_id, b, octet_length(b)::BIGINT AS n FROM docs),
+strings AS (SELECT r, i, md5(hex(array_slice(b, i, i + 199))) AS h FROM (SELECT r, b, unnest(range(1, n - 198)) AS i FROM sized WHERE n >= 200)),
+twice AS (SELECT r, i FROM strings QUALIFY count(*) OVER (PARTITION BY h) > 1),
+marked AS (SELECT r, i, CASE WHEN i - lag(i) OVER o <= 200 THEN 0 ELSE 1 END AS new FROM twice WINDOW o AS (PARTITION BY r ORDER BY i)),
+runs AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM marked),
+spans AS (SELECT r, min(i) AS s, max(i) + 200 AS e FROM runs GROUP BY r, run),
+pieces AS (SELECT r, s, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 1) AS before, e FROM spans),
+kept AS (
+  SELECT p.r, string_agg(CASE WHEN s > before THEN hex(array_slice(b, before, s - 1)) ELSE '' END, '' ORDER BY s) AS front,
+    max(e) AS last, sum(e - s)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans
+  FROM pieces p JOIN sized d ON p.r = d.r GROUP BY p.r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN k.r IS NULL THEN b ELSE unhex(front || CASE WHEN last <= n THEN hex(array_slice(b, last, n)) ELSE '' END) END) AS kept_sha256
+FROM sized d LEFT JOIN kept k ON d.r = k.r
+"""
