@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as P
-from tessella.llm import minhash, packing, suffix_dedup, toxicity
+from tessella.llm import minhash, packing
 from tests.llm.test_classifiers import corpus
 
 
