@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm import minhash, mixing, packing, suffix_dedup, toxicity
-from tessella.llm.common import Scratch
+from tessella.llm.common import Scratch, frugal
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,7 +59,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(given.get(c, batch.column(c)) for c in columns), gone], names=[*columns, "_gone"])
 
     schema = T.StructType([*(T.StructField("n_chars", T.LongType()) if f.name == "n_chars" else f for f in docs.schema), T.StructField("_gone", T.BooleanType())])
-    return found.select(*docs.columns, "_spans").mapInArrow(cut, schema).where("NOT _gone")
+    return found.select(*docs.columns, "_spans").mapInArrow(frugal(cut), schema).where("NOT _gone")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -50,6 +52,23 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def frugal(function):
+    """A function over batches that, when a task is done, gives its memory back: workers live on and serve other stages."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except OSError:  # another C library, which keeps its own counsel
+                pass
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -149,7 +168,7 @@ def contracted(edges: DataFrame) -> DataFrame:
         if n:
             yield flush(parts)
 
-    return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
+    return edges.select("a", "b").mapInArrow(frugal(run), f"a {kind}, b {kind}")
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:

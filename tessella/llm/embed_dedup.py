@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, components, running_total, stars
+from tessella.llm.common import Scratch, components, frugal, running_total, stars
 
 THRESHOLD = 0.93
 PROJECTIONS = 32
@@ -114,7 +114,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
 
     kind = classes.schema["embedding"].dataType.simpleString()
     label = classes.schema["label"].dataType.simpleString()
-    lined = scratch.save(classes.mapInPandas(first_line, f"_name string, weight long, least {classes.schema['least'].dataType.simpleString()}, label {label}, embedding {kind}, dim int, _line double").withColumn("_one", F.lit(1).cast("long")), "lined")
+    lined = scratch.save(classes.mapInPandas(frugal(first_line), f"_name string, weight long, least {classes.schema['least'].dataType.simpleString()}, label {label}, embedding {kind}, dim int, _line double").withColumn("_one", F.lit(1).cast("long")), "lined")
     placed = scratch.save(running_total(scratch, "sorted", lined, [F.col("label"), F.col("dim"), F.col("_line"), F.col("_name")], "_one").withColumnRenamed("_before", "cid"), "placed")
     starts = placed.groupBy("label", "dim").agg(F.min("cid").alias("_first"))
     placed = scratch.save(placed.join(starts, ["label", "dim"]).withColumn("block", F.floor((F.col("cid") - F.col("_first")) / BLOCK)), "blocks")

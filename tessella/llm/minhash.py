@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, components, partitions
+from tessella.llm.common import Scratch, components, frugal, partitions
 
 ORDERS, DEPTH, LEAST = 16, 8, 4
 HASHES = ORDERS * DEPTH
@@ -109,7 +109,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(signs, pa.binary())], schema=schema)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
-    return keyed.mapInArrow(run, "doc_id long, row long, n_shingles long, set binary, signature binary")
+    return keyed.mapInArrow(frugal(run), "doc_id long, row long, n_shingles long, set binary, signature binary")
 
 
 def orders(classes: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def orders(classes: DataFrame) -> DataFrame:
             for k in range(ORDERS):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array([x.tobytes() for x in keys[:, k]], pa.binary()), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary())], schema=schema)
 
-    return classes.select("set", "signature").mapInArrow(run, "part int, key binary, set binary, sketch binary")
+    return classes.select("set", "signature").mapInArrow(frugal(run), "part int, key binary, set binary, sketch binary")
 
 
 def neighbours(rows: pd.DataFrame, window: int) -> pd.DataFrame:
@@ -173,7 +173,7 @@ def candidates(scratch: Scratch, rows: DataFrame, name: str, order: list[str], w
             yield tail.assign(a=tail["set"], b=None, alike=None, range=me, place=max(place - len(tail), 0) + np.arange(len(tail)))[["a", "b", "alike", "part", "key", "sketch", "range", "place"]]
 
     ranged = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    found = scratch.save(ranged.select("part", "key", "set", "sketch").mapInPandas(run, schema), f"{name}-near")
+    found = scratch.save(ranged.select("part", "key", "set", "sketch").mapInPandas(frugal(run), schema), f"{name}-near")
     ends = found.where("b IS NULL").select("part", "key", F.col("a").alias("set"), "sketch", "range", "place").distinct()
 
     def stitch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,7 +204,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
     left = texts.select(F.col("set").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("set").alias("b"), F.col("text").alias("right"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(frugal(run), "a binary, b binary")
 
 
 def best_links(scratch: Scratch, pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:

@@ -28,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch
+from tessella.llm.common import Scratch, frugal
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker keeps; the memo starts anew beyond that, with the same results.
-MEMO_WORDS = 1_500_000
+#: Words whose ids a task keeps; the memo starts anew beyond that, with the same results.
+MEMO_WORDS = 600_000
 #: Latin-1 letters, then perhaps punctuation: words that become one or two runs of tokens, each closed by one token that ends a run.
-PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,!?;:]*)")
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([!-&(-/:-@\\[-`{-~]*)")
 _WORKER: dict = {}
 
 
@@ -62,7 +62,7 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
             (plain if found else other).append((word, text, 2 if found and found[1] else 1))
         for at in range(0, len(plain), 2000):  # many words in one call; the tokens that end a run tell them apart
             some = plain[at : at + 2000]
-            ids = np.array(tokenizer.encode(" ".join(x[1] for x in some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(x[1] for x in some)], add_special_tokens=False)[0].ids, "<u4")
             last = np.flatnonzero(ends[ids]) + 1
             cuts = last[np.cumsum([x[2] for x in some]) - 1].tolist()
             raw, start = ids.tobytes(), 0
@@ -81,6 +81,7 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         learn(list({word for words in split for word in words if word not in memo}))
         return [b"".join([memo[word] for word in words]) for words in split]
 
+    encode.forget = memo.clear
     _WORKER[path] = encode
     return encode
 
@@ -104,9 +105,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                         rows.append((doc, piece, start // 4, n, zlib.crc32(own), part, seen[n]))
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        encode.forget()
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, _part int, _rank long"
-    return docs.select("doc_id", "text").mapInArrow(cut, ddl)
+    return docs.select("doc_id", "text").mapInArrow(frugal(cut), ddl)
 
 
 class Capacities:

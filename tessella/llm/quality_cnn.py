@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.common import frugal
 from tessella.llm.training import logistic, remainder, sample, sigmoid
 
 WIDTH, FILTERS = 6, 16
@@ -152,7 +153,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, score double")
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> dict | None:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch
+from tessella.llm.common import Scratch, frugal
 from tessella.llm.suffix_array import repeated_windows
 
 LENGTH, SEED, STEP = 200, 32, 16
@@ -160,7 +160,7 @@ def find_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeats(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """(text, at, mask) for each distinct text with repeated strings; ``docs`` has (text digest, data)."""
-    found = scratch.save(docs.mapInArrow(find_anchors, "text binary, hash long, place int"), "anchors")
+    found = scratch.save(docs.mapInArrow(frugal(find_anchors), "text binary, hash long, place int"), "anchors")
     place = F.xxhash64("text", "place")  # copies of a text are one place
     shared = found.groupBy("hash").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).where("_a <> _b").select("hash")
     shared = scratch.save(shared, "shared")
@@ -168,7 +168,7 @@ def repeats(scratch: Scratch, docs: DataFrame) -> DataFrame:
     places = scratch.save(places, "places")
     scratch.drop("anchors", "shared")
     once = docs.join(places.select("text"), "text", "left_semi").groupBy("text").agg(F.first("data").alias("data"))
-    rows = scratch.save(once.join(places, "text").mapInArrow(find_cores, "text binary, core binary, left binary, right binary, at int"), "rows")
+    rows = scratch.save(once.join(places, "text").mapInArrow(frugal(find_cores), "text binary, core binary, left binary, right binary, at int"), "rows")
     counted = rows.groupBy("core", "left", "right").agg(F.count("*").alias("n"))
     counted = scratch.save(counted, "counted")
     families = counted.groupBy("core").agg(F.count("*").alias("_rows"), F.sum("n").alias("_all")).where("_all > 1")
@@ -181,7 +181,7 @@ def repeats(scratch: Scratch, docs: DataFrame) -> DataFrame:
     joined = counted.join(families, "core").where(whole)
     copies = joined.where("_rows = 1").select("core", "left", "right", bits.alias("mask"))
     sorted_rows = joined.where((F.col("_rows") > 1) & (F.col("_rows") <= FAMILY)).select("core", "left", "right", "n").repartition("core").sortWithinPartitions("core")
-    sorted_rows = sorted_rows.mapInPandas(find_repeats, "core binary, left binary, right binary, mask long")
+    sorted_rows = sorted_rows.mapInPandas(frugal(find_repeats), "core binary, left binary, right binary, mask long")
     large = joined.where(F.col("_rows") > FAMILY).select("core", "left", "right", "n", F.explode(windows).alias("a"))
     window = F.expr(f"concat(substring(left, length(left) - a + 1, a), substring(right, 1, {STEP - 1} - a))")
     large = scratch.save(large.withColumn("w", window), "large")
@@ -219,7 +219,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     kind = "array<struct<start:bigint,end:bigint>>"
     single = found.withColumnRenamed("text", "_name").join(copies, "_name", "left_anti").groupBy("_name").agg(F.collect_list(F.struct("at", "mask")).alias("_at"))
-    single = single.mapInPandas(merge, f"_name binary, _spans {kind}")
+    single = single.mapInPandas(frugal(merge), f"_name binary, _spans {kind}")
     whole = copies.select("_name", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("_bytes").cast("long").alias("end"))).cast(kind).alias("_spans"))
     spans = scratch.save(single.union(whole), "spans")
     return named.join(spans, "_name", "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(kind))).drop("_name")
@@ -249,7 +249,7 @@ def remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((doc, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return docs.mapInArrow(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.mapInArrow(frugal(digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 REMOVE_SQL = r"""
