@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm.common import frugal
 from tessella.llm.training import logistic, remainder, sample, sigmoid
 
 WINDOW = 48
 #: zstandard's level, and the shortest match: under the length of a short word with its spaces, over that of common endings.
-LEVEL, MATCH = 8, 6
-GRAM = 5
+LEVEL, MATCH = 12, 6
+GRAM = 6
 #: Bytes that UTF-8 text does not start with, known to both dictionaries.
 PREAMBLE = bytes(range(128, 160))
 #: Saved bytes of which the windows are counted.
@@ -87,7 +88,8 @@ def toxic_fragments(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
         hit = np.isin(_gram_at(data), marked)
         edges = np.flatnonzero(np.diff(np.r_[0, hit.view(np.int8), 0]))
         out += [data[a : b + GRAM - 1] for a, b in zip(edges[::2], edges[1::2])]
-    return out
+    # The outermost bytes are chance neighbours of what marks a passage.
+    return [f[1:-1] if len(f) > GRAM + 2 else f for f in out]
 
 
 def raw_dictionary(size: int, samples: list[bytes]) -> bytes:
@@ -112,10 +114,11 @@ class Coder:
             self.pair.append(zstandard.ZstdCompressor(dict_data=content, compression_params=settings).compress)
 
     def features(self, data: bytes) -> np.ndarray:
-        """Logarithms of the number of windows in which the toxic dictionary saves so many bytes, and of all windows."""
+        """Logarithms of the number of windows in which the toxic dictionary saves so many bytes, of all windows, and of the shares."""
         plain, toxic = self.pair
         saved = np.array([len(plain(PREAMBLE + w)) - len(toxic(PREAMBLE + w)) for w in windows(data)], int)
-        return np.r_[np.log1p((saved[:, None] >= STEPS).sum(axis=0)), np.log(max(len(saved), 1))]
+        counts, n = (saved[:, None] >= STEPS).sum(axis=0), max(len(saved), 1)
+        return np.r_[np.log1p(counts), np.log(n), np.log1p(20 * counts / n)]
 
 
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
@@ -158,7 +161,7 @@ def scored(docs: DataFrame, model: dict | None) -> DataFrame:
             x = np.array([coder.features(normal(t.as_py())) for t in batch.column("text")]).reshape(-1, len(w) - 1)
             yield batch.append_column("_score", pa.array(sigmoid(x @ w[:-1] + w[-1])))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
