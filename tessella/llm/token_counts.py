@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch
+from tessella.llm.common import Scratch, frugal
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -42,7 +42,7 @@ def count_tokens(path: str, texts: list[str]) -> list[int]:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            _WORKER[path] = lambda some: [len(x) for x in model.encode(some, num_threads=1)]
+            _WORKER[path] = lambda some: [len(model.encode(x)) for x in some]  # one at a time: a list of ids is large
         else:
             import tokenizers
 
@@ -85,8 +85,9 @@ def count(spark: SparkSession, docs: DataFrame, path: str, cache: str, limit: in
     # The partial aggregate keeps one copy of a text for each task before the shuffle, so hot texts stay small.
     misses = keyed.join(old, "digest", "left_anti") if old.head(1) else keyed
     misses = misses.groupBy("digest").agg(F.first("text").alias("text"))
-    misses.mapInArrow(encode(path), "digest binary, n_tokens long").write.mode("append").parquet(folder)
-    counts = stored(spark, folder).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    misses.mapInArrow(frugal(encode(path)), "digest binary, n_tokens long").write.mode("append").parquet(folder)
+    # Written, so that the join deals both sides anew and can split a text that a third of all rows share.
+    counts = Scratch(spark, "token-counts").save(stored(spark, folder).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     out = keyed.select("doc_id", "digest", "n_bytes").join(counts, "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
