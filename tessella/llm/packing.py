@@ -55,10 +55,13 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     ends = np.zeros(tokenizer.get_vocab_size(), bool)
     ends[[i for token, i in tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
 
+    plain_word = PLAIN.fullmatch if suffix else lambda _: None
+
     def learn(new: list[bytes]) -> None:
         plain, other = [], []
         for word in new:
-            found = PLAIN.fullmatch(text := word.decode()) if suffix else None
+            text = word.decode()
+            found = plain_word(text)
             (plain if found else other).append((word, text, 2 if found and found[1] else 1))
         for at in range(0, len(plain), 2000):  # many words in one call; the tokens that end a run tell them apart
             some = plain[at : at + 2000]
@@ -78,8 +81,8 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         split = [text.encode().split() for text in texts]
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        learn(list({word for words in split for word in words if word not in memo}))
-        return [b"".join([memo[word] for word in words]) for words in split]
+        learn(list(set().union(*split).difference(memo)))
+        return [b"".join(map(memo.__getitem__, words)) for words in split]
 
     encode.forget = memo.clear
     _WORKER[path] = encode
