@@ -36,7 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates at five words and a similarity of 0.8: that of the smallest id, an
     unknown one last. Texts without words are in no group and all stay."""
-    marks = minhash.near_duplicates(spark, docs, 5, 80)
+    marks = minhash.grouped(Scratch(spark, "near-duplicates"), docs, 5, 80)
     first = F.min_by("row", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
     chosen = marks.where("component IS NOT NULL").groupBy("component").agg(first.alias("row")).select("row", F.lit(True).alias("_one"))
     apart = marks.where("component IS NULL").select("row", F.lit(False).alias("_one")).distinct()

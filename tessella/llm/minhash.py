@@ -283,9 +283,8 @@ def linked(scratch: Scratch, pairs: DataFrame, links: DataFrame, texts: DataFram
     return members.join(joined, "component", "left").select("set", F.coalesce("_joined", "component").alias("component"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, row (hash of id and text), n_shingles, component (null without shingles), component_id, kept."""
-    scratch = Scratch(spark, "minhash")
+def grouped(scratch: Scratch, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, row (hash of id and text), n_shingles, component (null without shingles)."""
     rows = scratch.save(signed(docs, width), "signed")
     classes = rows.where("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("row"), F.first("signature").alias("signature"))
     pairs = candidates(scratch, orders(classes), "forest", ["part", "key", "set"])
@@ -298,19 +297,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     links = best_links(scratch, pairs, texts, width, percent)
     named = linked(scratch, pairs, links, texts, width, percent)
     members = rows.select("doc_id", "row", "n_shingles", "set").join(named, "set", "left")
-    members = scratch.save(members.withColumn("component", F.coalesce("component", "set")), "members")
+    named = members.withColumn("component", F.coalesce("component", "set"))
+    return scratch.save(named.select("doc_id", "row", "n_shingles", "component"), "members")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, row, n_shingles, component_id, kept."""
+    scratch = Scratch(spark, "minhash")
+    members = grouped(scratch, docs, width, percent)
     # Written, so that the join deals both sides anew and can split a component that holds a third of all rows.
     least = scratch.save(members.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     out = members.join(least, "component", "left")
     component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "row", "n_shingles", "component", component.alias("component_id"))
+    out = out.select("doc_id", "row", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def link_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: components of all documents at three words and a similarity of 0.85."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(spark, docs, 3, 85).drop("row", "component")
+    return near_duplicates(spark, docs, 3, 85).drop("row")
 
 
 LINK_SQL = r"""
