@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -15,6 +16,10 @@ SENTINELS = {"score": -1.0, "silence_db": -999.0, "min_gap_s": -1.0, "min_sound_
 #: The most distinct texts for tick boxes, the most keywords shown, and the open end of a range.
 TICK_LIMIT, KEYWORD_LIMIT, OPEN_MAX = 25, 500, 1e18
 FULL_RANGE = 1e-9
+#: Where no cluster names a shared folder (single-machine tests).
+LOCAL_SHARED = "/tmp/checkpoints/tessella"
+#: Bits of a row's number within its partition, in Spark's increasing ids.
+WITHIN_BITS = 33
 
 
 @dataclass(frozen=True)
@@ -134,6 +139,32 @@ def reordered(df: DataFrame, order: list[int]) -> DataFrame:
     return df.select(*(df.columns[k] for k in repaired_order(order, len(df.columns))))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """All rows of ``df`` with their place in the ascending ``order``, from 1; ``order`` ends in a unique column.
+
+    Rows are range-sorted, so no task has all of them, and written to the shared folder: partitions that were computed
+    anew could have other bounds. Only the number of rows of each partition comes to the driver. A page is ``row_range``.
+    """
+    spark = df.sparkSession
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    keyed = df.withColumns({f"_k{k}": c for k, c in enumerate(order)})
+    keys = [f"_k{k}" for k in range(len(order))]
+    ranged = keyed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    ranged = ranged.drop(*keys).withColumn("_at", F.monotonically_increasing_id())
+    folder = f"{shared}/numbered-{uuid.uuid4().hex}"
+    ranged.write.parquet(folder)
+    ranged = spark.read.schema(ranged.schema).parquet(folder)
+    part = F.shiftright("_at", WITHIN_BITS).cast("int")
+    starts, total = [], 0
+    for p, n in sorted(ranged.groupBy(part.alias("_part")).count().collect()):
+        starts.append((p, total))
+        total += n
+    offsets = spark.createDataFrame(starts, "_part int, _start long")
+    within = F.col("_at").bitwiseAND(F.lit((1 << WITHIN_BITS) - 1))
+    out = ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return out.withColumn(name, F.col("_start") + within + 1).select(*df.columns, name)
+
+
 def row_range(df: DataFrame, order: list[Column], first: int, last: int) -> DataFrame:
     """The rows between two display rows (from 1, either way round), both included."""
     low, high = sorted((first, last))

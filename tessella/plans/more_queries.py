@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import columns as C
@@ -289,6 +289,6 @@ def cumulative_energy(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("catalog_order", "SELECT page_id, row_number() OVER (ORDER BY lower(url), page_id) AS place FROM pages QUALIFY place <= 500")
 def catalog_order(spark: SparkSession, folder: str) -> DataFrame:
-    """The first page of the catalog in its own order."""
-    first = table(spark, folder, "pages").select("page_id", F.lower("url").alias("u")).orderBy("u", "page_id").limit(500)
-    return first.select("page_id", F.row_number().over(Window.orderBy("u", "page_id")).alias("place"))
+    """Every record of the catalog with its place in the catalog's own order."""
+    pages = table(spark, folder, "pages").select("page_id", F.lower("url").alias("u"))
+    return view.numbered(pages, [F.col("u"), F.col("page_id")]).select("page_id", "place")

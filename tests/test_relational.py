@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessella import schema
 from tessella.functions import columns as C
 from tessella.operators import catalog, edits, keywords, segments, vectors, view
+from tessella.plans import more_queries as _registered  # noqa: F401
+from tessella.plans import registry
 from tessella.sources import stores, tracklists
 
 
@@ -256,3 +258,17 @@ def test_stores(spark, tmp_path):
     assert stores.view_state('{"order": [2, 2, 9], "sort": 99, "search": 5}', 3) == {"order": [2, 0, 1], "sort": 2, "descending": False, "search": "5"}
     assert stores.view_state("nonsense", 2)["order"] == [0, 1]
     assert stores.preprocessor({"fft_window_size": 512, "max_length_s": 2})["nb_max_samples"] == 96000
+
+
+def test_catalog_order_numbers_every_page(spark, tmp_path):
+    urls = [f"http://{'Ab'[k % 2]}/{k * 7919 % 1203 // 3}" for k in range(1203)]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = registry.QUERIES["catalog_order"](spark, str(tmp_path)).collect()
+    order = sorted(range(1203), key=lambda k: (urls[k].lower(), k))
+    assert sorted((r.place, r.page_id) for r in found) == list(enumerate(order, 1))
+
+
+def test_numbering_of_no_rows_and_of_one_key(spark):
+    assert view.numbered(spark.range(0), [F.col("id")]).count() == 0
+    found = view.numbered(spark.range(999).withColumn("same", F.lit("x")), [F.col("same"), -F.col("id")]).collect()
+    assert sorted((r.place, r.id) for r in found) == [(k + 1, 998 - k) for k in range(999)]
