@@ -93,9 +93,14 @@ def sort_key(df: DataFrame, column: str) -> Column:
     return F.coalesce(F.col(column).cast("double"), F.lit(SENTINELS.get(column, -1.0)))
 
 
+def matching(df: DataFrame, spec: ViewSpec, bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """The rows that the view shows, in any order."""
+    return reduce(lambda d, p: d.where(p), predicates(spec, bounds), df)
+
+
 def apply(df: DataFrame, spec: ViewSpec, key: str = "path", bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """The rows that the view shows, in its order; ties by ``key``. A ranked base keeps its rank unless a column is chosen."""
-    shown = reduce(lambda d, p: d.where(p), predicates(spec, bounds), df)
+    shown = matching(df, spec, bounds)
     if spec.sort is None:
         return shown.orderBy("rank") if spec.ranked else shown.orderBy(F.lower(F.col(key).cast("string")), key)
     order = sort_key(df, spec.sort)

@@ -53,13 +53,13 @@ WHERE contains(lower(concat_ws(' ', coalesce(text, ''), coalesce(lang, ''), coal
   AND n_chars BETWEEN 200 AND 5000 QUALIFY place <= 500
 """)
 def view_text_filter(spark: SparkSession, folder: str) -> DataFrame:
-    """The first page of a view: text terms, a range, sidecar defaults and natural sort."""
+    """Every row of a view with its place: text terms, a range, sidecar defaults and natural sort."""
     labels = table(spark, folder, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     spec = view.ViewSpec(text="the src1", text_fields=("text", "lang", "source"), ranges={"n_chars": (200, 5000)}, sort="source")
-    # Predicates reach the scan below the join; the page is cut before its rows are numbered.
-    shown = view.apply(table(spark, folder, "documents").join(labels, "doc_id", "left"), spec, key="doc_id").limit(500)
-    order = [C.natural_key(F.coalesce(F.col("source"), F.lit(""))), F.col("doc_id")]
-    return shown.select("doc_id", "lang", "source", "n_chars", F.coalesce("quality", F.lit(0)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"), F.row_number().over(Window.orderBy(*order)).alias("place"))
+    # Predicates reach the scan below the join; texts end there.
+    shown = view.matching(table(spark, folder, "documents"), spec).drop("text").join(labels, "doc_id", "left")
+    values = shown.select("doc_id", "lang", "source", "n_chars", F.coalesce("quality", F.lit(0)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+    return view.numbered(values, [view.sort_key(values, spec.sort), F.col("doc_id")])
 
 
 @register("view_column_filters", """

@@ -272,3 +272,13 @@ def test_numbering_of_no_rows_and_of_one_key(spark):
     assert view.numbered(spark.range(0), [F.col("id")]).count() == 0
     found = view.numbered(spark.range(999).withColumn("same", F.lit("x")), [F.col("same"), -F.col("id")]).collect()
     assert sorted((r.place, r.id) for r in found) == [(k + 1, 998 - k) for k in range(999)]
+
+
+def test_the_text_view_shows_every_match(spark, tmp_path):
+    docs = [(k, "The rain" if k % 5 else "rain", "en", f"src1{k % 13}", 300) for k in range(1500)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, 1, 0), (7, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = registry.QUERIES["view_text_filter"](spark, str(tmp_path)).collect()
+    order = sorted((d for d in docs if d[0] % 5), key=lambda d: (int(d[3][3:]), d[0]))
+    assert sorted((r.place, r.doc_id) for r in found) == [(n, d[0]) for n, d in enumerate(order, 1)]
+    assert {(r.quality, r.toxic) for r in found if r.doc_id == 7} == {(1, 1)} and {(r.quality, r.toxic) for r in found if r.doc_id != 7} == {(0, -1)}
