@@ -178,6 +178,18 @@ def copies_16_bit(files: DataFrame) -> DataFrame:
     return per_file(files.select("path", "uri"), one, "parent string, uri string, content binary")
 
 
+def wav_copies(files: DataFrame) -> DataFrame:
+    """(parent, uri, content) of 16-bit WAV files decoded from other formats; needs ``soundfile``, and fails on what it can't read."""
+
+    def one(path, row):
+        import soundfile
+
+        x, rate = soundfile.read(path, dtype="float64", always_2d=True)
+        return [(row.path, numbered(row.uri, ".wav"), wav_bytes(dsp.normal_peak(x), rate))]
+
+    return per_file(files.select("path", "uri"), one, "parent string, uri string, content binary")
+
+
 class HashingEmbedder:
     """A deterministic stand-in where no text model is at hand: hashed words. It is not equivalent to a learned model."""
 

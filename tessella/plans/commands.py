@@ -77,7 +77,11 @@ def execute(library: Library, a: argparse.Namespace) -> dict:
     if a.command == "loopify":
         values = {"start_s": float(spec["start_s"]), "end_s": float(spec["end_s"]), "crossfade_ms": float(spec.get("crossfade_ms", 200)), "curve": spec.get("curve", "equal_power")}
         return library.derive(analysis.loop_files(file.withColumns({k: F.lit(v) for k, v in values.items()})))
-    return library.derive(analysis.copies_16_bit(file))  # to_wav and to_16bit
+    if a.command == "to_wav":
+        if a.target.lower().endswith(".wav"):
+            raise ValueError("source is already a .wav")
+        return library.derive(analysis.wav_copies(file))
+    return library.derive(analysis.copies_16_bit(file))
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:

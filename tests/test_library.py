@@ -1,9 +1,11 @@
 """A small library of sounds, end to end, and the streams."""
 
 import json
+import os
 
 import numpy as np
 import pytest
+from pyspark import SparkFiles
 from pyspark.sql import functions as F
 from tessella.operators import analysis
 from tessella.plans import commands
@@ -107,6 +109,37 @@ def test_derived_files(library, capsys):
     assert rows["bursts_chop01.wav"].library == "Rain" and rows["bursts_chop02.wav"].duration == 0.5
 
 
+def test_other_formats_are_decoded_or_fail(spark, tmp_path, capsys):
+    root, store = tmp_path / "sounds", tmp_path / "store"
+    folder = root / "Bundle" / "Sup - Rain_"
+    folder.mkdir(parents=True)
+    (folder / "rain.mp3").write_bytes(b"no sound")
+    (folder / "tone.wav").write_bytes(audio.wav_bytes(tone(0.1), RATE))
+    small = Library(spark, str(root), str(store))
+    small.index()
+    paths = {r.filename: r.path for r in small.table("catalog").collect()}
+
+    def run(name):
+        code = commands.main(["to_wav", small.root, small.store, paths[name]], spark)
+        return code, json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+
+    assert run("tone.wav") == (1, {"ok": False, "error": "source is already a .wav"})
+    code, found = run("rain.mp3")  # no soundfile, or nothing that it can read
+    assert code == 1 and not found["ok"]
+    assert sorted(p.name for p in folder.iterdir()) == ["rain.mp3", "tone.wav"] and small.table("catalog").count() == 2
+    stub = tmp_path / "soundfile.py"
+    stub.write_text("import numpy as np\ndef read(path, dtype, always_2d):\n    return np.array([[0.5, -2.0], [1.0, 0.0]] * 100), 8000\n")
+    spark.sparkContext.addPyFile(str(stub))
+    try:
+        code, found = run("rain.mp3")
+    finally:
+        os.remove(SparkFiles.get("soundfile.py"))
+    assert (code, found["written"], found["paths"]) == (0, 1, ["Bundle/Sup - Rain_/rain.wav"])
+    x, rate = analysis.load(str(folder / "rain.wav"))
+    assert rate == 8000 and x.shape == (200, 2) and x[0].tolist() == [0.25, -1.0]
+    assert {r.filename: r.library for r in small.table("catalog").collect()}["rain.wav"] == "Rain"
+
+
 def test_whole_rescan(library):
     assert list(library.rescan()) == ["index", "analyse", "fingerprint", "embed"]
     assert library.rename_invalid().count() == 0
