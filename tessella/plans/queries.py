@@ -533,12 +533,23 @@ def rename_migration(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("sibling_join", "SELECT a.page_id, b.page_id AS sibling_id FROM pages a JOIN pages b ON regexp_replace(a.url, '[^/]*$', '') = regexp_replace(b.url, '[^/]*$', '') AND a.page_id + 1 = b.page_id")
 def sibling_join(spark: SparkSession, folder: str) -> DataFrame:
-    """A self-join on derived keys."""
+    """Directory mates with consecutive ids; siblings by stem and suffix are ``sibling_paths``."""
     pages = table(spark, folder, "pages").select("page_id", F.regexp_replace("url", "[^/]*$", "").alias("dir"))
     other = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("page_id").alias("sibling_id"), "dir")
     return pages.join(other, ["page_id", "dir"]).select("page_id", "sibling_id")
 
 
+@register("sibling_paths", r"""
+WITH f AS (SELECT 'lib/' || page_id // 2 || CASE WHEN page_id % 2 = 0 THEN '.wav' WHEN page_id % 3 = 0 THEN '.ogg' ELSE '_16bit.wav' END AS path FROM pages)
+SELECT f.path, g.path AS sibling FROM f JOIN f g ON g.path = regexp_replace(f.path, '\.[^.]*$', '') || '_16bit.wav' WHERE f.path <> g.path
+""")
+def sibling_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record with its 16-bit sibling: a self-join on stem and suffix."""
+    key = F.col("page_id")
+    path = F.concat(F.lit("lib/"), F.floor(key / 2).cast("string"), F.when(key % 2 == 0, ".wav").when(key % 3 == 0, ".ogg").otherwise("_16bit.wav"))
+    return catalog.siblings(table(spark, folder, "pages").select(path.alias("path")), "_16bit.wav")
+
+
 @register("selection_toggle", """
 WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F')
 (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL (SELECT k FROM b EXCEPT SELECT k FROM a)

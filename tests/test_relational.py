@@ -282,3 +282,9 @@ def test_the_text_view_shows_every_match(spark, tmp_path):
     order = sorted((d for d in docs if d[0] % 5), key=lambda d: (int(d[3][3:]), d[0]))
     assert sorted((r.place, r.doc_id) for r in found) == [(n, d[0]) for n, d in enumerate(order, 1)]
     assert {(r.quality, r.toxic) for r in found if r.doc_id == 7} == {(1, 1)} and {(r.quality, r.toxic) for r in found if r.doc_id != 7} == {(0, -1)}
+
+
+def test_every_record_finds_its_sibling(spark, tmp_path):
+    spark.range(1200).select(F.col("id").alias("page_id"), F.lit("u").alias("url")).write.parquet(str(tmp_path / "pages.parquet"))
+    found = registry.QUERIES["sibling_paths"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == sorted((f"lib/{k // 2}.wav", f"lib/{k // 2}_16bit.wav") for k in range(1, 1200, 2) if k % 3)
