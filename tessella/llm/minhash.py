@@ -7,8 +7,9 @@ the region is dense, down to a common prefix of LEAST hashes. Candidates are con
 first; classes that are connected then need no more candidates between them.
 
 Orders are range-sorted, so a region that holds a third of all classes is spread over tasks; the few rows at the ends
-of each range are matched across ranges afterwards. Places that the window leaves out in a dense region are gone through
-by further passes over exactly those regions, with the neighbours in other orders, until a pass connects nothing more.
+of each range are matched across ranges afterwards. What the window leaves out in a dense region is compared exactly
+afterwards, where candidates connect it to the region. Candidates are those neighbours that the sketches let through, so
+this is probable, not certain: a run of equal prefixes in one order can fall into several regions.
 
 Defined results: a text without words (null and empty too) has an empty set, 0 shingles and no links; fewer words than
 ``width`` are one shingle; repeated rows are copies of each other; a null doc_id takes part in links but names no
@@ -33,7 +34,7 @@ ORDERS, DEPTH, LEAST = 16, 8, 4
 HASHES = ORDERS * DEPTH
 #: Neighbours that a class takes on each side of each order.
 WINDOW = 3
-#: Candidates of a lower similarity by the one-bit sketches are over eight standard deviations under the threshold.
+#: Candidates of a lower similarity by the one-bit sketches are over eight standard deviations under a threshold of 0.85, and 6.6 under 0.8.
 SKETCH_BITS, SKETCH_LEAST = 128, 0.45
 #: Candidates that each class tries first, the most alike ones; then the rest of each region is compared in blocks.
 FIRST = 4
@@ -243,7 +244,8 @@ def linked(scratch: Scratch, pairs: DataFrame, links: DataFrame, texts: DataFram
     """(set, component) of all classes that have candidates.
 
     After ``links``, every class outside its region's largest component is compared with all classes of the region, in
-    blocks. A region is what candidates connect, confirmed or not; whatever a window has left out lies within one.
+    blocks. A region is what candidates connect, confirmed or not. What a window has left out lies within one, unless the
+    sketches dropped the neighbours between and no other order connects them.
     """
     regions = components(scratch, pairs, "region").select(F.col("id").alias("set"), F.col("component").alias("region"))
     named = components(scratch, links, "linked").select(F.col("id").alias("set"), "component")
