@@ -13,25 +13,42 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where no cluster names a shared folder (single-machine tests).
+#: Where no cluster names a shared folder: only with a master on one machine, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints/tessella"
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
-#: While a table is written: shuffle files go when it is done, and long texts reach Python in small batches.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: While a table is written: shuffle files go when it is done, and texts reach Python in batches of a few MB, however long they are.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
 
 
 class Scratch:
-    """Tables of one run in the shared folder. Each cuts lineage, and a lost executor loses none of it."""
+    """Tables of one run in the shared folder. Each cuts lineage, and a lost executor loses none of it.
+
+    Results are read from these tables, so they stay until the session's file systems close at the driver's end.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path = self._path()
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+
+    def _path(self, *names: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *names]))
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet, drop the shuffle files it took, and read it again."""
@@ -48,7 +65,7 @@ class Scratch:
     def drop(self, *names: str) -> None:
         """Delete tables that no later plan reads."""
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = self._path(name)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -56,6 +73,8 @@ def frugal(function):
     """A function over batches that, when a task is done, gives its memory back: workers live on and serve other stages."""
 
     def run(batches):
+        if not gc.get_freeze_count():
+            gc.freeze()  # modules are not looked through again at the end of every task
         try:
             yield from function(batches)
         finally:
@@ -175,25 +194,28 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
     """(id, component): the smallest id that each endpoint of ``edges`` (a, b) reaches.
 
     Each task first contracts its own edges. Then alternating large-star and small-star rounds hook neighbours to the
-    smallest one, in plain group-bys with a partial minimum, until no edge changes; no group is collected, and links
-    stay on the executors.
+    smallest one, in plain group-bys with a partial minimum, until every node has one edge, to a node that has none of
+    its own. The minima are written before they are joined, so both sides of each join can be split where one node has
+    a large share of the edges; no group is collected, and links stay on the executors.
     """
     now, k = scratch.save(contracted(edges).distinct(), f"{name}-0"), 0
-    size = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = size(now)
-    while True:
+    while not _starry(now):
         both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = scratch.save(contracted(large.where("a <> b")).distinct(), f"{name}-{k}l")
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(low, large.a == low.u)
+        least = scratch.save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), f"{name}-{k}m")
+        large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = scratch.save(large.where("a <> b").distinct(), f"{name}-{k}l")
+        low = scratch.save(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"), f"{name}-{k}s")
+        small = large.join(low, F.col("a") == F.col("u"))
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        now = scratch.save(contracted(small.where("a <> b")).distinct(), f"{name}-{k + 1}")
-        scratch.drop(f"{name}-{k}", f"{name}-{k}l")
-        k, after = k + 1, size(now)
-        if after == before:
-            # Stars: each node has one edge, to its component.
-            ends = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("component")), F.struct(F.col("b").alias("id"), F.col("b").alias("component")))
-            return now.select(F.explode(ends).alias("e")).select("e.*").distinct()
-        before = after
+        now = scratch.save(small.where("a <> b").distinct(), f"{name}-{k + 1}")
+        scratch.drop(f"{name}-{k}", f"{name}-{k}m", f"{name}-{k}l", f"{name}-{k}s")
+        k += 1
+    ends = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("component")), F.struct(F.col("b").alias("id"), F.col("b").alias("component")))
+    return now.select(F.explode(ends).alias("e")).select("e.*").distinct()
+
+
+def _starry(edges: DataFrame) -> bool:
+    """Whether every node that has an edge (a, b) as ``a`` has just that one."""
+    ends = F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = edges.select(F.explode(ends).alias("e")).select("e.*").groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 OR (up = 1 AND down = 1)").count() == 0

@@ -2,14 +2,16 @@
 
 A document's shingles are its distinct runs of ``width`` words, as 64-bit hashes. Documents with one set are one class.
 A class gets ORDERS * DEPTH minimum hashes; each of the ORDERS runs of DEPTH hashes is a key. All classes are sorted by
-each key; neighbours in an order share the longest prefixes. A class takes the nearest classes of each order, as deep as
-the region is dense, down to a common prefix of LEAST hashes. Candidates are confirmed on the full sets, most alike
-first; classes that are connected then need no more candidates between them.
+each key, and a run of classes with a common prefix of LEAST hashes is a branch. Depth adapts to how full a branch is:
 
-Orders are range-sorted, so a region that holds a third of all classes is spread over tasks; the few rows at the ends
-of each range are matched across ranges afterwards. What the window leaves out in a dense region is compared exactly
-afterwards, where candidates connect it to the region. Candidates are those neighbours that the sketches let through, so
-this is probable, not certain: a run of equal prefixes in one order can fall into several regions.
+* Within a branch a class takes its WINDOW neighbours on either side, which share the longest prefixes. A branch of at
+  most WINDOW + 1 classes is thereby complete. Candidates are confirmed on the full sets, most alike first.
+* The rest of a fuller branch is compared exactly: classes outside the branch's largest component with all of the
+  branch, in blocks. A class goes no further once too few of its shingles occur on the other side of its block.
+
+So each linked pair that shares LEAST hashes in one of the orders ends in one component, but for what the sketches say
+wrongly of neighbours in small branches. Orders are range-sorted, so a branch that holds a third of all classes is
+spread over tasks; the branches at the ends of a range may go on in the next one and count as full.
 
 Defined results: a text without words (null and empty too) has an empty set, 0 shingles and no links; fewer words than
 ``width`` are one shingle; repeated rows are copies of each other; a null doc_id takes part in links but names no
@@ -24,8 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import Scratch, components, frugal, partitions
@@ -34,11 +35,12 @@ ORDERS, DEPTH, LEAST = 16, 8, 4
 HASHES = ORDERS * DEPTH
 #: Neighbours that a class takes on each side of each order.
 WINDOW = 3
-#: Candidates of a lower similarity by the one-bit sketches are over eight standard deviations under a threshold of 0.85, and 6.6 under 0.8.
+#: Neighbours of a lower similarity by the one-bit sketches are over eight standard deviations under a threshold of 0.85, and 6.6 under 0.8.
 SKETCH_BITS, SKETCH_LEAST = 128, 0.45
-#: Candidates that each class tries first, the most alike ones; then the rest of each region is compared in blocks.
+#: Neighbours that are confirmed first for each class, the most alike ones; of the others only those that would join components.
 FIRST = 4
-BLOCK, COLUMNS = 512, 8192
+#: Classes, and shingles, of one side of a block.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1 << 20, 8192
 
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,9 +94,14 @@ def sketch(signature: np.ndarray) -> np.ndarray:
     return np.packbits((mixed(signature.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)[:, :SKETCH_BITS], axis=1)
 
 
+def row_key() -> Column:
+    """The 128-bit name of a row: the MD5 of its id and text."""
+    return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))))
+
+
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, row (hash of id and text), n_shingles, set (digest) and signature of each document; no digest for an empty set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("set", pa.binary()), ("signature", pa.binary())])
+    """doc_id, row (its name), n_shingles, set (digest) and signature of each document; no digest for an empty set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("n_shingles", pa.int64()), ("set", pa.binary()), ("signature", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -109,13 +116,13 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                         names[k], signs[k] = digest(sets[k]), s.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(signs, pa.binary())], schema=schema)
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
-    return keyed.mapInArrow(frugal(run), "doc_id long, row long, n_shingles long, set binary, signature binary")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text")
+    return keyed.mapInArrow(frugal(run), "doc_id long, row binary, n_shingles long, set binary, signature binary")
 
 
 def orders(classes: DataFrame) -> DataFrame:
-    """(part, key, set, sketch): each class once in each order."""
-    schema = pa.schema([("part", pa.int32()), ("key", pa.binary()), ("set", pa.binary()), ("sketch", pa.binary())])
+    """(part, key, set, n, sketch): each class once in each order."""
+    schema = pa.schema([("part", pa.int32()), ("key", pa.binary()), ("set", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,105 +130,147 @@ def orders(classes: DataFrame) -> DataFrame:
             if not n:
                 continue
             signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(n, HASHES)
-            sketches = [s.tobytes() for s in sketch(signs)]
-            sets = batch.column("set").to_pylist()
+            sketches = pa.array([s.tobytes() for s in sketch(signs)], pa.binary())
             # Big-endian, so that the order of the bytes is the order of the hashes.
             keys = signs.reshape(n, ORDERS, DEPTH).astype(">u4")
             for k in range(ORDERS):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array([x.tobytes() for x in keys[:, k]], pa.binary()), pa.array(sets, pa.binary()), pa.array(sketches, pa.binary())], schema=schema)
-
-    return classes.select("set", "signature").mapInArrow(frugal(run), "part int, key binary, set binary, sketch binary")
-
-
-def neighbours(rows: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Candidate pairs (a, b, alike) among sorted rows."""
-    n = len(rows)
-    if n < 2:
-        return pd.DataFrame({"a": [], "b": [], "alike": []})
-    keys = np.frombuffer(b"".join(rows["key"]), np.uint8).reshape(n, 4 * DEPTH)[:, : 4 * LEAST]
-    parts, sketches = rows["part"].to_numpy(), np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(n, -1)
-    sets = rows["set"].to_numpy()
-    out = []
-    for step in range(1, window + 1):
-        near = (parts[step:] == parts[:-step]) & (keys[step:] == keys[:-step]).all(axis=1)
-        at = np.flatnonzero(near)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array([x.tobytes() for x in keys[:, k]], pa.binary()), batch.column("set").cast(pa.binary()), batch.column("n"), sketches], schema=schema)
+
+    return classes.select("set", "n", "signature").mapInArrow(frugal(run), "part int, key binary, set binary, n long, sketch binary")
+
+
+def neighbours(branch: np.ndarray, sets: np.ndarray, sketches: np.ndarray, window: int, known: int = 0) -> pd.DataFrame:
+    """Candidate pairs (a, b, alike) of sorted rows within ``window`` places of one branch; the first ``known`` rows have met already."""
+    out = [pd.DataFrame({"a": [], "b": [], "alike": []})]
+    for step in range(1, min(window, len(branch) - 1) + 1):
+        at = np.flatnonzero(branch[step:] == branch[:-step])
+        at = at[at + step >= known]
         alike = 1 - 2 * np.bitwise_count(sketches[at] ^ sketches[at + step]).sum(axis=1) / SKETCH_BITS
         at, alike = at[alike >= SKETCH_LEAST], alike[alike >= SKETCH_LEAST]
-        out.append(pd.DataFrame({"a": sets[at], "b": sets[at + step], "alike": alike}))
-    return pd.concat(out)
+        first, second = sets[at], sets[at + step]
+        turned = first > second
+        out.append(pd.DataFrame({"a": np.where(turned, second, first), "b": np.where(turned, first, second), "alike": alike}))
+    return pd.concat(out[1:] or out)
 
 
-def candidates(scratch: Scratch, rows: DataFrame, name: str, order: list[str], window: int = WINDOW) -> DataFrame:
-    """(a, b, alike), a < b: neighbours within ``window`` places of every order, with a common prefix of LEAST hashes."""
-    spark = scratch.spark
-    schema = "a binary, b binary, alike double, part int, key binary, sketch binary, range int, place int"
+def walk(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
+    """Sorted rows of a range to candidate pairs (a, b, alike) and to members (branch, a, n) of full branches.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        me, tail, first, place = TaskContext.get().partitionId(), None, True, 0
-        for rows in batches:
-            if not len(rows):
-                continue
-            joined = rows if tail is None else pd.concat([tail, rows], ignore_index=True)
-            known = 0 if tail is None else len(tail)
-            found = neighbours(joined, window)
-            yield found.assign(part=None, key=None, sketch=None, range=None, place=None)
-            if first:
-                head = rows.head(window)
-                yield head.assign(a=head["set"], b=None, alike=None, range=me, place=np.arange(len(head)))[["a", "b", "alike", "part", "key", "sketch", "range", "place"]]
-                first = False
-            tail, place = joined.tail(window), place + len(joined) - known
-        if tail is not None:
-            yield tail.assign(a=tail["set"], b=None, alike=None, range=me, place=max(place - len(tail), 0) + np.arange(len(tail)))[["a", "b", "alike", "part", "key", "sketch", "range", "place"]]
-
-    ranged = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    found = scratch.save(ranged.select("part", "key", "set", "sketch").mapInPandas(frugal(run), schema), f"{name}-near")
-    ends = found.where("b IS NULL").select("part", "key", F.col("a").alias("set"), "sketch", "range", "place").distinct()
-
-    def stitch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([*batches, pd.DataFrame({"part": [], "key": [], "set": [], "sketch": []})], ignore_index=True)
-        yield neighbours(rows, window)
-
-    # At most 2 * window rows of each range: as many as there are partitions, not documents.
-    across = ends.repartition(1).sortWithinPartitions("range", "place").select("part", "key", "set", "sketch").mapInPandas(stitch, "a binary, b binary, alike double")
-    both = found.where("b IS NOT NULL").select("a", "b", "alike").union(across).where("a <> b")
-    pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "alike").groupBy("a", "b").agg(F.max("alike").alias("alike"))
-    pairs = scratch.save(pairs, f"{name}-pairs")
-    scratch.drop(f"{name}-near")
-    return pairs
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of which 100 * intersection >= percent * union on the full sets."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    The first and the last branch of a range may go on in another range, so they count as full.
+    """
+    names = ["a", "b", "alike", "branch", "n"]
+
+    def members(rows: pd.DataFrame) -> pd.DataFrame:
+        branch = [bytes([p]) + k[: 4 * LEAST] for p, k in zip(rows["part"], rows["key"])]
+        return pd.DataFrame({"a": rows["set"], "b": None, "alike": None, "branch": branch, "n": rows["n"]})[names]
+
+    # tail: the last rows; held: those of the last branch, unless it is full and has been given out.
+    tail, held, full, begun = None, [], True, False
+    for rows in batches:
+        if not len(rows):
+            continue
+        known = 0 if tail is None else len(tail)
+        joined = rows if tail is None else pd.concat([tail, rows], ignore_index=True)
+        keys = np.frombuffer(b"".join(joined["key"]), np.uint8).reshape(len(joined), 4 * DEPTH)[:, : 4 * LEAST]
+        parts = joined["part"].to_numpy()
+        new = (parts[1:] != parts[:-1]) | (keys[1:] != keys[:-1]).any(axis=1)
+        branch = np.r_[0, np.cumsum(new)]
+        sketches = np.frombuffer(b"".join(joined["sketch"]), np.uint64).reshape(len(joined), -1)
+        yield neighbours(branch, joined["set"].to_numpy(object), sketches, window, known).assign(branch=None, n=None)[names]
+        tail = joined.tail(window)
+        own = branch[known:]
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        sizes = np.diff(np.r_[starts, len(own)])
+        give, out = np.repeat(sizes > window + 1, sizes), []
+        goes_on = bool(known) and own[0] == branch[known - 1]
+        if not goes_on:
+            held, full = [], not begun
+        begun = True
+        if full or sum(map(len, held)) + sizes[0] > window + 1:
+            out, held, full = [*held], [], True
+            give[: sizes[0]] = True
+        if len(starts) > 1:
+            held, full = [], bool(give[-1])
+        if not full:
+            held = [*held, rows.iloc[starts[-1] :]]
+        out.append(rows[give])
+        yield members(pd.concat(out))
+    if held:
+        yield members(pd.concat(held))
+
+
+def candidates(scratch: Scratch, rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, alike), a < b, of neighbours in any order, and the members (branch, set, n) of full branches."""
+    order = ["part", "key", "set"]
+    ranged = rows.repartitionByRange(partitions(scratch.spark), *order).sortWithinPartitions(*order)
+    walked = ranged.mapInPandas(frugal(lambda batches: walk(batches, window)), "a binary, b binary, alike double, branch binary, n long")
+    found = scratch.save(walked, "forest")
+    pairs = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.max("alike").alias("alike"))
+    return scratch.save(pairs, "pairs"), found.where("b IS NULL").select("branch", F.col("a").alias("set"), "n")
+
+
+def elements(docs: DataFrame, width: int) -> DataFrame:
+    """(set, shingles): the sorted hashes of one text of each class; ``docs`` has (set, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 100):
-                batch = whole.slice(at, 100)
-                left, right = (shingle_sets(batch.column(c).to_pylist(), width) for c in ("left", "right"))
-                common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)]
-                good = [100 * n >= percent * (len(x) + len(y) - n) for n, x, y in zip(common, left, right)]
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)).cast(pa.binary()) for c in ("a", "b")], schema=schema)
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                sets = shingle_sets(batch.column("text").to_pylist(), width)
+                yield pa.RecordBatch.from_arrays([batch.column("set").cast(pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set", "shingles"])
+
+    return docs.mapInArrow(frugal(run), "set binary, shingles binary")
 
-    left = texts.select(F.col("set").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("set").alias("b"), F.col("text").alias("right"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(frugal(run), "a binary, b binary")
 
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of which 100 * intersection >= percent * union on the full sets, with their other columns."""
+    columns = pairs.columns
 
-def best_links(scratch: Scratch, pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between each class and its FIRST most alike candidates."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("left"), batch.column("right")):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(100 * n >= percent * (len(x) + len(y) - n))
+            yield batch.select(columns).filter(pa.array(good, pa.bool_()))
+
+    left = sets.select(F.col("set").alias("a"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("set").alias("b"), F.col("shingles").alias("right"))
+    return pairs.join(left, "a").join(right, "b").select(*columns, "left", "right").mapInArrow(frugal(run), pairs.schema)
+
+
+def best(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of each class with its FIRST most alike candidates."""
     both = pairs.select(F.explode(F.array(F.struct("a", "b", "alike"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "alike"))).alias("e")).select("e.*")
-    # A class has at most 2 * WINDOW * ORDERS candidates in its own orders and as many in theirs.
-    best = both.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("alike", "b")), asc=False), 1, FIRST).alias("_best"))
-    flat = best.select("a", F.explode("_best.b").alias("b"))
-    chosen = scratch.save(flat.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "chosen")
-    return scratch.save(confirmed(chosen, texts, width, percent), "links")
+    # A class has at most 2 * WINDOW * ORDERS candidates in its own orders, and is in as many windows of others.
+    most = both.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("alike", "b")), asc=False), 1, FIRST).alias("_best"))
+    flat = most.select("a", F.explode("_best.b").alias("b"))
+    return flat.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def possible(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets of either side have enough elements on the other side to reach the threshold with any set there."""
+    sides, on = [left, right], [np.ones(len(left), bool), np.ones(len(right), bool)]
+    while True:
+        before = [x.copy() for x in on]
+        for k in (0, 1):
+            there = [s for s, alive in zip(sides[1 - k], on[1 - k]) if alive]
+            mine = np.flatnonzero(on[k])
+            if not there or not len(mine):
+                return np.zeros(len(left), bool), np.zeros(len(right), bool)
+            sizes = np.array([len(sides[k][i]) for i in mine])
+            hits = np.isin(np.concatenate([sides[k][i] for i in mine]), np.unique(np.concatenate(there)))
+            found = np.add.reduceat(hits.astype(np.int64), np.cumsum(sizes) - sizes)
+            on[k][mine] = 100 * found >= percent * sizes
+        if all((x == y).all() for x, y in zip(before, on)):
+            return on[0], on[1]
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """(left, right) sizes of the intersections, by products of membership matrices over the elements on both sides."""
     flat = [np.concatenate(x) for x in (left, right)]
-    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    both = np.intersect1d(*map(np.unique, flat), assume_unique=True)
     places = []
     for sets, values in zip((left, right), flat):
         at = np.searchsorted(both, values)
@@ -240,67 +289,85 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return np.rint(out).astype(np.int64)
 
 
-def linked(scratch: Scratch, pairs: DataFrame, links: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(set, component) of all classes that have candidates.
-
-    After ``links``, every class outside its region's largest component is compared with all classes of the region, in
-    blocks. A region is what candidates connect, confirmed or not. What a window has left out lies within one, unless the
-    sketches dropped the neighbours between and no other order connects them.
-    """
-    regions = components(scratch, pairs, "region").select(F.col("id").alias("set"), F.col("component").alias("region"))
-    named = components(scratch, links, "linked").select(F.col("id").alias("set"), "component")
-    members = regions.join(named, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    members = scratch.save(members, "members-of-regions")
-    sizes = members.groupBy("region", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("_largest"), F.count("*").alias("_parts"), F.sum("n").alias("_rows"), F.max("n").alias("_most"))
-    mixed_regions = scratch.save(largest.where("_parts > 1"), "mixed-regions")
-    # Blocks by hash: about BLOCK classes each, however large the region.
-    inside = members.join(mixed_regions, "region").join(texts, "set")
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-    spot = F.pmod(F.xxhash64("set"), F.lit(1 << 20))
-    inside = inside.withColumns({"_t": blocks(F.col("_rows")), "_q": blocks(F.col("_rows") - F.col("_most"))})
-    side = ["region", "component", "set", "text"]
-    targets = inside.select(*side, (spot % F.col("_t")).alias("t"), F.explode(F.sequence(F.lit(0), F.col("_q") - 1)).alias("q"), F.lit(0).alias("_side"))
-    queries = inside.where("component <> _largest").select(*side, F.explode(F.sequence(F.lit(0), F.col("_t") - 1)).alias("t"), (spot % F.col("_q")).alias("q"), F.lit(1).alias("_side"))
-    queries = queries.select(*targets.columns)
+def meet(percent: int):
+    """applyInPandas function over one block: links (a, b) between components of its two sides."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        t, q = (rows[rows["_side"] == k] for k in (0, 1))
+        q, t = (rows[rows["_side"] == k] for k in (1, 0))
+        none = pd.DataFrame({"a": [], "b": []})
         if not len(t) or not len(q):
-            return pd.DataFrame({"a": [], "b": []})
-        names = np.array(sorted(set(rows["component"])), object)
-        place = lambda x: np.array([at[c] for c in x["component"]], int)
-        at = {c: k for k, c in enumerate(names)}
-        left, right = (shingle_sets(x["text"].tolist(), width) for x in (q, t))
+            return none
+        left, right = ([np.frombuffer(s, np.uint64) for s in x["shingles"]] for x in (q, t))
+        some_q, some_t = possible(left, right, percent)
+        if not some_q.any():
+            return none
+        names, place = np.unique(np.r_[q["component"].to_numpy(object)[some_q], t["component"].to_numpy(object)[some_t]], return_inverse=True)
+        left, right = ([s for s, alive in zip(x, on) if alive] for x, on in ((left, some_q), (right, some_t)))
         common = common_counts(left, right)
         total = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])
         u, v = np.nonzero(100 * common >= percent * (total - common))
-        ends = np.unique(np.column_stack([place(q)[u], place(t)[v]]), axis=0)
+        ends = np.unique(np.column_stack([place[: len(left)][u], place[len(left) :][v]]), axis=0)
         ends = ends[ends[:, 0] != ends[:, 1]]
         return pd.DataFrame({"a": names[ends[:, 0]], "b": names[ends[:, 1]]})
 
-    # Components that a further link connects, as links between their names.
-    further = scratch.save(targets.union(queries).groupBy("region", "t", "q").applyInPandas(run, "a binary, b binary"), "further")
-    joined = components(scratch, further, "joined").select(F.col("id").alias("component"), F.col("component").alias("_joined"))
-    return members.join(joined, "component", "left").select("set", F.coalesce("_joined", "component").alias("component"))
+    return run
+
+
+def rest_of_branches(scratch: Scratch, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components within full branches: all that are not within one component already.
+
+    ``members``: (branch, set, n, component). Every class outside its branch's largest component is compared with all
+    classes of the branch, in blocks by hash of about BLOCK classes a side, however large the branch.
+    """
+    sizes = members.groupBy("branch", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    whole = sizes.groupBy("branch").agg(F.max(F.struct("c", "component", "s")).alias("_m"), F.count("*").alias("_parts"), F.sum("c").alias("_c"), F.sum("s").alias("_s"))
+    blocks = lambda c, s: F.greatest(F.lit(1), F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    mixed_branches = whole.where("_parts > 1").select("branch", F.col("_m.component").alias("_largest"), blocks(F.col("_c"), F.col("_s")).alias("_t"), blocks(F.col("_c") - F.col("_m.c"), F.col("_s") - F.col("_m.s")).alias("_q"))
+    mixed_branches = scratch.save(mixed_branches, "mixed-branches")
+    inside = members.join(mixed_branches, "branch").join(sets, "set")
+    spot = F.pmod(F.xxhash64("set"), F.lit(1 << 20))
+    side = ["branch", "component", "shingles"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    targets = inside.select(*side, (spot % F.col("_t")).cast("int").alias("t"), every(F.col("_q")).alias("q"), F.lit(0).alias("_side"))
+    queries = inside.where("component <> _largest").select(*side, every(F.col("_t")).alias("t"), (spot % F.col("_q")).cast("int").alias("q"), F.lit(1).alias("_side"))
+    return targets.union(queries).groupBy("branch", "t", "q").applyInPandas(meet(percent), "a binary, b binary")
+
+
+def linked(scratch: Scratch, pairs: DataFrame, full: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(set, component) of all classes that have links."""
+    chosen = scratch.save(best(pairs), "chosen")
+    links = scratch.save(confirmed(chosen, sets, percent), "links")
+    named = scratch.save(components(scratch, links, "linked").select(F.col("id").alias("set"), "component"), "named")
+    of = lambda c: named.select(F.col("set").alias(c), F.col("component").alias(f"_{c}"))
+    apart = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = apart.select("a", "b", F.coalesce("_a", "a").alias("_a"), F.coalesce("_b", "b").alias("_b")).where("_a <> _b").join(chosen, ["a", "b"], "left_anti")
+    others = confirmed(apart, sets, percent).select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    members = full.join(named, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    members = scratch.save(members, "members-of-branches")
+    # Components that further links connect, as links between their names.
+    further = scratch.save(others.union(rest_of_branches(scratch, members, sets, percent)), "further")
+    joined = components(scratch, further, "joined").select(F.col("id").alias("_of"), F.col("component").alias("_joined"))
+    joined = scratch.save(joined, "joined-names")
+    both = named.join(joined, F.col("component") == F.col("_of"), "left").select("set", F.coalesce("_joined", "component").alias("component"))
+    # Classes that only a further link connects are their own component so far.
+    return both.union(joined.join(named.select(F.col("set").alias("_of")), "_of", "left_anti").select(F.col("_of").alias("set"), F.col("_joined").alias("component")))
 
 
 def grouped(scratch: Scratch, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, row (hash of id and text), n_shingles, component (null without shingles)."""
+    """One row per document: doc_id, row (its name), n_shingles, component (null without shingles)."""
     rows = scratch.save(signed(docs, width), "signed")
-    classes = rows.where("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("row"), F.first("signature").alias("signature"))
-    pairs = candidates(scratch, orders(classes), "forest", ["part", "key", "set"])
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    wanted = scratch.save(rows.where("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("row")).join(wanted, "set"), "wanted")
-    # One text of each class that has candidates; the whole corpus is shuffled once, at most these texts again. What is
-    # wanted grows with the corpus, so it is merged at every size.
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(wanted.hint("merge"), "row").select("set", "text").dropDuplicates(["set"])
-    texts = scratch.save(texts, "texts")
-    links = best_links(scratch, pairs, texts, width, percent)
-    named = linked(scratch, pairs, links, texts, width, percent)
+    classes = rows.where("set IS NOT NULL").groupBy("set", F.col("n_shingles").alias("n"), "signature").agg(F.lit(1).alias("_"))
+    pairs, full = candidates(scratch, orders(classes))
+    # One text of each class that has candidates. What is wanted grows with the corpus, so it is merged at every size.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(full.select("set")).distinct()
+    chosen = rows.where("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("row"))
+    chosen = scratch.save(chosen.join(wanted.hint("merge"), "set"), "wanted")
+    texts = docs.select(row_key().alias("row"), "text").join(chosen.hint("merge"), "row").select("set", "text").dropDuplicates(["set"])
+    sets = scratch.save(elements(texts, width), "sets")
+    named = scratch.save(linked(scratch, pairs, full, sets, percent), "components")
     members = rows.select("doc_id", "row", "n_shingles", "set").join(named, "set", "left")
-    named = members.withColumn("component", F.coalesce("component", "set"))
-    return scratch.save(named.select("doc_id", "row", "n_shingles", "component"), "members")
+    members = members.select("doc_id", "row", "n_shingles", F.coalesce("component", "set").alias("component"))
+    return scratch.save(members, "members")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

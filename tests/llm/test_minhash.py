@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from tessella.llm import common, minhash
 
@@ -55,15 +56,79 @@ def test_equals_all_pairs(spark, monkeypatch, seed, width, percent):
     assert minhash.near_duplicates(spark, docs.limit(0), width, percent).count() == 0
 
 
-def test_neighbours_across_ranges(spark):
-    """A window reaches over the ends of the ranges that an order is cut into."""
-    rng = np.random.default_rng(0)
-    prefix = rng.integers(0, 256, 4 * minhash.LEAST, dtype=np.uint8).tobytes()
-    rows = [(0, prefix + bytes([k // 256, k % 256]).ljust(4 * (minhash.DEPTH - minhash.LEAST), b"\0"), bytes([k // 256, k % 256]), b"\0" * 16) for k in range(400)]
-    df = spark.createDataFrame(rows, "part int, key binary, set binary, sketch binary").repartition(7)
-    found = {(bytes(r.a), bytes(r.b)) for r in minhash.candidates(common.Scratch(spark, "test-forest"), df, "f", ["part", "key", "set"]).collect()}
-    names = [r[2] for r in rows]
-    assert {(names[k], names[k + d]) for d in range(1, 4) for k in range(400 - d)} <= found
+def sorted_rows(rng, n_branches):
+    """Rows of a range, sorted: branches of 1 to 40 classes with equal prefixes."""
+    rows = []
+    for branch in range(n_branches):
+        prefix = branch.to_bytes(4, "big") * minhash.LEAST
+        for _ in range(rng.choice([1, 1, 1, 2, 3, 4, 5, 6, 40])):
+            name = len(rows).to_bytes(4, "big")
+            rows.append((branch % 16, prefix + name * (minhash.DEPTH - minhash.LEAST), name, 7, b"\0" * 16))
+    return sorted(rows)
+
+
+def covered(pairs, full):
+    """Pairs that are candidates or lie in one full branch."""
+    branches = {}
+    for branch, name in full:
+        branches.setdefault(branch, []).append(name)
+    return set(pairs) | {(x, y) for names in branches.values() for x in names for y in names if x < y}
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_walk_leaves_no_pair_of_a_branch_out(seed):
+    rng = random.Random(seed)
+    rows = sorted_rows(rng, 30)
+    cuts = sorted({0, len(rows), *(rng.randrange(len(rows)) for _ in range(rng.choice([0, 3, 30])))})
+    batches = [pd.DataFrame(rows[a:b], columns=["part", "key", "set", "n", "sketch"]) for a, b in zip(cuts, cuts[1:])]
+    out = pd.concat(minhash.walk(iter(batches), minhash.WINDOW))
+    pairs = out[out["b"].notna()]
+    full = out[out["b"].isna()]
+    assert not full.duplicated(["branch", "a"]).any() and not pairs.duplicated(["a", "b"]).any()
+    of = {r[2]: (r[0], r[1][: 4 * minhash.LEAST]) for r in rows}
+    wanted = {(x, y) for x in of for y in of if x < y and of[x] == of[y]}
+    assert covered(zip(pairs["a"], pairs["b"]), zip(full["branch"], full["a"])) == wanted
+    first, last = of[rows[0][2]], of[rows[-1][2]]
+    sizes = {k: list(of.values()).count(k) for k in of.values()}
+    assert set(full["a"]) == {x for x, k in of.items() if sizes[k] > minhash.WINDOW + 1 or k in (first, last)}
+
+
+def test_branches_across_ranges(spark):
+    """No pair of a branch is left out where an order is cut into ranges."""
+    rows = sorted_rows(random.Random(1), 60)
+    df = spark.createDataFrame(rows, "part int, key binary, set binary, n long, sketch binary").repartition(7)
+    pairs, full = minhash.candidates(common.Scratch(spark, "test-forest"), df)
+    of = {r[2]: (r[0], r[1][: 4 * minhash.LEAST]) for r in rows}
+    found = covered({(bytes(r.a), bytes(r.b)) for r in pairs.collect()}, {(bytes(r.branch), bytes(r.set)) for r in full.collect()})
+    assert found == {(x, y) for x in of for y in of if x < y and of[x] == of[y]}
+
+
+def test_recall_of_templates_at_real_constants(spark):
+    """Thousands of documents over few templates, most under the threshold: all links of brute force end in one component."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    templates = [[word() for _ in range(90)] for _ in range(4)]
+    rows = []
+    for k in range(3000):
+        text = list(templates[k % 4])
+        for _ in range(rng.choice([1, 2, 3, 6, 8])):
+            text[rng.randrange(len(text))] = word()
+        rows.append((k, " ".join(text)))
+    sets = minhash.shingle_sets([t for _, t in rows], 3)
+    least = np.arange(len(rows))
+    links = []
+    for k in range(4):
+        own = list(range(k, len(rows), 4))
+        common_n = minhash.common_counts([sets[i] for i in own], [sets[i] for i in own])
+        total = np.add.outer([len(sets[i]) for i in own], [len(sets[i]) for i in own])
+        u, v = np.nonzero(100 * common_n >= 85 * (total - common_n))
+        links += [(own[i], own[j]) for i, j in zip(u, v)]
+    nodes, roots = common.stars(*np.array(links).T)
+    least[nodes] = roots
+    assert 5 < len(set(least.tolist())) < 2990
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark, docs, 3, 85).collect()}
+    assert [found[k] for k in range(len(rows))] == least.tolist()
 
 
 def test_components(spark):
