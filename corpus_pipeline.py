@@ -40,7 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     first = F.min_by("row", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
     chosen = marks.where("component IS NOT NULL").groupBy("component").agg(first.alias("row")).select("row", F.lit(True).alias("_one"))
     apart = marks.where("component IS NULL").select("row", F.lit(False).alias("_one")).distinct()
-    kept = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(chosen.union(apart), F.col("_row") == F.col("row"))
+    kept = docs.withColumn("_row", minhash.row_key()).join(chosen.union(apart), F.col("_row") == F.col("row"))
     # Rows equal in id and text share their hash: one of a group stays.
     number = F.when(F.col("_one"), F.lit(-1)).otherwise(F.monotonically_increasing_id())
     return kept.withColumn("_number", number).dropDuplicates(["_row", "_number"])
