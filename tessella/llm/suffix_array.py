@@ -9,6 +9,8 @@ are renamed and nothing recurses.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 
@@ -88,26 +90,36 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def repeated_windows(rows: list[tuple[int, bytes, bytes, int]], around: int) -> np.ndarray:
-    """For each row (family, left, right, weight) a bit mask of the windows that another row, or its own copies, hold too.
+def repeated_windows(rows: list[tuple[bytes, bytes, bytes, int]], around: int) -> np.ndarray:
+    """For each row (core, left, right, n) a bit mask of the windows that another row, or its own copies, hold too.
 
-    A row stands for the string left + core + right, where all rows of a family have the same core, written as one
-    symbol of its own, and left and right have at most ``around`` bytes. Window ``a`` is the last ``a`` bytes of left, the core and
-    the first ``around - a`` bytes of right: ``around + 1`` symbols that start at one place of the string.
+    A row stands ``n`` times for the string left + core + right, where rows of one family have the same core, written as
+    one symbol of its own, and left and right have at most ``around`` bytes. Window ``a`` is the last ``a`` bytes of left,
+    the core and the first ``around - a`` bytes of right: ``around + 1`` symbols that start at one place of the string.
+    A row with ``n`` over 1 is written twice. The only row of a family is one symbol altogether; if that repeats, all its
+    windows do, and -1 stands for a row without windows.
     """
-    width = around + 1
-    families = {f: k for k, f in enumerate(dict.fromkeys(r[0] for r in rows))}
+    width, sizes = around + 1, Counter(r[0] for r in rows)
+    symbols_of = {core: 257 + k for k, core in enumerate(sizes)}
     text, where, row_of, bit_of = [], [], [], []
-    for k, (family, left, right, _) in enumerate(rows):
-        at = len(text)
-        text += [b + 1 for b in left]
-        text.append(257 + families[family])
-        text += [b + 1 for b in right]
-        text.append(0)
-        for a in range(max(0, around - len(right)), len(left) + 1):
-            where.append(at + len(left) - a)
-            row_of.append(k)
-            bit_of.append(a)
+    for k, (core, left, right, n) in enumerate(rows):
+        windows = range(max(0, around - len(right)), len(left) + 1)
+        for _ in range(min(n, 2)):
+            at = len(text)
+            if sizes[core] == 1:
+                text += [symbols_of[core], 0]
+                where.append(at)
+                row_of.append(k)
+                bit_of.append(-1)
+                continue
+            text += [b + 1 for b in left]
+            text.append(symbols_of[core])
+            text += [b + 1 for b in right]
+            text.append(0)
+            for a in windows:
+                where.append(at + len(left) - a)
+                row_of.append(k)
+                bit_of.append(a)
     masks = np.zeros(len(rows), np.int64)
     if not where:
         return masks
@@ -115,11 +127,17 @@ def repeated_windows(rows: list[tuple[int, bytes, bytes, int]], around: int) ->
     starts[where] = np.arange(len(where))
     order = starts[np.array(suffix_array(text))]
     order = order[order >= 0]
-    symbols = np.array(text + [0] * width)
-    windows = symbols[np.array(where)[order][:, None] + np.arange(width)]
-    same = (windows[1:] == windows[:-1]).all(axis=1)
+    symbols = np.array(text + [0] * width, np.int32)
+    row_of, bit_of, places = np.array(row_of)[order], np.array(bit_of)[order], np.array(where)[order]
+    same = symbols[places[1:]] == symbols[places[:-1]]
+    for step in range(1, width):
+        same &= (symbols[places[1:] + step] == symbols[places[:-1] + step]) | (bit_of[1:] < 0)
     twice = np.r_[same, False] | np.r_[False, same]
-    row_of, bit_of = np.array(row_of)[order], np.array(bit_of)[order]
-    twice |= np.array([r[3] for r in rows])[row_of] > 1
-    np.bitwise_or.at(masks, row_of[twice], np.int64(1) << bit_of[twice].astype(np.int64))
+    one = twice & (bit_of < 0)
+    for k in np.unique(row_of[one]).tolist():
+        _, left, right, _ = rows[k]
+        low, high = max(0, around - len(right)), len(left) + 1
+        masks[k] = (1 << high) - (1 << low) if low < high else -1
+    several = twice & (bit_of >= 0)
+    np.bitwise_or.at(masks, row_of[several], np.int64(1) << bit_of[several].astype(np.int64))
     return masks

@@ -19,8 +19,10 @@ def test_long_and_periodic_texts():
 
 def test_windows_equal_brute_force():
     rng = random.Random(1)
-    for _ in range(40):
-        rows = [(rng.randrange(4), bytes(rng.choices(b"ab", k=rng.randint(0, 5))), bytes(rng.choices(b"ab", k=rng.randint(0, 5))), rng.choice([1, 1, 1, 2])) for _ in range(rng.randint(0, 40))]
+    for _ in range(200):
+        names = [bytes([k]) * 16 for k in range(rng.choice([3, 30]))]
+        rows = {(rng.choice(names), bytes(rng.choices(b"ab", k=rng.randint(0, 5))), bytes(rng.choices(b"ab", k=rng.randint(0, 5)))): rng.choice([1, 1, 1, 2, 9]) for _ in range(rng.randint(0, 40))}
+        rows = [(*r, n) for r, n in rows.items()]
         held = {}
         for k, (f, left, right, weight) in enumerate(rows):
             for a in range(max(0, 5 - len(right)), len(left) + 1):
@@ -30,4 +32,8 @@ def test_windows_equal_brute_force():
             if len(places) > 1:
                 for k, a in places:
                     expected[k] |= 1 << a
+        families = [r[0] for r in rows]
+        for k, (f, left, right, n) in enumerate(rows):  # a lone row without windows, as of a whole text
+            if families.count(f) == 1 and n > 1 and len(left) + len(right) < 5:
+                expected[k] = -1
         assert repeated_windows(rows, 5).tolist() == expected
