@@ -168,7 +168,8 @@ CONTRACT = 200_000
 
 
 def contracted(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) with the same components, fewer and shorter: within each piece of a partition, stars, a > b."""
+    """Edges (a, b) with the same components, fewer and shorter: within each CONTRACT edges of a written table, stars, a > b."""
+    edges = edges.coalesce(max(1, -(-edges.count() // CONTRACT)))
     kind = edges.schema["a"].dataType.simpleString()
 
     def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -191,9 +192,9 @@ def contracted(edges: DataFrame) -> DataFrame:
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
-    """(id, component): the smallest id that each endpoint of ``edges`` (a, b) reaches.
+    """(id, component): the smallest id that each endpoint of ``edges`` (a, b), a written table, reaches.
 
-    Each task first contracts its own edges. Then alternating large-star and small-star rounds hook neighbours to the
+    Edges are first contracted, as many in a task as it can hold. Then alternating large-star and small-star rounds hook neighbours to the
     smallest one, in plain group-bys with a partial minimum, until every node has one edge, to a node that has none of
     its own. The minima are written before they are joined, so both sides of each join can be split where one node has
     a large share of the edges; no group is collected, and links stay on the executors.

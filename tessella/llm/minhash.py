@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import Scratch, components, frugal, partitions
 
@@ -223,7 +224,7 @@ def elements(docs: DataFrame, width: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of which 100 * intersection >= percent * union on the full sets, with their other columns."""
+    """The pairs (a, b) with _linked: whether 100 * intersection >= percent * union on the full sets."""
     columns = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,11 +234,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
                 n = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * n >= percent * (len(x) + len(y) - n))
-            yield batch.select(columns).filter(pa.array(good, pa.bool_()))
+            yield batch.select(columns).append_column("_linked", pa.array(good, pa.bool_()))
 
     left = sets.select(F.col("set").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("set").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select(*columns, "left", "right").mapInArrow(frugal(run), pairs.schema)
+    return pairs.join(left, "a").join(right, "b").select(*columns, "left", "right").mapInArrow(frugal(run), T.StructType([*pairs.schema.fields, T.StructField("_linked", T.BooleanType())]))
 
 
 def best(pairs: DataFrame) -> DataFrame:
@@ -324,30 +325,27 @@ def rest_of_branches(scratch: Scratch, members: DataFrame, sets: DataFrame, perc
     blocks = lambda c, s: F.greatest(F.lit(1), F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
     mixed_branches = whole.where("_parts > 1").select("branch", F.col("_m.component").alias("_largest"), blocks(F.col("_c"), F.col("_s")).alias("_t"), blocks(F.col("_c") - F.col("_m.c"), F.col("_s") - F.col("_m.s")).alias("_q"))
     mixed_branches = scratch.save(mixed_branches, "mixed-branches")
-    inside = members.join(mixed_branches, "branch").join(sets, "set")
-    spot = F.pmod(F.xxhash64("set"), F.lit(1 << 20))
-    side = ["branch", "component", "shingles"]
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    targets = inside.select(*side, (spot % F.col("_t")).cast("int").alias("t"), every(F.col("_q")).alias("q"), F.lit(0).alias("_side"))
-    queries = inside.where("component <> _largest").select(*side, every(F.col("_t")).alias("t"), (spot % F.col("_q")).cast("int").alias("q"), F.lit(1).alias("_side"))
-    return targets.union(queries).groupBy("branch", "t", "q").applyInPandas(meet(percent), "a binary, b binary")
+    # A class is a target in one t, for each q, and, outside the largest component, a query in one q, for each t.
+    spot, at = F.pmod(F.xxhash64("set"), F.lit(1 << 20)), lambda t, q, side: F.struct(t.cast("int").alias("t"), q.cast("int").alias("q"), F.lit(side).alias("_side"))
+    target = F.transform(F.sequence(F.lit(0), F.col("_q") - 1), lambda q: at(spot % F.col("_t"), q, 0))
+    query = F.transform(F.sequence(F.lit(0), F.col("_t") - 1), lambda t: at(t, spot % F.col("_q"), 1))
+    placed = members.join(mixed_branches, "branch").join(sets, "set").select("branch", "component", "shingles", F.explode(F.when(F.col("component") == F.col("_largest"), target).otherwise(F.concat(target, query))).alias("_at"))
+    return placed.select("branch", "component", "shingles", "_at.*").groupBy("branch", "t", "q").applyInPandas(meet(percent), "a binary, b binary")
 
 
 def linked(scratch: Scratch, pairs: DataFrame, full: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(set, component) of all classes that have links."""
-    chosen = scratch.save(best(pairs), "chosen")
-    links = scratch.save(confirmed(chosen, sets, percent), "links")
-    named = scratch.save(components(scratch, links, "linked").select(F.col("id").alias("set"), "component"), "named")
+    first = scratch.save(confirmed(best(pairs), sets, percent), "links")
+    named = scratch.save(components(scratch, first.where("_linked"), "linked").select(F.col("id").alias("set"), "component"), "named")
     of = lambda c: named.select(F.col("set").alias(c), F.col("component").alias(f"_{c}"))
     apart = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    apart = apart.select("a", "b", F.coalesce("_a", "a").alias("_a"), F.coalesce("_b", "b").alias("_b")).where("_a <> _b").join(chosen, ["a", "b"], "left_anti")
-    others = confirmed(apart, sets, percent).select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    apart = apart.select("a", "b", F.coalesce("_a", "a").alias("_a"), F.coalesce("_b", "b").alias("_b")).where("_a <> _b").join(first, ["a", "b"], "left_anti")
+    others = confirmed(apart, sets, percent).where("_linked").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     members = full.join(named, "set", "left").withColumn("component", F.coalesce("component", "set"))
     members = scratch.save(members, "members-of-branches")
     # Components that further links connect, as links between their names.
     further = scratch.save(others.union(rest_of_branches(scratch, members, sets, percent)), "further")
     joined = components(scratch, further, "joined").select(F.col("id").alias("_of"), F.col("component").alias("_joined"))
-    joined = scratch.save(joined, "joined-names")
     both = named.join(joined, F.col("component") == F.col("_of"), "left").select("set", F.coalesce("_joined", "component").alias("component"))
     # Classes that only a further link connects are their own component so far.
     return both.union(joined.join(named.select(F.col("set").alias("_of")), "_of", "left_anti").select(F.col("_of").alias("set"), F.col("_joined").alias("component")))
@@ -360,11 +358,10 @@ def grouped(scratch: Scratch, docs: DataFrame, width: int = 5, percent: int = 80
     pairs, full = candidates(scratch, orders(classes))
     # One text of each class that has candidates. What is wanted grows with the corpus, so it is merged at every size.
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(full.select("set")).distinct()
-    chosen = rows.where("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("row"))
-    chosen = scratch.save(chosen.join(wanted.hint("merge"), "set"), "wanted")
+    chosen = rows.where("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("row")).join(wanted.hint("merge"), "set")
     texts = docs.select(row_key().alias("row"), "text").join(chosen.hint("merge"), "row").select("set", "text").dropDuplicates(["set"])
     sets = scratch.save(elements(texts, width), "sets")
-    named = scratch.save(linked(scratch, pairs, full, sets, percent), "components")
+    named = linked(scratch, pairs, full, sets, percent)
     members = rows.select("doc_id", "row", "n_shingles", "set").join(named, "set", "left")
     members = members.select("doc_id", "row", "n_shingles", F.coalesce("component", "set").alias("component"))
     return scratch.save(members, "members")
