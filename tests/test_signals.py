@@ -84,8 +84,8 @@ def test_zero_snap_and_growth():
     x = sine(0.1, f=100)
     at = dsp.zero_snap(x, 490, RATE)
     assert x[at - 1] <= 0 < x[at]
-    assert dsp.at_least(x, 0, 100, RATE, 0.05)[1] >= 2400
-    assert dsp.at_least(x, 4000, 4500, RATE, 1.0) == (0, len(x) - 1)
+    assert dsp.stretched(x, (0, 100), RATE, 0.05)[1] >= 2400
+    assert dsp.stretched(x, (4000, 4500), RATE, 1.0) == (0, len(x) - 1)
 
 
 def test_mel_scales_and_windows():
