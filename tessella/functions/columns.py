@@ -42,9 +42,13 @@ def tokenize(x: Column) -> Column:
 
 
 def natural_key(x: Column) -> Column:
-    """A sort key for case-insensitive natural order: digit runs compare as numbers."""
+    """A sort key for case-insensitive natural order: digit runs compare as numbers of any length.
+
+    A run is written without its leading zeros behind the number of its digits, in ten places.
+    """
     runs = F.regexp_extract_all(F.lower(x), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda t: F.when(t.rlike("^[0-9]"), F.lpad(t, 20, "0")).otherwise(t)), "")
+    digits = lambda t: F.ltrim(t, F.lit("0"))
+    return F.array_join(F.transform(runs, lambda t: F.when(t.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits(t)).cast("string"), 10, "0"), digits(t))).otherwise(t)), "")
 
 
 def stem(filename: Column) -> Column:
@@ -73,7 +77,7 @@ def has_invalid_name(filename: Column) -> Column:
 
 
 def valid_name(name: Column) -> Column:
-    """A stem with forbidden characters as spaces, white space collapsed; "renamed" if nothing is left."""
+    """A name with forbidden characters as spaces, white space collapsed; "renamed" if nothing is left."""
     text = F.trim(F.regexp_replace(F.regexp_replace(name, r'[\x00-\x1f<>:"/\\|?*]', " "), r"\s+", " "))
     return F.when(text == "", F.lit("renamed")).otherwise(text)
 

@@ -7,6 +7,7 @@ only missing) before these functions: Spark does not move a filter through them.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from tessella.functions import dsp
 from tessella.operators import segments
-from tessella.sources.audio import local, read_blocks, read_wav, wav_bytes
+from tessella.sources.audio import local, read_blocks, read_wav, wav_bytes, wav_header
 
+#: Fixed value: the level of a file without samples.
+FLOOR_DB = -100.0
 LEVELS = "path string, levels array<double>, frame_s double, sample_rate int, duration double, lufs double, peak_db double, error string"
 
 
@@ -35,42 +38,60 @@ def per_file(df: DataFrame, function: Callable[[str, pd.Series], list[tuple]], s
 
 
 def load(path: str) -> tuple[np.ndarray, int]:
-    """All samples and the rate; no samples and rate 0 of a file that can't be read."""
+    """All samples and the rate; no samples and rate 0 of a file that can't be read. Other formats need ``soundfile``."""
     try:
         with open(path, "rb") as f:
             return read_wav(f)
     except (OSError, ValueError):
+        return decoded(path)
+
+
+def decoded(path: str) -> tuple[np.ndarray, int]:
+    try:
+        import soundfile
+
+        return soundfile.read(path, dtype="float64", always_2d=True)
+    except Exception:  # noqa: BLE001  (no library, or a file that it can't read)
         return np.zeros((0, 1)), 0
 
 
-def frames_in(f) -> int:
-    from tessella.sources.audio import wav_header
+#: Frames that are read together.
+READ_FRAMES = 1 << 18
+
 
+def frames_in(f) -> int:
     head = wav_header(f)
     return int((head["duration"] or 0) * (head["sample_rate"] or 0))
 
 
 def analyse(path: str) -> dict:
-    """One read of a file: levels, loudness and peak. Long files are read in blocks and keep their tail frame."""
+    """One read of a file in blocks: levels, loudness and peak. Without samples all of them are the floor.
+
+    A file of over STREAM_FRAMES frames has its RMS level for a loudness, and keeps its tail frame.
+    """
     with open(path, "rb") as f:
-        if frames_in(f) <= dsp.STREAM_FRAMES:
-            x, rate = read_wav(f)
-            frame = max(1, int(rate * dsp.FRAME_S))
-            levels = dsp.frame_levels(dsp.mono(x), frame, keep_tail=False) if len(x) else np.zeros(0)
-            return {"levels": levels, "frame": frame, "rate": rate, "frames": len(x), "lufs": dsp.loudness(x, rate) if len(x) else None, "peak_db": dsp.peak_level(x)}
-        levels, energy, top, total, rest, rate, frame = [], 0.0, 0.0, 0, np.zeros(0), 0, 1
-        for block, rate in read_blocks(f, 1 << 20):
-            frame = max(1, int(rate * dsp.FRAME_S))
-            one = dsp.mono(block)
+        long = frames_in(f) > dsp.STREAM_FRAMES
+        levels, energy, top, total, rest, rate, frame, meter = [], 0.0, 0.0, 0, np.zeros(0), 0, 1, None
+        for block, rate in read_blocks(f, READ_FRAMES):
+            frame, one = max(1, int(rate * dsp.FRAME_S)), dsp.mono(block)
             energy, top, total = energy + float((one**2).sum()), max(top, float(np.abs(block).max(initial=0))), total + len(one)
+            meter = meter or dsp.Loudness(rate, block.shape[1])
+            if not long:
+                meter.add(block)
             rest = np.concatenate([rest, one])
             whole = len(rest) // frame * frame
-            levels.append(dsp.frame_levels(rest[:whole], frame, keep_tail=False))
+            if whole:
+                levels.append(dsp.frame_levels(rest[:whole], frame, keep_tail=False))
             rest = rest[whole:]
-        if len(rest):
-            levels.append(dsp.frame_levels(rest, frame, keep_tail=True))
-        mean = round(float(dsp.db(np.sqrt(energy / max(total, 1)), dsp.LEVEL_EPS)), 2)
-        return {"levels": np.concatenate(levels), "frame": frame, "rate": rate, "frames": total, "lufs": mean, "peak_db": round(float(dsp.db(max(top, dsp.LEVEL_EPS))), 2)}
+    if not rate:
+        raise ValueError("no samples and no format")
+    if not total:
+        return {"levels": np.array([FLOOR_DB]), "frame": frame, "rate": rate, "frames": 0, "lufs": FLOOR_DB, "peak_db": FLOOR_DB}
+    if len(rest) and (long or not levels):
+        levels.append(dsp.frame_levels(rest, frame, keep_tail=True))
+    mean = round(float(dsp.db(np.sqrt(energy / total), dsp.LEVEL_EPS)), 2)
+    found = None if long else meter.result()
+    return {"levels": np.concatenate(levels), "frame": frame, "rate": rate, "frames": total, "lufs": mean if found is None else found, "peak_db": round(float(dsp.db(max(top, dsp.LEVEL_EPS))), 2)}
 
 
 def analysed(files: DataFrame) -> DataFrame:
@@ -94,7 +115,7 @@ def envelope(files: DataFrame) -> DataFrame:
         if not rate:
             return []
         seconds = max(dsp.FRAME_S, len(x) / max(rate, 1) / 8000)
-        levels = dsp.frame_levels(dsp.mono(x), max(1, int(rate * seconds)), keep_tail=True)
+        levels = dsp.frame_levels(dsp.mono(x), max(1, int(rate * seconds)), keep_tail=True) if len(x) else np.array([FLOOR_DB])
         return [(row.path, np.round(levels, 1), seconds, rate, len(x) / max(rate, 1), dsp.peak_level(x))]
 
     return per_file(files.select("path", "uri"), one, "path string, levels array<double>, frame_s double, sample_rate int, duration double, peak_db double")
@@ -121,7 +142,7 @@ def fingerprints(files: DataFrame) -> DataFrame:
 
     def one(path, row):
         x, rate = load(path)
-        return [(row.path, dsp.fingerprint(x, rate).tolist(), "features48")] if rate else []
+        return [(row.path, dsp.fingerprint(x, rate).tolist(), "features48")] if len(x) else []
 
     return per_file(files.select("path", "uri"), one, "path string, vector array<float>, model string")
 
@@ -132,7 +153,7 @@ def loops(files: DataFrame, min_s: float = 0.0) -> DataFrame:
 
     def one(path, row):
         x, rate = load(path)
-        return [(row.path, *dsp.suggest_loop(x, rate, min_s).values())] if rate and len(x) > rate // 20 else []
+        return [(row.path, *dsp.suggest_loop(x, rate, min_s).values())] if len(x) else []
 
     return per_file(files.select("path", "uri"), one, f"path string, {fields}")
 
@@ -173,7 +194,7 @@ def copies_16_bit(files: DataFrame) -> DataFrame:
         if os.path.exists(local(target)):
             return []
         x, rate = load(path)
-        return [(row.path, target, wav_bytes(dsp.normal_peak(x), rate))] if rate else []
+        return [(row.path, target, wav_bytes(dsp.normal_peak(x), rate))] if len(x) else []
 
     return per_file(files.select("path", "uri"), one, "parent string, uri string, content binary")
 
@@ -209,6 +230,16 @@ class HashingEmbedder:
     query_embed = embed
 
 
+@lru_cache(maxsize=2)
+def _session(model: str, threads: int):
+    """A model's session, opened once by each worker process."""
+    import onnxruntime
+
+    options = onnxruntime.SessionOptions()
+    options.intra_op_num_threads = threads
+    return onnxruntime.InferenceSession(model, options, providers=["CPUExecutionProvider"])
+
+
 class OnnxEmbedder:
     """An audio or text tower as an ONNX file: batches of 32, unit vectors."""
 
@@ -216,17 +247,33 @@ class OnnxEmbedder:
         self.model, self.prepare, self.name, self.threads = model, prepare, name, threads
 
     def embed(self, inputs: list) -> np.ndarray:
-        import onnxruntime
-
-        options = onnxruntime.SessionOptions()
-        options.intra_op_num_threads = self.threads
-        session = onnxruntime.InferenceSession(self.model, options, providers=["CPUExecutionProvider"])
+        session = _session(self.model, self.threads)
         out = np.vstack([session.run(None, self.prepare(inputs[k : k + 32]))[0] for k in range(0, len(inputs), 32)])
         return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9)
 
     query_embed = embed
 
 
+def audio_tower(model: str) -> OnnxEmbedder:
+    """The audio side of an audio-text model, over log-mel inputs."""
+    return OnnxEmbedder(model, lambda mels: {"input_features": np.concatenate(mels).astype(np.float32)}, "audio-text")
+
+
+def text_tower(model: str, tokenizer: str, length: int = 77) -> OnnxEmbedder:
+    """The text side of an audio-text model: texts become padded token ids with a mask."""
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(tokenizer)
+    encoder.enable_truncation(length)
+    encoder.enable_padding()
+
+    def prepare(texts: list[str]) -> dict[str, np.ndarray]:
+        found = encoder.encode_batch(texts)
+        return {"input_ids": np.array([e.ids for e in found], np.int64), "attention_mask": np.array([e.attention_mask for e in found], np.int64)}
+
+    return OnnxEmbedder(model, prepare, "audio-text")
+
+
 def text_vectors(texts: DataFrame, embedder) -> DataFrame:
     """(path, vector, model) of (path, text)."""
 
@@ -245,7 +292,7 @@ def audio_vectors(files: DataFrame, embedder, settings: dict) -> DataFrame:
             for at in range(0, len(rows), 32):
                 some = rows.iloc[at : at + 32]
                 sounds = [load(local(uri)) for uri in some["uri"]]
-                some, mels = some[[bool(r) for _, r in sounds]], [dsp.model_mel(x, r, settings) for x, r in sounds if r]
+                some, mels = some[[bool(len(x)) for x, _ in sounds]], [dsp.model_mel(x, r, settings) for x, r in sounds if len(x)]
                 if not mels:
                     continue
                 yield pd.DataFrame({"path": some["path"], "vector": embedder.embed(mels).tolist(), "model": embedder.name})

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import chain, count
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import columns as C
@@ -135,18 +137,31 @@ def rename(rows: DataFrame, renames: DataFrame, key: str = "path") -> DataFrame:
 
 
 def plan_renames(catalog: DataFrame) -> DataFrame:
-    """(old, new) for invalid file names: cleaned stems, with a number where the clean name is taken."""
-    slash = F.col("path").contains("/")
-    folder = F.when(slash, F.regexp_replace("path", r"/[^/]*$", "/")).otherwise(F.lit(""))
-    invalid = C.has_invalid_name(F.col("filename"))
-    dot = F.when(F.col("filename").contains("."), F.regexp_extract("filename", r"(\.[^.]*)$", 1)).otherwise(F.lit(""))
-    named = catalog.select("path", folder.alias("_folder"), dot.alias("_dot"), invalid.alias("_bad"), F.when(invalid, C.valid_name(C.stem(F.col("filename")))).otherwise(C.stem(F.col("filename"))).alias("_stem"))
-    # A valid file keeps its name, so it comes first among those that would have it.
-    order = Window.partitionBy("_folder", F.lower("_stem"), F.lower("_dot")).orderBy("_bad", "path")
-    number = F.row_number().over(order)
-    named = named.withColumn("_n", number)
-    new = F.concat("_folder", "_stem", F.when(F.col("_n") > 1, F.concat(F.lit(" "), F.col("_n").cast("string"))).otherwise(F.lit("")), "_dot")
-    return named.where("_bad").select(F.col("path").alias("old"), new.alias("new"))
+    """(old, new) for invalid file names: cleaned, with the first number that no other name of the folder has.
+
+    Names that could meet differ in their numbers alone, so they go to one task: those of a folder with one extension and
+    one stem. Files are renamed in the order of the catalog.
+    """
+    folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "/")).otherwise(F.lit(""))
+    bad = C.has_invalid_name(F.col("filename"))
+    clean = F.when(bad, C.valid_name(F.col("filename"))).otherwise(F.col("filename"))
+    dotted = r"^(.+)(\.[^.]*)$"
+    named = catalog.select("path", folder.alias("_folder"), bad.alias("_bad"), clean.alias("_clean"))
+    named = named.withColumns({"_dot": F.regexp_extract("_clean", dotted, 2), "_stem": F.when(F.col("_clean").rlike(dotted), F.regexp_extract("_clean", dotted, 1)).otherwise(F.col("_clean"))})
+    named = named.withColumn("_root", F.regexp_replace("_stem", r"(_\d+)+$", ""))
+    group = ["_folder", "_root", "_dot"]
+
+    def number(rows: pd.DataFrame) -> pd.DataFrame:
+        taken, moves = set(rows.loc[~rows["_bad"], "_clean"]), []
+        wanted = rows.loc[rows["_bad"], ["path", "_folder", "_clean", "_stem", "_dot"]]
+        for path, folder, name, stem, dot in sorted(wanted.itertuples(index=False, name=None), key=lambda r: (r[0].lower(), r[0])):
+            new = next(n for n in chain([name], (f"{stem}_{k}{dot}" for k in count(1))) if n not in taken)
+            taken.add(new)
+            moves.append((path, folder + new))
+        return pd.DataFrame(moves, columns=["old", "new"])
+
+    concerned = named.join(named.where("_bad").select(*group).distinct(), group, "left_semi")
+    return concerned.groupBy(*group).applyInPandas(number, "old string, new string")
 
 
 def child_records(parents: DataFrame, children: DataFrame) -> DataFrame:
@@ -162,6 +177,20 @@ def first_with_prefix(catalog: DataFrame, name: str, length: int = 30) -> DataFr
 
 
 def work_list(catalog: DataFrame, *stores: DataFrame, min_duration: float = 0.0) -> DataFrame:
-    """WAV records that a store lacks, with ``continuous``: too short to be read at all."""
+    """WAV records, those that a store lacks if stores are given, with ``continuous``: too short to be read at all."""
     wav = catalog.where(F.col("ext") == "wav")
-    return missing(wav, *stores).withColumn("continuous", C.is_short(F.col("duration"), min_duration))
+    return (missing(wav, *stores) if stores else wav).withColumn("continuous", C.is_short(F.col("duration"), min_duration))
+
+
+def effective_params(records: DataFrame, chopping: DataFrame, suggested: Column, settings: dict[str, Column], key: str = "path") -> DataFrame:
+    """Records with the chop parameters that hold: the saved ones where there are any, else the suggested threshold and the present settings."""
+    fields = ["silence_db", *settings]
+    saved = chopping.select(key, *(F.col(c).alias(f"_{c}") for c in fields))
+    joined, has = records.join(saved, key, "left"), F.col("_silence_db").isNotNull()
+    values = {"silence_db": suggested} | settings
+    return joined.withColumns({c: F.when(has, F.col(f"_{c}")).otherwise(x) for c, x in values.items()}).drop(*(f"_{c}" for c in fields))
+
+
+def counted(records: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """One row: the number of records, and of those that each condition holds for."""
+    return records.agg(F.count("*").alias("records"), *(F.count_if(x).alias(c) for c, x in conditions.items()))

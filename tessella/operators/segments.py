@@ -106,12 +106,34 @@ def sweep(series: DataFrame, keys: list[str], peaks: DataFrame, frame_s: float,
     absolute, relative, gaps = (-55.0, -60.0, -65.0), (-30.0, -40.0), (0.5, 1.0, 2.0)
     kinds = [F.struct(F.lit(f"{t:g}").alias("kind"), F.lit(t).alias("at"), F.lit(0.0).alias("of_peak")) for t in absolute]
     kinds += [F.struct(F.lit(f"peak{t:g}").alias("kind"), F.lit(t).alias("at"), F.lit(1.0).alias("of_peak")) for t in relative]
-    grid = peaks.withColumn("_k", F.explode(F.array(*kinds))).withColumn("gap_s", F.explode(F.array(*map(F.lit, gaps))))
-    grid = grid.select(*keys, F.col("_k.kind").alias("threshold_kind"), "gap_s", (F.col("_k.at") + F.col("_k.of_peak") * F.col("peak")).alias("_threshold"))
-    own = [*keys, "threshold_kind", "gap_s"]
-    every = series.join(grid, keys)
-    found = gap_segments(every, own, F.col("_threshold"), frames_of(F.col("gap_s"), F.lit(frame_s)), F.lit(min_sound_s / frame_s))
-    return grid.select(*own).join(found.groupBy(*own).agg(F.count("*").alias("sounds")), own, "left").withColumn("sounds", F.coalesce("sounds", F.lit(0)).cast("long"))
+    kinds_of = peaks.withColumn("_k", F.explode(F.array(*kinds)))
+    kinds_of = kinds_of.select(*keys, F.col("_k.kind").alias("threshold_kind"), (F.col("_k.at") + F.col("_k.of_peak") * F.col("peak")).alias("_threshold"))
+    # One pass over the series: a frame keeps the thresholds that it reaches, and only such frames are sorted.
+    own, by = [*keys, "threshold_kind"], Window.partitionBy(*keys, "threshold_kind")
+    limits = kinds_of.groupBy(*keys).agg(F.collect_list(F.struct("threshold_kind", "_threshold")).alias("_t"))  # five
+    sizes = series.groupBy(*keys).agg((F.max("idx") + 1).alias("_n"))
+    loud = series.join(limits, keys).select(*keys, "idx", F.explode(F.filter("_t", lambda t: F.col("level") >= t["_threshold"])["threshold_kind"]).alias("threshold_kind"))
+    before, frames, least = F.lag("idx").over(by.orderBy("idx")), {g: max(1, round(g / frame_s)) for g in gaps}, min_sound_s / frame_s
+    # The smallest gap's islands, once; wider gaps join them by the quiet between them.
+    shortest = min(frames.values())
+    marked = loud.withColumn("_before", before).withColumn("_new", F.when(F.col("_before").isNull() | (F.col("idx") - F.col("_before") > shortest), 1).otherwise(0))
+    islands = marked.withColumn("_island", F.sum("_new").over(by.orderBy("idx"))).groupBy(*own, "_island").agg(F.min("idx").alias("s"), (F.max("idx") + 1).alias("e"))
+    lists = islands.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("_runs")).join(sizes, keys)
+
+    def sounds(gap: float) -> Column:
+        """How many runs, joined over gaps of so many frames, are long enough."""
+        gap_frames = F.lit(frames[gap]).cast("long")
+        last = lambda acc: acc["e"]
+        closing = lambda s, e: F.when((e - s) >= least, 1).otherwise(0)
+        start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("e"))
+        joins = lambda acc, r: acc["s"].isNotNull() & (r["s"] - last(acc) + 1 <= gap_frames)
+        step = lambda acc, r: F.struct((acc["n"] + F.when(acc["s"].isNull() | joins(acc, r), 0).otherwise(closing(acc["s"], acc["e"]))).alias("n"), F.when(joins(acc, r), acc["s"]).otherwise(r["s"]).alias("s"), r["e"].alias("e"))
+        end = lambda acc: F.when(F.col("_n") - acc["e"] < gap_frames, F.col("_n")).otherwise(acc["e"])
+        return F.aggregate("_runs", start, step, lambda acc: acc["n"] + F.when(acc["s"].isNull(), 0).otherwise(closing(acc["s"], end(acc))))
+
+    each = lists.select(*own, F.explode(F.array(*(F.struct(F.lit(g).alias("gap_s"), sounds(g).cast("long").alias("sounds")) for g in gaps))).alias("_g")).select(*own, "_g.*")
+    grid = kinds_of.select(*own, F.explode(F.array(*map(F.lit, gaps))).alias("gap_s"))
+    return grid.join(each, [*own, "gap_s"], "left").withColumn("sounds", F.coalesce("sounds", F.lit(0)).cast("long"))
 
 
 def plateau(series: DataFrame, keys: list[str], percent: float = 0.9, below: float = 6.0) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 from tessella.operators import analysis, catalog, segments, vectors
 from tessella.plans.pipeline import Library
 from tessella.sources import stores
+from tessella.streaming.incremental import Watch
 
-COMMANDS = ("index", "envelope", "analyse_audio", "suggest_chops", "loudness", "fingerprint", "embed", "search", "similar", "chop", "loopify", "loopfind", "to_wav", "to_16bit", "explore_gaps", "rescan")
+#: The names of the audio and the text tower and of the tokenizer in a model's folder.
+AUDIO_TOWER, TEXT_TOWER, TOKENIZER = "audio_model.onnx", "text_model.onnx", "tokenizer.json"
+COMMANDS = ("index", "envelope", "analyse_audio", "suggest_chops", "loudness", "fingerprint", "embed", "search", "similar", "chop", "loopify", "loopfind", "to_wav", "to_16bit", "explore_gaps", "clap_embed", "clap_search", "rescan")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -29,6 +33,11 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--min-s", type=float, default=0.0)
     out.add_argument("--only-missing", action="store_true")
     out.add_argument("--topn", type=int, default=500)
+    out.add_argument("--model", default="", help="folder of an audio-text model: two ONNX towers, a tokenizer and perhaps preprocessor_config.json")
+    out.add_argument("--paths", default="", help="JSON file with the list of paths to analyse")
+    out.add_argument("--renames", action="store_true", help="rename files with invalid names first")
+    out.add_argument("--progress", default="", help="JSON file that shows the tasks done and all tasks so far")
+    out.add_argument("--cancel", default="", help="the command stops when this file appears")
     out.add_argument("--spec", default="{}", help="JSON: segments [[start, end], ...], or start_s, end_s, crossfade_ms, curve")
     return out
 
@@ -45,11 +54,22 @@ def execute(library: Library, a: argparse.Namespace) -> dict:
     if a.command == "index":
         return library.index(a.full)
     if a.command in ("analyse_audio", "suggest_chops", "loudness"):
-        return library.analyse(a.gap, a.sound, a.only_missing, min_duration=a.min_dur)
+        renames = [r.asDict() for r in library.rename_invalid().orderBy("old").collect()] if a.renames else []
+        paths = library.spark.createDataFrame([(p,) for p in json.loads(Path(a.paths).read_text())], "path string") if a.paths else None
+        only = {"analyse_audio": None, "suggest_chops": "chopping", "loudness": "loudness"}[a.command]
+        return library.analyse(a.gap, a.sound, a.only_missing, paths, a.min_dur, only) | ({"renames": renames} if a.renames else {})
     if a.command == "fingerprint":
         return library.fingerprint(a.only_missing)
     if a.command == "embed":
         return library.embed(only_missing=a.only_missing)
+    if a.command in ("clap_embed", "clap_search"):
+        folder = Path(a.model or ".")
+        settings = folder / "preprocessor_config.json"
+        if a.command == "clap_embed":
+            tower = analysis.audio_tower(str(folder / AUDIO_TOWER))
+            return library.embed_audio(tower, stores.preprocessor(json.loads(settings.read_text()) if settings.exists() else {}), a.only_missing)
+        query = analysis.text_tower(str(folder / TEXT_TOWER), str(folder / TOKENIZER)).embed([a.target])[0].tolist()
+        return json.loads(stores.ranked_result(vectors.text_search(library.table("audio_vectors"), query, a.topn, clip=True), a.target))
     if a.command == "rescan":
         return library.rescan()
     if a.command == "search":
@@ -85,11 +105,12 @@ def execute(library: Library, a: argparse.Namespace) -> dict:
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    """Run a command; a failure is a result too: {"ok": false, "error": ...} and exit code 1."""
+    """Run a command; a failure, or being cancelled, is a result too: {"ok": false, "error": ...} and exit code 1."""
     a = parser().parse_args(arguments)
     spark = spark or SparkSession.builder.appName("tessella").getOrCreate()
     try:
-        result = execute(Library(spark, a.root, a.store), a)
+        with Watch(spark, a.progress, a.cancel):
+            result = execute(Library(spark, a.root, a.store), a)
     except Exception as problem:  # noqa: BLE001  (whatever it is, the caller gets it as JSON)
         result = {"ok": False, "error": str(problem)}
     print(json.dumps(result))

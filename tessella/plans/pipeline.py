@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella import schema
 from tessella.functions import columns as C
-from tessella.operators import analysis, catalog
+from tessella.operators import analysis, catalog, edits
 from tessella.sources import audio, stores, tracklists
 
 
@@ -46,23 +46,26 @@ class Library:
         count = self.table("catalog").count()
         return {"ok": True, "count": count, "parsed": read, "reused": count - read, "changed": read > 0 or count != before}
 
-    def analyse(self, gap_s: float = 1.5, sound_s: float = 0.3, only_missing: bool = False, paths: DataFrame | None = None, min_duration: float = 0.0) -> dict:
-        """Chop parameters and loudness in one read of each file; what is too short is continuous without being read."""
-        wav = self.table("catalog").where("ext = 'wav'")
+    def analyse(self, gap_s: float = 1.5, sound_s: float = 0.3, only_missing: bool = False, paths: DataFrame | None = None, min_duration: float = 0.0, only: str | None = None) -> dict:
+        """Chop parameters and loudness in one read of each file, or only the table named; what is too short is continuous
+        without being read."""
         chopping, loudness = self.table("chopping"), self.table("loudness")
-        work = catalog.targeted(wav, paths) if paths is not None else catalog.missing(wav, chopping, loudness) if only_missing else wav
-        short = C.is_short(F.col("duration"), min_duration)
+        wanted = [t for name, t in (("chopping", chopping), ("loudness", loudness)) if only in (None, name)]
+        work = catalog.work_list(self.table("catalog"), *(wanted if only_missing else []), min_duration=min_duration)
+        work = catalog.targeted(work, paths) if paths is not None else work
+        short = F.col("continuous")
         levels = analysis.analysed(self.uris(work.where(~short)))
         sizes = work.select("path", "size")
         stored = f"{self.store}/levels"
         stores.write_table(levels, stored)
         levels = stores.read_table(self.spark, stored, analysis.LEVELS).where("error IS NULL")
-        made = analysis.chops(levels, gap_s, sound_s).withColumn("continuous", F.lit(False)).join(sizes, "path")
-        brief = work.where(short).select("path", *(F.lit(None).cast("double").alias(c) for c in ("silence_db", "min_gap_s", "min_sound_s")), F.lit(1).alias("chops"), F.lit(True).alias("continuous"), "size")
-        new = made.unionByName(brief).select(*chopping.columns)
-        loud = levels.select("path", "lufs", F.lit(None).cast("double").alias("rms_db"), "peak_db").join(sizes, "path").select(*loudness.columns)
-        self.put("chopping", catalog.upsert(chopping, new))
-        self.put("loudness", catalog.upsert(loudness, loud))
+        if only != "loudness":
+            made = analysis.chops(levels, gap_s, sound_s).withColumn("continuous", F.lit(False)).join(sizes, "path")
+            brief = work.where(short).drop("continuous").select("path", *(F.lit(None).cast("double").alias(c) for c in ("silence_db", "min_gap_s", "min_sound_s")), F.lit(1).alias("chops"), F.lit(True).alias("continuous"), "size")
+            self.put("chopping", edits.analysed_chop(chopping, made.unionByName(brief).select(*chopping.columns)))
+        if only != "chopping":
+            loud = levels.select("path", "lufs", F.lit(None).cast("double").alias("rms_db"), "peak_db").join(sizes, "path").select(*loudness.columns)
+            self.put("loudness", catalog.upsert(loudness, loud))
         return {"ok": True, "analysed": levels.count(), "total": work.count()}
 
     def _vectors(self, name: str, make, only_missing: bool) -> dict:
@@ -97,13 +100,33 @@ class Library:
         return {"ok": True, "written": written, "paths": [r["path"] for r in records.select("path").orderBy("path").collect()]}
 
     def rename_invalid(self) -> DataFrame:
-        """Move invalid file names in every table that goes by path, and return (old, new). Vector stores are made anew."""
-        records = self.table("catalog")
-        moves = catalog.plan_renames(records)
+        """Rename files with invalid names, then their keys in every table that goes by path; returns (old, new) of what
+        was renamed. Vector stores are made anew."""
+        root = F.lit(self.root.rstrip("/") + "/")
+        planned = catalog.plan_renames(self.table("catalog")).withColumns({"old_uri": F.concat(root, "old"), "new_uri": F.concat(root, "new")})
+        # Written before and after, so that a plan is made once and files move once.
+        stores.write_table(planned, f"{self.store}/planned-renames")
+        planned = stores.read_table(self.spark, f"{self.store}/planned-renames", "old string, new string, old_uri string, new_uri string")
+        stores.write_table(audio.rename_files(planned).select("old", "new"), f"{self.store}/renames")
+        moves = stores.read_table(self.spark, f"{self.store}/renames", "old string, new string")
+        if not moves.head(1):
+            return moves
         for name in ("catalog", "userdata", "chopping", "loudness"):
-            self.put(name, catalog.rename(self.table(name), moves))
+            moved = catalog.rename(self.table(name), moves)
+            self.put(name, moved.withColumn("filename", F.element_at(F.split("path", "/"), -1)) if name == "catalog" else moved)
         return moves
 
+    def delete(self, paths: DataFrame, trash: str) -> DataFrame:
+        """Move files to a trash folder and take their records out of catalog and user data; returns the (path) that went.
+        Their analyses stay behind."""
+        gone = catalog.targeted(self.table("catalog"), paths).select("path")
+        at = lambda folder: F.concat(F.lit(folder.rstrip("/") + "/"), "path")
+        stores.write_table(audio.rename_files(gone.withColumns({"old_uri": at(self.root), "new_uri": at(trash)})).select("path"), f"{self.store}/deleted")
+        gone = stores.read_table(self.spark, f"{self.store}/deleted", "path string")
+        for name, rows in zip(("catalog", "userdata"), edits.deleted(self.table("catalog"), self.table("userdata"), gone)):
+            self.put(name, rows)
+        return gone
+
     def rescan(self, embedder=None, audio_embedder=None) -> dict[str, dict]:
         """All steps in order; a step that fails leaves the results of those before it."""
         steps = {"index": self.index, "analyse": lambda: self.analyse(only_missing=True), "fingerprint": self.fingerprint, "embed": lambda: self.embed(embedder)}

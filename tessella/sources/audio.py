@@ -81,8 +81,16 @@ def other_header(path: str) -> dict:
     return {"duration": round(info.duration, 3), "sample_rate": info.samplerate, "bit_depth": SUBTYPES.get(info.subtype), "channels": info.channels, "description": ""}
 
 
+class NotMounted(RuntimeError):
+    """A file in a store that tasks can't open by path."""
+
+
 def local(uri: str) -> str:
-    return unquote(urlparse(uri).path)
+    """The path of a file that every machine mounts."""
+    at = urlparse(uri)
+    if at.scheme not in ("", "file"):
+        raise NotMounted(f"{uri}: only files of a mounted folder can be opened; use with_headers_of_content")
+    return unquote(at.path) if at.scheme else uri
 
 
 def header(uri: str) -> dict:
@@ -156,6 +164,8 @@ def read_blocks(f, frames: int) -> Iterator[tuple[np.ndarray, int]]:
         raise ValueError("no fmt or data chunk")
     code, bits, channels, rate, align = form
     at, left = data
+    if left < align:
+        yield np.zeros((0, channels)), rate
     while left > 0:
         f.seek(at)
         raw = f.read(min(left, frames * align))
@@ -198,3 +208,25 @@ def write_wavs(files: DataFrame) -> DataFrame:
             yield pd.DataFrame({"uri": rows["uri"], "size": [len(c) for c in rows["content"]]})
 
     return files.select("uri", "content").mapInPandas(run, "uri string, size long")
+
+
+def rename_files(moves: DataFrame) -> DataFrame:
+    """Rename (old_uri, new_uri) where the tasks run, and return the rows of ``moves`` that were: a file that is gone, or
+    whose new name has come into use since, stays as it is."""
+    import os
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            done = []
+            for old, new in zip(rows["old_uri"], rows["new_uri"]):
+                old, new = local(old), local(new)
+                # A task that runs again finds what it did the first time.
+                again = os.path.exists(new) and not os.path.exists(old)
+                free = os.path.exists(old) and not os.path.exists(new)
+                if free:
+                    os.makedirs(os.path.dirname(new), exist_ok=True)
+                    os.rename(old, new)
+                done.append(free or again)
+            yield rows[done]
+
+    return moves.mapInPandas(run, moves.schema)

@@ -10,11 +10,11 @@ from __future__ import annotations
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import clean_text
-from tessella.schema import CATALOG, finite
+from tessella.schema import CATALOG
 
 
 def _fs(spark: SparkSession, path: str):
@@ -42,9 +42,19 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    if not fs.rename(beside, p):  # not every store renames over a file
-        fs.delete(p, False)
-        fs.rename(beside, p)
+    replace(spark, path + ".tmp", path)
+
+
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Move a file over another in one step, so that there is the old one or the new one at any time."""
+    jvm = spark._jvm
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    conf = spark._jsc.hadoopConfiguration()
+    uri = new.getFileSystem(conf).makeQualified(new).toUri()
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, conf).rename(old, new, over)
 
 
 def versions(spark: SparkSession, folder: str) -> dict:
@@ -57,8 +67,13 @@ def write_table(df: DataFrame, folder: str, sort: list | None = None) -> int:
     spark = df.sparkSession
     have = versions(spark, folder)
     number = max([-1, *(v for v in have.values() if v is not None)]) + 1
-    (df.sort(*sort) if sort else df).write.mode("overwrite").parquet(f"{folder}/v{number}")
-    spark.read.parquet(f"{folder}/v{number}").agg(F.count("*")).first()
+    # Rows are counted and hashed as they are written, and again as they are read back.
+    marks = [F.count("*").alias("n"), *([] if any("map<" in t or "variant" in t for _, t in df.dtypes) else [F.sum(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)).cast("decimal(38,0)")).alias("h")])]
+    seen = Observation()
+    (df.sort(*sort) if sort else df).observe(seen, *marks).write.mode("overwrite").parquet(f"{folder}/v{number}")
+    back = spark.read.schema(df.schema).parquet(f"{folder}/v{number}").agg(*marks).first().asDict()
+    if back != seen.get:
+        raise OSError(f"{folder}/v{number}: {back} was read back, {seen.get} was written")
     write_text(spark, f"{folder}/CURRENT.json", json.dumps({"current": number, "previous": have["current"]}))
     if have["previous"] is not None:
         fs, p = _fs(spark, f"{folder}/v{have['previous']}")
@@ -98,25 +113,36 @@ def read_sidecar_json(spark: SparkSession, path: str, fields: str) -> DataFrame:
     return spark.createDataFrame([], ", ".join(["path string", *names]))
 
 
-def write_catalog_json(catalog: DataFrame, path: str, root: str) -> None:
-    """A catalog file for older readers, streamed from the tasks' rows in order; control characters are scrubbed."""
-    clean = catalog.select(*(clean_text(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in catalog.dtypes)).orderBy(F.lower("path"))
-    spark = catalog.sparkSession
-    count = clean.count()
-    stamp = spark.sql("SELECT date_format(current_timestamp(), 'yyyy-MM-dd HH:mm:ss')").first()[0]
-    fs, p = _fs(spark, path)
+def write_catalog_json(catalog: DataFrame, path: str, root: str, scanned: bool = False) -> None:
+    """A catalog file for older readers, in order; control characters are scrubbed, and the time of the last scan
+    (``generated``) of a file that is there is kept unless ``scanned``.
+
+    Tasks write the records; the driver only strings their files together, byte by byte.
+    """
+    clean = catalog.select(*(clean_text(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in catalog.dtypes)).orderBy(F.lower("path"), "path")
+    spark, rows = catalog.sparkSession, f"{path}.rows"
+    seen = Observation()
+    record = F.concat(F.lit(","), F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).alias("value")
+    clean.select(record).observe(seen, F.count("*").alias("n")).write.mode("overwrite").text(rows)
+    before = None if scanned else spark.read.json(path, multiLine=True, schema="generated string").first() if _read_text(spark, path) else None
+    stamp = before["generated"] if before and before["generated"] else spark.sql("SELECT date_format(current_timestamp(), 'yyyy-MM-dd HH:mm:ss')").first()[0]
+    fs, _ = _fs(spark, path)
     _, beside = _fs(spark, path + ".tmp")
     out = fs.create(beside, True)
     try:
-        head = json.dumps({"library_root": root, "generated": stamp, "count": count})[:-1]
+        head = json.dumps({"library_root": root, "generated": stamp, "count": seen.get["n"]})[:-1]
         out.write(bytearray(f'{head}, "files": ['.encode()))
-        for k, row in enumerate(clean.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()):
-            out.write(bytearray((("," if k else "") + row[0]).encode()))
+        parts = sorted((s for s in fs.listStatus(_fs(spark, rows)[1]) if s.getLen() and s.getPath().getName().startswith("part-")), key=lambda s: s.getPath().getName())
+        for k, part in enumerate(parts):
+            stream = fs.open(part.getPath())
+            stream.seek(0 if k else 1)  # every record follows a separator, but for the first
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
+            stream.close()
         out.write(bytearray(b"]}"))
     finally:
         out.close()
-    fs.delete(p, False)
-    fs.rename(beside, p)
+    fs.delete(_fs(spark, rows)[1], True)
+    replace(spark, path + ".tmp", path)
 
 
 def read_vectors(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
@@ -180,5 +206,3 @@ def preprocessor(settings: dict) -> dict:
         out["nb_max_samples"] = settings.get("max_length_s", 10) * settings.get("sampling_rate", MEL_DEFAULTS["sampling_rate"])
     return out
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["finite"]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import os
+import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +15,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 
 #: Intervals in which quick changes are gathered (seconds): search, layout, work queue.
 DEBOUNCE = {"search": 0.15, "layout": 0.25, "queue": 0.4}
+EDITS = "path string, field string, seq long, value string"
 
 
 def new_files(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 100) -> DataFrame:
@@ -31,23 +36,42 @@ def commit_batches(stream: DataFrame, folder: str, work: Callable[[DataFrame], D
     return (writer.queryName(name) if name else writer).start()
 
 
-def fold_edits(stream: DataFrame, folder: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Keep the latest value of each (path, field) of an edit stream as a versioned table.
+def fold_edits(stream: DataFrame, folder: str, checkpoint: str, interval: float | None = None) -> StreamingQuery:
+    """Append each batch's latest value of every (path, field) of an edit stream to a log; ``present`` folds the log.
 
-    Quick edits of one field within a batch become one change.
+    Quick edits of one field within a batch become one change. ``interval`` in seconds (DEBOUNCE has the usual ones), or
+    all that is there now. A batch that runs again overwrites its own directory.
     """
     from tessella.operators.catalog import latest
-    from tessella.sources.stores import read_table, write_table
 
-    schema = "path string, field string, seq long, value string"
-
-    def write(batch: DataFrame, _: int) -> None:
-        old = read_table(batch.sparkSession, folder, schema)
-        new = batch.select("path", "field", "seq", "value")
-        write_table(latest(old.unionByName(new), ["path", "field"], ["seq", "value"]), folder)
+    def write(batch: DataFrame, number: int) -> None:
+        latest(batch.select("path", "field", "seq", "value"), ["path", "field"], ["seq", "value"]).write.mode("overwrite").parquet(f"{folder}/log/batch={number}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+    return (writer.trigger(processingTime=f"{interval} seconds") if interval else writer.trigger(availableNow=True)).start()
+
+
+def present(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, field, seq, value): the compacted edits and the log after them, folded."""
+    from pyspark.errors import AnalysisException
+
+    from tessella.operators.catalog import latest
+    from tessella.sources.stores import read_table
+
+    rows = read_table(spark, f"{folder}/compacted", EDITS)
+    try:
+        rows = rows.unionByName(spark.read.schema(EDITS).parquet(f"{folder}/log").select(*rows.columns))
+    except AnalysisException:  # no log yet
+        pass
+    return latest(rows, ["path", "field"], ["seq", "value"])
+
+
+def compact(spark: SparkSession, folder: str) -> int:
+    """Write the present edits as one table. Log rows that it has are folded in again without effect, so the log may stay
+    until no stream writes it; returns the version."""
+    from tessella.sources.stores import write_table
+
+    return write_table(present(spark, folder), f"{folder}/compacted")
 
 
 def sounds(stream: DataFrame, key: str, at: str, level: str, threshold: float, gap: str, late: str) -> DataFrame:
@@ -102,3 +126,43 @@ class Cancellation:
 
     def cancel(self) -> None:
         self.spark.interruptTag(self.group)
+
+
+class Watch:
+    """While a command runs: its tasks so far in a JSON file, and an end to its jobs when a file appears."""
+
+    SECONDS = 0.04
+
+    def __init__(self, spark: SparkSession, progress: str = "", cancel: str = ""):
+        self.spark, self.progress, self.cancel, self.over = spark, progress, cancel, threading.Event()
+        self.thread = threading.Thread(target=self._watch, daemon=True)
+
+    def __enter__(self):
+        self.tag = f"watch-{uuid.uuid4().hex}"
+        self.spark.sparkContext.addJobTag(self.tag)
+        if self.progress or self.cancel:
+            self.thread.start()
+        return self
+
+    def __exit__(self, *_):
+        self.over.set()
+        if self.thread.is_alive():
+            self.thread.join()
+        self.spark.sparkContext.removeJobTag(self.tag)
+
+    def _watch(self) -> None:
+        while not self.over.wait(self.SECONDS):
+            if self.progress:
+                self._tell()
+            if self.cancel and os.path.exists(self.cancel):
+                self.spark.sparkContext.cancelJobsWithTag(self.tag)
+        if self.progress:
+            self._tell(True)
+
+    def _tell(self, over: bool = False) -> None:
+        tracker = self.spark.sparkContext.statusTracker()
+        stages = [s for s in map(tracker.getStageInfo, tracker.getActiveStageIds()) if s]
+        counts = {"done": sum(s.numCompletedTasks for s in stages), "total": sum(s.numTasks for s in stages), "over": over}
+        with open(f"{self.progress}.tmp", "w", encoding="utf-8") as f:
+            json.dump(counts, f)
+        os.replace(f"{self.progress}.tmp", self.progress)

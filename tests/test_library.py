@@ -2,6 +2,7 @@
 
 import json
 import os
+import sys
 
 import numpy as np
 import pytest
@@ -153,9 +154,10 @@ def test_streams(spark, tmp_path):
     incremental.fold_edits(stream, out, check).awaitTermination()
     spark.createDataFrame([(4, "q", "level", "6")], edits.schema).write.mode("append").parquet(source)
     incremental.fold_edits(incremental.new_files(spark, source, edits.schema), out, check).awaitTermination()
-    from tessella.sources.stores import read_table
-
-    assert {(r.path, r.value) for r in read_table(spark, out, "path string").collect()} == {("p", "b"), ("q", "6")}
+    expected = {("p", "b"), ("q", "6")}
+    assert {(r.path, r.value) for r in incremental.present(spark, out).collect()} == expected
+    assert incremental.compact(spark, out) == 0
+    assert {(r.path, r.value) for r in incremental.present(spark, out).collect()} == expected
     batches = str(tmp_path / "batches")
     listener = incremental.Progress()
     spark.streams.addListener(listener)
@@ -182,3 +184,113 @@ def test_streamed_sounds(spark, tmp_path):
     query = levels.writeStream.format("memory").queryName("levels").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "d")).start()
     query.awaitTermination()
     assert spark.table("levels").count() == 7
+
+
+def test_a_file_without_samples_has_the_floor_level(spark, tmp_path):
+    (tmp_path / "empty.wav").write_bytes(audio.wav_bytes(np.zeros((0, 2)), RATE))
+    (tmp_path / "broken.wav").write_bytes(b"RIFF")
+    (tmp_path / "short.wav").write_bytes(audio.wav_bytes(tone(0.01), RATE))
+    files = spark.createDataFrame([(n, str(tmp_path / n)) for n in ("empty.wav", "broken.wav", "short.wav")], "path string, uri string")
+    found = {r.path: r for r in analysis.analysed(files).collect()}
+    assert (found["empty.wav"].levels, found["empty.wav"].lufs, found["empty.wav"].peak_db, found["empty.wav"].sample_rate) == ([-100.0], -100.0, -100.0, RATE)
+    assert found["broken.wav"].error and found["broken.wav"].levels is None
+    assert len(found["short.wav"].levels) == 1
+    assert {r.path for r in analysis.loops(files.where("path <> 'broken.wav'")).collect()} == {"short.wav"}
+    assert {r.path: r.levels for r in analysis.envelope(files).collect()}["empty.wav"] == [-100.0]
+
+
+def test_invalid_names_are_renamed_on_disk(spark, tmp_path):
+    root, store = tmp_path / "sounds", tmp_path / "store"
+    folder = root / "Bundle" / "Sup - Rain_"
+    folder.mkdir(parents=True)
+    for k, name in enumerate(("a .wav", "a?.wav", "A?.wav", "a _1.wav", "a*.wav", "b.wav", "?.mp3")):
+        (folder / name).write_bytes(audio.wav_bytes(tone(0.1 + k / 100), RATE))
+    small = Library(spark, str(root), str(store))
+    small.index()
+    moves = {r.old.rpartition("/")[2]: r.new.rpartition("/")[2] for r in small.rename_invalid().collect()}
+    assert moves == {"a*.wav": "a _2.wav", "A?.wav": "A .wav", "a?.wav": "a _3.wav", "?.mp3": ".mp3"}
+    assert sorted(p.name for p in folder.iterdir() if not p.name.endswith(".crc")) == sorted(["a .wav", "a _1.wav", "b.wav", "a _2.wav", "a _3.wav", "A .wav", ".mp3"])
+    assert sorted(r.filename for r in small.table("catalog").collect()) == sorted(p.name for p in folder.iterdir())
+    assert small.rename_invalid().count() == 0
+    gone = small.delete(spark.createDataFrame([("Bundle/Sup - Rain_/b.wav",), ("nowhere.wav",)], "path string"), str(tmp_path / "trash"))
+    assert [r.path for r in gone.collect()] == ["Bundle/Sup - Rain_/b.wav"]
+    assert (tmp_path / "trash" / "Bundle" / "Sup - Rain_" / "b.wav").exists() and small.table("catalog").count() == 6
+
+
+def test_tables_are_replaced_in_one_step(spark, tmp_path):
+    """The pointer is there at any time, and what is read back is compared with what was written."""
+    from tessella.sources import stores
+
+    folder = str(tmp_path / "t")
+    for k in range(3):
+        assert stores.write_table(spark.range(k + 1), folder) == k
+    assert stores.read_table(spark, folder, "id long").count() == 3
+    stores.write_text(spark, f"{folder}/x.json", "a")
+    stores.write_text(spark, f"{folder}/x.json", "b")
+    assert stores._read_text(spark, f"{folder}/x.json") == "b" and not (tmp_path / "t" / "x.json.tmp").exists()
+    rows = spark.createDataFrame([(f"p{k}", f"f\x01{k}", None) for k in range(50)], "path string, filename string, size long").repartition(4)
+    target = str(tmp_path / "index.json")
+    stores.write_catalog_json(rows, target, "/lib")
+    first = json.loads((tmp_path / "index.json").read_text())
+    assert first["count"] == 50 and [f["path"] for f in first["files"]] == sorted(f"p{k}" for k in range(50)) and first["files"][0]["filename"] == "f 0"
+    stores.write_text(spark, target, json.dumps(first | {"generated": "2001-02-03 04:05:06"}))
+    stores.write_catalog_json(rows.limit(0), target, "/lib")
+    again = json.loads((tmp_path / "index.json").read_text())
+    assert (again["generated"], again["count"], again["files"]) == ("2001-02-03 04:05:06", 0, [])
+    stores.write_catalog_json(rows, target, "/lib", scanned=True)
+    assert json.loads((tmp_path / "index.json").read_text())["generated"] > "2001-02-03 04:05:06"
+
+
+def test_only_mounted_files_are_opened(spark):
+    files = spark.createDataFrame([("a.wav", "s3a://bucket/a.wav")], "path string, uri string")
+    with pytest.raises(Exception, match="mounted"):
+        audio.with_headers(files).collect()
+
+
+def test_progress_and_cancellation(library, tmp_path, capsys):
+    progress = tmp_path / "progress.json"
+    assert commands.main(["fingerprint", library.root, library.store, "--progress", str(progress)], library.spark) == 0
+    assert json.loads(progress.read_text())["over"]
+    stop = tmp_path / "stop"
+    stop.write_text("")
+    assert commands.main(["fingerprint", library.root, library.store, "--cancel", str(stop)], library.spark) == 1
+    assert library.spark.range(3).count() == 3
+    paths = tmp_path / "paths.json"
+    one = library.table("catalog").where("filename LIKE '%bursts.wav'").first()["path"]
+    paths.write_text(json.dumps([one]))
+    capsys.readouterr()
+    assert commands.main(["loudness", library.root, library.store, "--paths", str(paths), "--renames"], library.spark) == 0
+    found = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert found["analysed"] == 1 and found["renames"] == []
+
+
+def test_audio_text_model(library, tmp_path, capsys):
+    """Both towers over a stub of the runtime: its vector is the mean of the input."""
+    assert commands.main(["clap_search", library.root, library.store, "rain", "--model", str(tmp_path)], library.spark) == 1
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tokenizer = Tokenizer(models.WordLevel({"[UNK]": 0, "rain": 1}, unk_token="[UNK]"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
+    tokenizer.save(str(tmp_path / "tokenizer.json"))
+    stub = tmp_path / "onnxruntime.py"
+    stub.write_text(
+        "import numpy as np\nclass SessionOptions: pass\nclass InferenceSession:\n    def __init__(self, *a, **b): pass\n"
+        "    def run(self, _, given):\n        x = next(iter(given.values()))\n        return [np.array([[1.0, float(np.mean(v)) % 7] for v in x], np.float32)]\n"
+    )
+    library.spark.sparkContext.addPyFile(str(stub))
+    known = sys.modules.pop("onnxruntime", None)
+    sys.path.insert(0, str(tmp_path))
+    analysis._session.cache_clear()
+    capsys.readouterr()
+    try:
+        assert commands.main(["clap_embed", library.root, library.store, "--model", str(tmp_path)], library.spark) == 0
+        assert commands.main(["clap_search", library.root, library.store, "rain", "--model", str(tmp_path), "--topn", "2"], library.spark) == 0
+    finally:
+        sys.path.remove(str(tmp_path))
+        sys.modules.pop("onnxruntime", None)
+        analysis._session.cache_clear()
+        os.remove(SparkFiles.get("onnxruntime.py"))
+        if known:
+            sys.modules["onnxruntime"] = known
+    made, found = map(json.loads, capsys.readouterr().out.strip().splitlines()[-2:])
+    assert made["ok"] and made["total"] > 2 and len(found["paths"]) == 2 and all(0 <= s <= 1 for s in found["scores"])

