@@ -32,9 +32,9 @@ from tessella.llm.common import Scratch, frugal
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a task keeps; the memo starts anew beyond that, with the same results.
-MEMO_WORDS = 600_000
-#: Latin-1 letters, then perhaps punctuation: words that become one or two runs of tokens, each closed by one token that ends a run.
+#: Words whose ids a task keeps, and stems whose ids a worker keeps; each memo starts anew beyond that, with the same results.
+MEMO_WORDS, MEMO_STEMS = 600_000, 300_000
+#: A stem of Latin-1 letters, then perhaps punctuation: either is one run of tokens, closed by a token that ends a run.
 PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([!-&(-/:-@\\[-`{-~]*)")
 _WORKER: dict = {}
 
@@ -50,32 +50,38 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer, memo = Tokenizer.from_file(path), {}
-    suffix = json.loads(tokenizer.to_str())["model"]["end_of_word_suffix"]
+    tokenizer, memo, stems = Tokenizer.from_file(path), {}, {"": b""}
+    settings = json.loads(tokenizer.to_str())
+    suffix, lowers = settings["model"]["end_of_word_suffix"], '"Lowercase"' in json.dumps(settings["normalizer"])
     ends = np.zeros(tokenizer.get_vocab_size(), bool)
     ends[[i for token, i in tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
+    plain_word = PLAIN.fullmatch if suffix and lowers else lambda _: None
 
-    plain_word = PLAIN.fullmatch if suffix else lambda _: None
+    def ids_of(texts: list[str]) -> list[bytes]:
+        return [np.array(found.ids, "<u4").tobytes() for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn_stems(new: list[str]) -> None:
+        for at in range(0, len(new), 2000):  # many in one call; the tokens that end a run tell them apart
+            some = new[at : at + 2000]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            pieces = [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+            stems.update(zip(some, pieces if len(pieces) == len(some) else ids_of(some)))
 
     def learn(new: list[bytes]) -> None:
-        plain, other = [], []
-        for word in new:
-            text = word.decode()
-            found = plain_word(text)
-            (plain if found else other).append((word, text, 2 if found and found[1] else 1))
-        for at in range(0, len(plain), 2000):  # many words in one call; the tokens that end a run tell them apart
-            some = plain[at : at + 2000]
-            ids = np.array(tokenizer.encode_batch_fast([" ".join(x[1] for x in some)], add_special_tokens=False)[0].ids, "<u4")
-            last = np.flatnonzero(ends[ids]) + 1
-            cuts = last[np.cumsum([x[2] for x in some]) - 1].tolist()
-            raw, start = ids.tobytes(), 0
-            for (word, _, _), cut in zip(some, cuts):
-                memo[word] = raw[4 * start : 4 * cut]
-                start = cut
+        texts = b"\n".join(new).decode().split("\n") if new else []
+        found = list(map(plain_word, texts))
+        parts = [(t[: m.start(1)].lower(), m[1]) for t, m in zip(texts, found) if m]
+        if len(stems) > MEMO_STEMS:
+            stems.clear()
+            stems[""] = b""
+        learn_stems([s for s in {s for p in parts for s in p} if s not in stems])
+        memo.update(zip((w for w, m in zip(new, found) if m), [stems[a] + stems[b] for a, b in parts]))
+        other = [(w, t) for w, t, m in zip(new, texts, found) if not m]
         for at in range(0, len(other), 4096):
             some = other[at : at + 4096]
-            for (word, _, _), found in zip(some, tokenizer.encode_batch_fast([x[1] for x in some], add_special_tokens=False)):
-                memo[word] = np.array(found.ids, "<u4").tobytes()
+            memo.update(zip((w for w, _ in some), ids_of([t for _, t in some])))
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [text.encode().split() for text in texts]
@@ -212,7 +218,8 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, capacity: int = CAPACI
             out["offset"] = plan[run, 4] + within % each * plan[run, 0]
             yield out
 
-    ranked = cut.join(blocks.select("_part", "length", "_before"), ["_part", "length"])
+    # Blocks grow with the corpus, up to a row for each length of each partition, so they are merged at every size.
+    ranked = cut.join(blocks.select("_part", "length", "_before").hint("merge"), ["_part", "length"])
     return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
