@@ -28,6 +28,8 @@ MAX_DOCUMENTS, MAX_SHARE = 20, 0.01
 #: A document is kept while at least this percentage of its words is left.
 MIN_LEFT_PERCENT = 50
 SALTS = 32
+#: Rows of frequent lines, of some tens of bytes, that may be broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def base_rules(docs: DataFrame, host: str) -> DataFrame:
@@ -88,7 +90,9 @@ def apply_rules(spark: SparkSession, docs: DataFrame, host: str = "source", max_
     scratch = Scratch(spark, "quality-rules")
     found = lines(docs, host)
     over = scratch.save(frequent_lines(docs, found, host, max_documents, max_share), "over")
-    over = over.select(F.col("_host").alias("_h"), F.col("_line").alias("_l"), F.explode(F.array(*(F.lit(k) for k in range(SALTS)))).alias("_s"))
+    # Frequent lines grow with the hosts: they are broadcast up to a number of rows, and merged beyond it.
+    few = over.count() * SALTS <= BROADCAST_ROWS
+    over = over.select(F.col("_host").alias("_h"), F.col("_line").alias("_l"), F.explode(F.array(*(F.lit(k) for k in range(SALTS)))).alias("_s")).hint("broadcast" if few else "merge")
     salted = found.withColumn("_salt", F.pmod(F.col("_key"), F.lit(SALTS)).cast("int"))
     hit = salted.join(over, (F.col("_line") == F.col("_l")) & (F.col("_salt") == F.col("_s")) & F.col("_host").eqNullSafe(F.col("_h")))
     # Copies of a row have the same lines and the same sum, so one distinct row of each stands for all.
