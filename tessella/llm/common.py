@@ -92,6 +92,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free(name: str, df: DataFrame) -> str:
+    """``name``, or with underscores before it where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; empty for a null or blank text."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

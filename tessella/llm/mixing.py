@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, n_words, running_total
+from tessella.llm.common import Scratch, free, n_words, running_total
 
 WEIGHTS = (5, 2, 1)
 #: Knots (time, weight) of the three schedules that sources take in turn: even, falling, rising.
@@ -115,11 +115,12 @@ def curriculum(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, schedules=
     A document of which only a part is wanted (the last of its source) stays whole in its row; _words says how much counts.
     Rows equal in id, source and text count each, and are written out as the first of them.
     """
-    keyed = docs.withColumn("_key", row_key(docs))
-    taken = assign(spark, keyed.withColumn("doc_id", F.col("_key")), weights, schedules, share, max_epochs, order_by="doc_id").where("taken > 0")
+    key = free("_key", docs)
+    keyed = docs.withColumn(key, row_key(docs))
+    taken = assign(spark, keyed.withColumn("doc_id", F.col(key)), weights, schedules, share, max_epochs, order_by="doc_id").where("taken > 0")
     times = taken.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
-    times = times.select(F.col("doc_id").alias("_key"), when(schedules, F.col("_epoch")).alias("_position"), F.least(F.col("size"), F.col("taken") - F.col("_epoch") * F.col("size")).alias("_words"))
-    return keyed.dropDuplicates(["_key"]).join(times, "_key").drop("_key").orderBy("_position", "doc_id")
+    times = times.select(F.col("doc_id").alias(key), when(schedules, F.col("_epoch")).alias("_position"), F.least(F.col("size"), F.col("taken") - F.col("_epoch") * F.col("size")).alias("_words"))
+    return keyed.dropDuplicates([key]).join(times, key).drop(key).orderBy("_position", "doc_id")
 
 
 def mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,6 @@ ORACLES = {
     "op3_mixing": mixing.MIX_SQL,
     "op4_minhash_forest": minhash.LINK_SQL,
     "op5_merkle_fixity": warc_merkle.AUDIT_SQL,
-    "op9_suffix_array": suffix_dedup.remove_repeats,
     "op9_suffix_array": suffix_dedup.REMOVE_SQL,
     "op10_embedding_links": embed_dedup.LINK_SQL,
 }

@@ -17,8 +17,8 @@ A byte is removed if a string of LENGTH bytes covers it that also starts anywher
 4. Repeated strings are joined to their texts, and the bytes that they cover are taken out.
 
 Defined results: a null text is empty; texts shorter than LENGTH bytes are kept whole; repeated rows are copies of each
-other; a null doc_id is returned as such; an empty table gives an empty result; other columns come through (_name and
-_spans are replaced).
+other; a null doc_id is returned as such; an empty table gives an empty result; other columns come through, but for
+one named _spans, which is an error.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, frugal
+from tessella.llm.common import Scratch, free, frugal
 from tessella.llm.suffix_array import repeated_windows
 
 LENGTH, SEED, STEP = 200, 32, 16
@@ -258,11 +258,14 @@ def covered(at: np.ndarray, masks: np.ndarray) -> list[tuple[int, int]]:
 
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with _spans, the removed runs (start, end) of UTF-8 bytes of each row's text; empty if nothing is removed."""
+    if "_spans" in docs.columns:
+        raise ValueError("there is a column _spans")
     scratch = Scratch(spark, "suffix")
     text = F.coalesce(F.col("text"), F.lit(""))
-    named = docs.withColumn("_name", F.unhex(F.md5(text)))
+    name = free("_name", docs)
+    named = docs.withColumn(name, F.unhex(F.md5(text)))
     long = named.where(F.octet_length(text) >= LENGTH)
-    found, whole = repeats(scratch, long.select(F.col("_name").alias("text"), text.cast("binary").alias("data")))
+    found, whole = repeats(scratch, long.select(F.col(name).alias("text"), text.cast("binary").alias("data")))
     kind = "array<struct<start:bigint,end:bigint>>"
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -281,7 +284,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     spans = scratch.save(single.union(every), "spans")
     scratch.drop("found")
     end = F.when(F.col("_spans")[0]["end"] == -1, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length(text).cast("long").alias("end"))).cast(kind))
-    return named.join(spans, "_name", "left").withColumn("_spans", F.coalesce(end, "_spans", F.array().cast(kind))).drop("_name")
+    return named.join(spans.withColumnRenamed("_name", name), name, "left").withColumn("_spans", F.coalesce(end, "_spans", F.array().cast(kind))).drop(name)
 
 
 def kept_bytes(data: bytes, spans: list) -> bytes:

@@ -149,19 +149,21 @@ def train(rows: list[tuple[str, int]]) -> dict | None:
     return {"ordinary": content[0], "toxic": content[1], "weights": logistic(np.array(x), np.array(y, float))}
 
 
-def scored(docs: DataFrame, model: dict | None) -> DataFrame:
-    """``docs`` with _score, of whole texts; ``docs`` has a column text and may have any others."""
+def scored(docs: DataFrame, model: dict | None, name: str = "_score") -> DataFrame:
+    """``docs`` with a column ``name`` (it may not have one), the score of whole texts; ``docs`` has a column text and may have any others."""
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name}")
     if model is None:
-        return docs.withColumn("_score", F.lit(0.0))
+        return docs.withColumn(name, F.lit(0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(model["ordinary"], model["toxic"])
         w = model["weights"]
         for batch in batches:
             x = np.array([coder.features(normal(t.as_py())) for t in batch.column("text")]).reshape(-1, len(w) - 1)
-            yield batch.append_column("_score", pa.array(sigmoid(x @ w[:-1] + w[-1])))
+            yield batch.append_column(name, pa.array(sigmoid(x @ w[:-1] + w[-1])))
 
-    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:

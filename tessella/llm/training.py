@@ -16,7 +16,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, of: dict[int, int], m
     """(text, label) of at most ``of[label]`` labelled documents outside the held-out rows.
 
     Documents are taken in the order of the md5 of their id; longer texts than ``max_bytes`` are not sampled, so the
-    sample is bounded by its parameters. The ids, as few as that, are broadcast; the corpus is scanned once.
+    sample is bounded by its parameters, one text of each id. The ids, as few as that, are broadcast; the corpus is scanned once.
     """
     usable = labels.where(f"doc_id IS NOT NULL AND `{label}` IS NOT NULL").where(remainder(modulus) != held)
     usable = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
@@ -25,7 +25,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, of: dict[int, int], m
         some = usable.where(F.col("_label") == value).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(n)
         chosen = some if chosen is None else chosen.union(some)
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_label").collect()
+    # An id may stand in any number of rows: the smallest of its texts is taken, in a grouped minimum.
+    once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_label").alias("_label"))
+    rows = once.where("text IS NOT NULL").collect()
     return [(r["text"], r["_label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
 
 

@@ -62,13 +62,13 @@ def audit(spark: SparkSession, one: DataFrame, two: DataFrame) -> DataFrame:
 
 
 def audit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query: all pages as WARC records, audited against a replica in which the last byte is lost of every record whose leaf starts with 00."""
+    """Query: all pages as WARC records, audited against a replica in which the last byte is another in every record whose leaf starts with 00."""
     scratch = Scratch(spark, "warc")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     whole = pages.select("page_id", "url", record(F.col("url"), F.col("html")).alias("record"))
     leaf = F.sha2("record", 256)
-    cut = F.expr("substring(record, 1, length(record) - 1)")
-    hashed = whole.select("page_id", "url", F.octet_length("record").cast("long").alias("length"), leaf.alias("leaf"), F.when(leaf.startswith("00"), F.sha2(cut, 256)).otherwise(leaf).alias("replica"))
+    flipped = F.expr("concat(substring(record, 1, length(record) - 1), 'X')")  # of the same length, so all offsets hold
+    hashed = whole.select("page_id", "url", F.octet_length("record").cast("long").alias("length"), leaf.alias("leaf"), F.when(leaf.startswith("00"), F.sha2(flipped, 256)).otherwise(leaf).alias("replica"))
     laid = running_total(scratch, "records", hashed, [F.col("page_id"), F.col("url"), F.col("leaf")], "length").withColumnRenamed("_before", "offset")
     laid = scratch.save(laid, "laid")
     found = audit(spark, laid.select("offset", "leaf"), laid.select("offset", F.col("replica").alias("leaf")))

@@ -66,3 +66,42 @@ def test_chunks_see_every_place():
         else:
             assert (got < -100).all()
         assert n == max(1, -(-(max(1, -(-(len(text) + 6) // 64)) - 1) // 7))
+
+
+def test_scores_equal_plain_compression(spark):
+    """The score of a text from lengths that zstandard gives for its windows, one at a time."""
+    import zstandard
+
+    rows = corpus(random.Random(6), 200)
+    model = toxicity.train([(t, x) for _, t, x, _ in rows])
+    settings = zstandard.ZstdCompressionParameters.from_level(12, min_match=6, write_checksum=False, write_content_size=False, write_dict_id=False)
+    filler = np.random.default_rng(0).integers(160, 256, len(model["toxic"])).astype(np.uint8).tobytes()
+    preamble = bytes(range(128, 160))
+
+    def length(content, window):
+        known = zstandard.ZstdCompressionDict(content + preamble, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=known, compression_params=settings).compress(preamble + window))
+
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows[:12]] + [(900, None)], "doc_id long, text string")
+    found = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i, text, _, _ in [*rows[:12], (900, "", 0, 0)]:
+        data, saved, at = (" " + " ".join(text.lower().split()) + " ").encode(), [], 0
+        while text and at < len(data) - 1:
+            end = data.find(b" ", min(at + 48, len(data) - 1))
+            window, at = data[at : end + 1], end
+            saved.append(length(model["ordinary"] + filler, window) - length(model["ordinary"] + model["toxic"], window))
+        counts = [sum(s >= k for s in saved) for k in range(1, 9)]
+        x = [*np.log1p(counts), np.log(max(len(saved), 1)), *(np.log1p(20 * c / max(len(saved), 1)) for c in counts)]
+        assert abs(found[i] - 1 / (1 + np.exp(-np.clip(np.dot(x, model["weights"][:-1]) + model["weights"][-1], -40, 40)))) < 1e-9
+
+
+def test_sample_takes_one_text_of_each_id(spark):
+    """A repeated id brings one text to the driver, however many rows it has; clashing names are no trouble."""
+    from tessella.llm import training
+
+    docs = spark.createDataFrame([(1, f"text {k % 3}") for k in range(500)] + [(3, None), (5, "five")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0), (5, 0), (5, 0)], "doc_id long, toxic int")
+    rows = training.sample(docs, labels, "toxic", {1: 10, 0: 10}, 1, -1, 100)
+    assert sorted(rows) == [("five", 0), ("text 0", 1)]
+    with pytest.raises(ValueError, match="_score"):
+        toxicity.scored(docs.withColumn("_score", docs.doc_id), None)

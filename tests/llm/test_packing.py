@@ -1,9 +1,11 @@
 import bisect
+import os
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tessella.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -45,6 +47,23 @@ def test_encoder_equals_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_equals_tokenizer_on_all_documents(spark, monkeypatch):
+    """Whatever the memos hold, or have dropped."""
+    from tokenizers import Tokenizer
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("the driver's tables are not here")
+    monkeypatch.setattr(packing, "MEMO_WORDS", 500)
+    monkeypatch.setattr(packing, "MEMO_STEMS", 300)
+    texts = [r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect()]
+    texts += ["Ünï. ÅNGSTRÖM; µ ª º a,,,b É́ é, ab''cd `x` ^^^ ~~", "×÷ ½ x² İstanbul ﬁ naïve's 'll we've", "rock-n-roll! (x) [y] {z} a<b>c"]
+    tokenizer, encode = Tokenizer.from_file(PATH), packing.word_encoder(PATH)
+    for at in range(0, len(texts), 50):
+        some = texts[at : at + 50]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(some)] == [e.ids for e in tokenizer.encode_batch(some, add_special_tokens=False)]
+
+
 def test_pack_round_trip(spark):
     long = "word " * 9000
     docs = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "x"), (2, None, None), (3, "", "y"), (None, "z", "y"), (4, long, None)], DOCS)

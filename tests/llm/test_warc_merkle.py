@@ -52,3 +52,8 @@ def test_edge_rows(spark, tmp_path):
         at += r.record_length
     body = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: u\r\nContent-Type: text/html\r\nContent-Length: 2\r\n\r\né\r\n\r\n".encode()
     assert rows[1].sha256 == hashlib.sha256(body).hexdigest() and rows[1].record_length == len(body)
+
+
+def test_empty_pages(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert warc_merkle.audit_pages(spark, str(tmp_path)).count() == 0
