@@ -18,12 +18,13 @@ import os
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,67 +33,116 @@ from tessella.llm.common import Scratch, frugal
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a task keeps, and stems whose ids a worker keeps; each memo starts anew beyond that, with the same results.
-MEMO_WORDS, MEMO_STEMS = 600_000, 300_000
+#: Words, in Arrow, and stems whose ids a worker keeps; each memo starts anew beyond that, with the same results.
+MEMO_WORDS, MEMO_STEMS = 600_000, 200_000
+#: Bytes of texts that are encoded together.
+TOGETHER = 4 << 20
 #: A stem of Latin-1 letters, then perhaps punctuation: either is one run of tokens, closed by a token that ends a run.
 PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([!-&(-/:-@\\[-`{-~]*)")
 _WORKER: dict = {}
 
 
-def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """A function from texts to their ids (little-endian unsigned 32-bit), equal to the tokenizer's own.
+class WordEncoder:
+    """Texts to ids, equal to the tokenizer's own.
 
-    The tokenizer drops white space before merging, so the ids of a text are those of its space-separated words;
-    each distinct word is encoded once. Only separators that both know are split at.
+    The tokenizer drops white space before merging, so the ids of a text are those of its space-separated words; each
+    distinct word is encoded once. Only separators that both know are split at. Words are told apart and looked up in
+    Arrow, a batch of texts at a time, so that only new ones become Python objects.
     """
-    if path in _WORKER:
-        return _WORKER[path]
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer, memo, stems = Tokenizer.from_file(path), {}, {"": b""}
-    settings = json.loads(tokenizer.to_str())
-    suffix, lowers = settings["model"]["end_of_word_suffix"], '"Lowercase"' in json.dumps(settings["normalizer"])
-    ends = np.zeros(tokenizer.get_vocab_size(), bool)
-    ends[[i for token, i in tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
-    plain_word = PLAIN.fullmatch if suffix and lowers else lambda _: None
-
-    def ids_of(texts: list[str]) -> list[bytes]:
-        return [np.array(found.ids, "<u4").tobytes() for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn_stems(new: list[str]) -> None:
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.stems = Tokenizer.from_file(path), {"": b""}
+        self._forget()
+        settings = json.loads(self.tokenizer.to_str())
+        suffix, lowers = settings["model"]["end_of_word_suffix"], '"Lowercase"' in json.dumps(settings["normalizer"])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
+        self.plain_word = PLAIN.fullmatch if suffix and lowers else lambda _: None
+
+    def _forget(self) -> None:
+        # Known words, all their ids in a row, and where each word's begin and end.
+        self.known, self.ids, self.bounds = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _ids_of(self, texts: list[str]) -> list[bytes]:
+        return [np.array(found.ids, "<u4").tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_stems(self, new: list[str]) -> None:
         for at in range(0, len(new), 2000):  # many in one call; the tokens that end a run tell them apart
             some = new[at : at + 2000]
-            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             raw = ids.tobytes()
             pieces = [raw[a:b] for a, b in zip([0, *cuts], cuts)]
-            stems.update(zip(some, pieces if len(pieces) == len(some) else ids_of(some)))
-
-    def learn(new: list[bytes]) -> None:
-        texts = b"\n".join(new).decode().split("\n") if new else []
-        found = list(map(plain_word, texts))
-        parts = [(t[: m.start(1)].lower(), m[1]) for t, m in zip(texts, found) if m]
-        if len(stems) > MEMO_STEMS:
-            stems.clear()
-            stems[""] = b""
-        learn_stems([s for s in {s for p in parts for s in p} if s not in stems])
-        memo.update(zip((w for w, m in zip(new, found) if m), [stems[a] + stems[b] for a, b in parts]))
-        other = [(w, t) for w, t, m in zip(new, texts, found) if not m]
-        for at in range(0, len(other), 4096):
-            some = other[at : at + 4096]
-            memo.update(zip((w for w, _ in some), ids_of([t for _, t in some])))
-
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [text.encode().split() for text in texts]
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        learn(list(set().union(*split).difference(memo)))
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
-
-    encode.forget = memo.clear
-    _WORKER[path] = encode
-    return encode
+            self.stems.update(zip(some, pieces if len(pieces) == len(some) else self._ids_of(some)))
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """The ids of words, by way of their stems."""
+        if len(self.stems) > MEMO_STEMS:
+            self.stems = {"": b""}
+        found, stems = list(map(self.plain_word, words)), self.stems
+        plain = [(w[: m.start(1)].lower(), m[1]) if m else None for w, m in zip(words, found)]
+        self._learn_stems(list({s for p in plain if p for s in p}.difference(stems)))
+        other = [w for w, p in zip(words, plain) if not p]
+        rest = (x for at in range(0, len(other), 4096) for x in self._ids_of(other[at : at + 4096]))
+        return [stems[p[0]] + stems[p[1]] if p else next(rest) for p in plain]
+
+    def _places(self, distinct: pa.Array) -> np.ndarray:
+        """Where the known words are that equal ``distinct``; new ones become known."""
+        at = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if (at < 0).any() and len(self.known) and len(self.known) + len(distinct) > MEMO_WORDS:
+            self._forget()
+            at[:] = -1
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            words = distinct.take(pa.array(new))
+            pieces = self._encoded(words.to_pylist())
+            at[new] = len(self.known) + np.arange(len(new))
+            sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+            self.known = pa.concat_arrays([self.known, words])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(pieces), "<u4")])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        return at
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text begins and ends."""
+        split = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        place = self._places(coded.dictionary)
+        starts, sizes = self.bounds[place], self.bounds[place + 1] - self.bounds[place]
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        own = sizes[codes]
+        ends = np.cumsum(own)
+        at = np.repeat(starts[codes] - (ends - own), own)
+        at += np.arange(len(at))
+        words = np.cumsum(np.r_[0, pc.list_value_length(split).to_numpy(zero_copy_only=False)])
+        return self.ids[at], np.r_[0, ends][words]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        ids, bounds = self.flat(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of this process for a tokenizer's file."""
+    if path not in _WORKER:
+        _WORKER[path] = WordEncoder(path)
+    return _WORKER[path]
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at least TOGETHER bytes, but for the last."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held, size = [*held, batch], size + batch.nbytes
+        if size >= TOGETHER:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -101,20 +151,18 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = word_encoder(path), TaskContext.get().partitionId(), defaultdict(int)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                rows = []
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), encode([t or "" for t in batch.column("text").to_pylist()])):
-                    ids += end
-                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[start : start + 4 * capacity]
-                        n = len(own) // 4
-                        rows.append((doc, piece, start // 4, n, zlib.crc32(own), part, seen[n]))
-                        seen[n] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-        encode.forget()
+        encoder, part, seen = word_encoder(path), TaskContext.get().partitionId(), defaultdict(int)
+        for batch in gathered(batches):
+            ids, bounds = encoder.flat(batch.column("text"))
+            rows = []
+            for doc, first, last in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                own = ids[first:last].tobytes() + end
+                for piece, start in enumerate(range(0, len(own), 4 * capacity)):
+                    some = own[start : start + 4 * capacity]
+                    n = len(some) // 4
+                    rows.append((doc, piece, start // 4, n, zlib.crc32(some), part, seen[n]))
+                    seen[n] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, _part int, _rank long"
     return docs.select("doc_id", "text").mapInArrow(frugal(cut), ddl)
