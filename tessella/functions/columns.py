@@ -305,3 +305,12 @@ def hz_to_mel(f: Column, scale: str = "htk") -> Column:
         return 1127.0 * F.log(1.0 + f / 700.0)
     step = 27.0 / F.log(F.lit(6.4))
     return F.when(f >= 1000.0, 15.0 + F.log(f / 1000.0) * step).otherwise(3.0 * f / 200.0)
+
+
+def json_number(text: Column, path: str) -> Column:
+    """A number of a JSON text; null where the text or the value is none."""
+    return F.get_json_object(text, path).try_cast("double")
+
+
+def is_json(text: Column) -> Column:
+    return F.try_parse_json(text).isNotNull()

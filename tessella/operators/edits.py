@@ -84,6 +84,18 @@ def bulk(paths: DataFrame, field: str, value: Column, seq: int = 0) -> DataFrame
     return validated(paths.select(F.lit(seq).cast("long").alias("seq"), "path", F.lit(field).alias("field"), value.cast("string").alias("value")))
 
 
+def pasted(userdata: DataFrame, source: str, targets: DataFrame, fields: list[str], seq: int = 0) -> DataFrame:
+    """Validated edits that give the targets the fields of the record ``source``; a value that it lacks is pasted as blank."""
+    cells = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("")).alias("value")) for f in fields)))
+    copied = userdata.where(F.col("path") == source).limit(1).select(cells.alias("_c")).select("_c.*")  # a row for each field
+    return validated(targets.select(F.lit(seq).cast("long").alias("seq"), "path").crossJoin(F.broadcast(copied)))
+
+
+def cleared(paths: DataFrame, fields: list[str], seq: int = 0) -> DataFrame:
+    """Validated edits that blank the fields of each path."""
+    return validated(paths.select(F.lit(seq).cast("long").alias("seq"), "path", F.explode(F.array(*map(F.lit, fields))).alias("field"), F.lit("").alias("value")))
+
+
 def deleted(catalog: DataFrame, userdata: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Catalog and user data without the paths; analyses of them stay behind."""
     return tuple(x.join(paths.select("path"), "path", "left_anti") for x in (catalog, userdata))

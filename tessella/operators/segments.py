@@ -208,3 +208,28 @@ def rolloff(spectra: DataFrame, keys: list[str], share: float = 0.85) -> DataFra
     whole = Window.partitionBy(*keys)
     rows = spectra.withColumns({"_sum": F.sum("magnitude").over(whole.orderBy("bin")), "_all": F.sum("magnitude").over(whole)})
     return rows.where(F.col("_sum") >= F.col("_all") * share).groupBy(*keys).agg(F.min("bin").alias("bin"))
+
+
+def quantiles(values: DataFrame, keys: list[str], value: str, unique: str, at: dict[str, float]) -> DataFrame:
+    """(keys, names of ``at``): exact quantiles, interpolated between neighbours; null and NaN values are left out.
+
+    Values are numbered in a range sort, and only the one or two rows that a quantile lies between are looked at, so a
+    key may have any share of the rows.
+    """
+    from tessella.operators.view import numbered_within
+
+    rows = values.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).alias("_v"), F.col(unique).alias("_u"))
+    placed = numbered_within(rows, keys, [F.col("_v"), F.col("_u")], "_i")
+    sizes = placed.groupBy(*keys).agg(F.count("*").alias("_n"))
+    wanted = sizes.select(*keys, F.explode(F.array(*(F.struct(F.lit(n).alias("q"), ((F.col("_n") - 1) * F.lit(x)).alias("p")) for n, x in at.items()))).alias("_w")).select(*keys, "_w.*")
+    ends = wanted.select(*keys, "q", "p", F.explode(F.array_distinct(F.array(F.floor("p"), F.ceil("p")))).alias("_i"))
+    found = placed.join(ends, [*keys, "_i"]).groupBy(*keys, "q").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.first("p").alias("p"))
+    each = found.withColumn("_x", F.col("_a") + (F.col("p") - F.floor("p")) * (F.col("_b") - F.col("_a")))
+    return each.groupBy(*keys).agg(*(F.max(F.when(F.col("q") == n, F.col("_x"))).alias(n) for n in at))
+
+
+def level_of_blocks(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, level): the RMS level of a long signal from (keys, energy, n), the sums of squares of its blocks."""
+    from tessella.functions.columns import rms_db
+
+    return blocks.groupBy(*keys).agg((F.sum("energy") / F.sum("n")).alias("_ms")).select(*keys, rms_db(F.col("_ms"), 1e-12).alias("level"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -10,14 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import natural_key
+from tessella.sources.shared import folder
 
 #: What a missing value sorts as, by column; other numbers sort as -1.
 SENTINELS = {"score": -1.0, "silence_db": -999.0, "min_gap_s": -1.0, "min_sound_s": -1.0, "chops": -1.0, "level": -999.0, "lufs": -999.0, "final_db": -999.0}
 #: The most distinct texts for tick boxes, the most keywords shown, and the open end of a range.
 TICK_LIMIT, KEYWORD_LIMIT, OPEN_MAX = 25, 500, 1e18
 FULL_RANGE = 1e-9
-#: Where no cluster names a shared folder (single-machine tests).
-LOCAL_SHARED = "/tmp/checkpoints/tessella"
 #: Bits of a row's number within its partition, in Spark's increasing ids.
 WITHIN_BITS = 33
 
@@ -116,9 +114,9 @@ def filter_kind(df: DataFrame, column: str) -> str:
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
-    """The non-empty values of a column in natural order, as (value, place)."""
+    """The non-empty values of a column with their place in natural order, as (value, place)."""
     values = df.select(F.col(column).cast("string").alias("value")).where("value IS NOT NULL AND value <> ''").distinct()
-    return values.orderBy(natural_key(F.col("value")), "value")
+    return numbered(values, [natural_key(F.col("value")), F.col("value")])
 
 
 def column_range(df: DataFrame, column: str) -> DataFrame:
@@ -151,14 +149,13 @@ def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFra
     anew could have other bounds. Only the number of rows of each partition comes to the driver. A page is ``row_range``.
     """
     spark = df.sparkSession
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
     keyed = df.withColumns({f"_k{k}": c for k, c in enumerate(order)})
     keys = [f"_k{k}" for k in range(len(order))]
     ranged = keyed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
     ranged = ranged.drop(*keys).withColumn("_at", F.monotonically_increasing_id())
-    folder = f"{shared}/numbered-{uuid.uuid4().hex}"
-    ranged.write.parquet(folder)
-    ranged = spark.read.schema(ranged.schema).parquet(folder)
+    at = folder(spark, "numbered")
+    ranged.write.mode("overwrite").parquet(at)
+    ranged = spark.read.schema(ranged.schema).parquet(at)
     part = F.shiftright("_at", WITHIN_BITS).cast("int")
     starts, total = [], 0
     for p, n in sorted(ranged.groupBy(part.alias("_part")).count().collect()):
@@ -170,6 +167,13 @@ def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFra
     return out.withColumn(name, F.col("_start") + within + 1).select(*df.columns, name)
 
 
+def numbered_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "i") -> DataFrame:
+    """All rows with their place, from 0, among the rows of their key; a key with a large share of the rows is spread over tasks."""
+    placed = numbered(df, [*map(F.col, keys), *order], "_place")
+    first = placed.groupBy(*keys).agg(F.min("_place").alias("_first"))
+    return placed.join(first, keys).withColumn(name, F.col("_place") - F.col("_first")).select(*df.columns, name)
+
+
 def row_range(df: DataFrame, order: list[Column], first: int, last: int) -> DataFrame:
     """The rows between two display rows (from 1, either way round), both included."""
     low, high = sorted((first, last))

@@ -17,17 +17,19 @@ def round6(x: str) -> str:
 
 
 @register("rename_plan", r"""
-WITH f AS (SELECT p_partkey, p_brand AS folder, CASE WHEN p_size % 4 = 0 THEN 'a?' ELSE 'a' END || p_size % 3 || CASE WHEN p_size % 5 = 0 THEN ':' ELSE '' END || '.wav' AS filename FROM part),
-d AS (SELECT DISTINCT folder, filename FROM f),
-n AS (SELECT folder, filename, regexp_matches(filename, '[\x00-\x1f<>:"/\\|?*]') AS bad, regexp_replace(filename, '\.[^.]*$', '') AS stem FROM d),
-c AS (SELECT *, CASE WHEN bad THEN trim(regexp_replace(regexp_replace(stem, '[\x00-\x1f<>:"/\\|?*]', ' ', 'g'), '\s+', ' ', 'g')) ELSE stem END AS clean FROM n),
-k AS (SELECT *, row_number() OVER (PARTITION BY folder, lower(clean) ORDER BY bad, folder || '/' || filename) AS nth FROM c)
-SELECT folder || '/' || filename AS old, folder || '/' || clean || CASE WHEN nth > 1 THEN ' ' || nth ELSE '' END || '.wav' AS new FROM k WHERE bad
+WITH f AS (SELECT DISTINCT p_brand AS folder, CASE WHEN p_size % 4 = 0 THEN 'a?' WHEN p_size % 4 = 1 THEN 'a:' ELSE 'a ' END || p_size % 3 || CASE WHEN p_size % 4 < 2 THEN '' WHEN p_size % 5 = 0 THEN '_1' WHEN p_size % 5 = 1 THEN '_3' ELSE '' END || '.wav' AS filename FROM part),
+n AS (SELECT *, regexp_matches(filename, '[<>:"/\\|?*]') AS bad, 'a ' || filename[3] AS stem, filename[4:-5] AS mark FROM f),
+taken AS (SELECT DISTINCT folder, stem, CASE WHEN mark = '' THEN 0 ELSE mark[2:]::INT END AS k FROM n WHERE NOT bad),
+wanted AS (SELECT *, row_number() OVER (PARTITION BY folder, stem ORDER BY lower(folder || '/' || filename), folder || '/' || filename) AS nth FROM n WHERE bad),
+free AS (SELECT w.folder, w.stem, g.k, row_number() OVER (PARTITION BY w.folder, w.stem ORDER BY g.k) AS nth FROM (SELECT DISTINCT folder, stem FROM wanted) w CROSS JOIN (SELECT unnest(range(0, 12)) AS k) g
+  WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.folder = w.folder AND t.stem = w.stem AND t.k = g.k))
+SELECT w.folder || '/' || filename AS old, w.folder || '/' || w.stem || CASE WHEN k > 0 THEN '_' || k ELSE '' END || '.wav' AS new FROM wanted w JOIN free f ON w.folder = f.folder AND w.stem = f.stem AND w.nth = f.nth
 """)
 def rename_plan(spark: SparkSession, folder: str) -> DataFrame:
-    """New names for files that can't be stored everywhere, with numbers where the clean name is taken."""
+    """New names for files that can't be stored everywhere, with the first free number where the clean name is taken."""
     size = F.col("p_size")
-    name = F.concat(F.when(size % 4 == 0, "a?").otherwise("a"), (size % 3).cast("string"), F.when(size % 5 == 0, ":").otherwise(""), F.lit(".wav"))
+    mark = F.when(size % 4 < 2, "").when(size % 5 == 0, "_1").when(size % 5 == 1, "_3").otherwise("")
+    name = F.concat(F.when(size % 4 == 0, "a?").when(size % 4 == 1, "a:").otherwise("a "), (size % 3).cast("string"), mark, F.lit(".wav"))
     files = table(spark, folder, "part").select(F.concat_ws("/", "p_brand", name).alias("path"), name.alias("filename")).distinct()
     return catalog.plan_renames(files)
 
@@ -282,12 +284,11 @@ SELECT user_id, floor(20.0::DOUBLE * log10(sqrt(sum(e) / sum(n)) + 1e-12::DOUBLE
 """)
 def cumulative_energy(spark: SparkSession, folder: str) -> DataFrame:
     """The level of a long signal from the sums of its blocks."""
-    blocks = table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.sum(F.col("value") * F.col("value")).alias("e"), F.count("*").alias("n"))
-    whole = blocks.groupBy("user_id").agg((F.sum("e") / F.sum("n")).alias("ms"))
-    return whole.select("user_id", C.half_up(C.rms_db(F.col("ms"), 1e-12), 2).alias("rms_db"))
+    blocks = table(spark, folder, "events").groupBy("user_id", "event_type").agg(F.sum(F.col("value") * F.col("value")).alias("energy"), F.count("*").alias("n"))
+    return segments.level_of_blocks(blocks, ["user_id"]).select("user_id", C.half_up(F.col("level"), 2).alias("rms_db"))
 
 
-@register("catalog_order", "SELECT page_id, row_number() OVER (ORDER BY lower(url), page_id) AS place FROM pages QUALIFY place <= 500")
+@register("catalog_order", "SELECT page_id, row_number() OVER (ORDER BY lower(url), page_id) AS place FROM pages")
 def catalog_order(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of the catalog with its place in the catalog's own order."""
     pages = table(spark, folder, "pages").select("page_id", F.lower("url").alias("u"))

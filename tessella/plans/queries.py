@@ -47,10 +47,10 @@ found AS (SELECT {keys}, first AS "start", last AS "end" FROM ended WHERE last -
 @register("view_text_filter", """
 SELECT d.doc_id, lang, source, n_chars, coalesce(quality, 0) AS quality, coalesce(toxic, -1) AS toxic,
   row_number() OVER (ORDER BY source_key, d.doc_id) AS place
-FROM (SELECT *, array_to_string(list_transform(regexp_extract_all(lower(coalesce(source, '')), '[0-9]+|[^0-9]+'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN lpad(t, 20, '0') ELSE t END), '') AS source_key FROM documents) d
+FROM (SELECT *, array_to_string(list_transform(regexp_extract_all(lower(coalesce(source, '')), '[0-9]+|[^0-9]+'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN lpad(length(ltrim(t, '0'))::VARCHAR, 10, '0') || ltrim(t, '0') ELSE t END), '') AS source_key FROM documents) d
 LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id
 WHERE contains(lower(concat_ws(' ', coalesce(text, ''), coalesce(lang, ''), coalesce(source, ''))), 'the') AND contains(lower(concat_ws(' ', coalesce(text, ''), coalesce(lang, ''), coalesce(source, ''))), 'src1')
-  AND n_chars BETWEEN 200 AND 5000 QUALIFY place <= 500
+  AND n_chars BETWEEN 200 AND 5000
 """)
 def view_text_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Every row of a view with its place: text terms, a range, sidecar defaults and natural sort."""
@@ -81,25 +81,35 @@ def view_full_range(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register("view_sidecar_join", """
-SELECT d.doc_id, source, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic, coalesce(quality, 0)::DOUBLE - coalesce(toxic, 0) AS score
+SELECT d.doc_id AS path, source, coalesce(quality, 0) AS rating, coalesce(toxic, 0) AS plays, coalesce(CASE WHEN toxic = 1 THEN 'toxic' END, '') AS tags,
+  CASE WHEN toxic = 1 AND quality = 1 THEN -40.0::DOUBLE END AS silence_db, CASE WHEN toxic = 1 AND quality = 1 THEN 0.5::DOUBLE END AS min_gap_s, CASE WHEN toxic = 1 THEN 3 END AS chops,
+  CASE WHEN toxic = 1 THEN quality = 0 END AS continuous, CASE WHEN quality = 1 THEN -20.0::DOUBLE + 2.5 END AS final_db
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 """)
 def view_sidecar_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Sidecar values with the stand-ins of missing ones."""
-    joined = table(spark, folder, "documents").select("doc_id", "source").join(table(spark, folder, "labels"), "doc_id", "left")
-    return joined.select("doc_id", "source", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"), (F.coalesce("quality", F.lit(0)).cast("double") - F.coalesce("toxic", F.lit(0))).alias("score"))
+    """A catalog with its user data, chop parameters and loudness, and the stand-ins of what is missing."""
+    records = table(spark, folder, "documents").select(F.col("doc_id").alias("path"), "source")
+    labels, toxic, good = table(spark, folder, "labels").withColumnRenamed("doc_id", "path"), F.col("toxic") == 1, F.col("quality") == 1
+    user = labels.select("path", F.col("quality").alias("rating"), F.col("toxic").alias("plays"), F.when(toxic, "toxic").alias("tags"), F.when(good, 2.5).alias("gain_db"), F.lit(1).alias("size"))
+    chops = labels.where(toxic).select("path", F.when(good, -40.0).alias("silence_db"), F.lit(0.5).alias("min_gap_s"), F.lit(0.3).alias("min_sound_s"), F.lit(3).alias("chops"), (~good).alias("continuous"))
+    loud = labels.where(good).select("path", F.lit(-20.0).alias("lufs"), F.lit(1).alias("size"))
+    joined = catalog.with_sidecars(records, user, chops, loud)
+    return joined.select("path", "source", "rating", "plays", "tags", "silence_db", "min_gap_s", "chops", "continuous", "final_db")
 
 
 @register("tracklist_enrich", """
-SELECT l_orderkey, l_linenumber, coalesce(nullif(CASE WHEN p_size > 25 THEN p_brand ELSE '' END, ''), 'folder ' || l_returnflag) AS library, coalesce(p_type, '') AS supplier
-FROM lineitem LEFT JOIN part ON l_partkey = p_partkey
+SELECT l_orderkey, l_linenumber, 'Bundle ' || l_returnflag AS bundle, coalesce(nullif(CASE WHEN p_size > 25 THEN p_brand ELSE '' END, ''), 'Lib' || l_linenumber) AS library,
+  coalesce(nullif(p_type, ''), 'Sup ' || l_linestatus) AS supplier, CASE WHEN p_partkey % 2 = 0 THEN 'http://x/' || p_partkey ELSE '' END AS url
+FROM (SELECT * FROM lineitem) LEFT JOIN (SELECT * FROM part WHERE p_size % 5 <> 0) ON l_partkey = p_partkey
 """)
 def tracklist_enrich(spark: SparkSession, folder: str) -> DataFrame:
-    """Facts with their tracklist's library, or the folder's where that is empty."""
-    part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_size") > 25, F.col("p_brand")).otherwise("").alias("_library"), "p_type")
-    facts = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").join(part, "l_partkey", "left")
-    library = F.coalesce(F.nullif(F.col("_library"), F.lit("")), F.concat(F.lit("folder "), F.col("l_returnflag")))
-    return facts.select("l_orderkey", "l_linenumber", library.alias("library"), F.coalesce("p_type", F.lit("")).alias("supplier"))
+    """Files with their tracklist's library, supplier and link, or their folder's where that has none."""
+    name = lambda key: F.concat(F.lit("snd"), F.col(key).cast("string"), F.lit(".wav"))
+    part = table(spark, folder, "part").where("p_size % 5 <> 0")
+    listed = part.select(F.upper(name("p_partkey")).alias("filename"), F.when(F.col("p_size") > 25, F.col("p_brand")).otherwise("").alias("library"), F.col("p_type").alias("supplier"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("http://x/"), F.col("p_partkey").cast("string"))).alias("url"))
+    own = F.concat(F.lit("Sup "), "l_linestatus", F.lit(" - Lib"), F.col("l_linenumber").cast("string"), F.lit("_"))
+    files = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", name("l_partkey").alias("filename"), F.concat_ws("/", F.concat(F.lit("Bundle "), "l_returnflag"), own, name("l_partkey")).alias("path"))
+    return catalog.enrich(files, listed).select("l_orderkey", "l_linenumber", "bundle", "library", "supplier", "url")
 
 
 @register("only_missing", "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -170,7 +180,7 @@ def keyword_df(spark: SparkSession, folder: str) -> DataFrame:
     return keywords.document_frequency(table(spark, folder, "documents"), ["source", "lang"], ["text"])
 
 
-NATURAL_SQL = "array_to_string(list_transform(regexp_extract_all(lower({0}), '[0-9]+|[^0-9]+'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN lpad(t, 20, '0') ELSE t END), '')"
+NATURAL_SQL = "array_to_string(list_transform(regexp_extract_all(lower({0}), '[0-9]+|[^0-9]+'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN lpad(length(ltrim(t, '0'))::VARCHAR, 10, '0') || ltrim(t, '0') ELSE t END), '')"
 
 
 @register("keyword_top", f"""
@@ -187,16 +197,15 @@ def keyword_top(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("natural_sort", f"SELECT p_partkey, p_brand, dense_rank() OVER (ORDER BY {NATURAL_SQL.format('p_brand')}) AS place FROM part")
 def natural_sort(spark: SparkSession, folder: str) -> DataFrame:
-    """Brands in natural order: the few distinct values are numbered, then joined."""
-    part = table(spark, folder, "part").select("p_partkey", "p_brand")
-    places = part.select("p_brand").distinct().withColumn("place", F.dense_rank().over(Window.orderBy(C.natural_key(F.col("p_brand")))))
-    return part.join(places, "p_brand").select("p_partkey", "p_brand", "place")
+    """Brands in natural order: distinct keys are numbered in a range sort, then joined."""
+    part = table(spark, folder, "part").select("p_partkey", "p_brand", C.natural_key(F.col("p_brand")).alias("key"))
+    places = view.numbered(part.select("key").distinct(), [F.col("key")])
+    return part.join(places, "key").select("p_partkey", "p_brand", "place")
 
 
 @register("distinct_values", f"SELECT p_type AS value, row_number() OVER (ORDER BY {NATURAL_SQL.format('p_type')}, p_type) AS place FROM (SELECT DISTINCT p_type FROM part WHERE p_type <> '')")
 def distinct_values(spark: SparkSession, folder: str) -> DataFrame:
-    values = view.distinct_values(table(spark, folder, "part"), "p_type")
-    return values.withColumn("place", F.row_number().over(Window.orderBy(C.natural_key(F.col("value")), "value")))
+    return view.distinct_values(table(spark, folder, "part"), "p_type")
 
 
 @register("filter_kinds", """
@@ -219,7 +228,7 @@ SELECT count(*) AS records, count(*) FILTER (quality = 1) AS good, count(*) FILT
 """)
 def global_counts(spark: SparkSession, folder: str) -> DataFrame:
     joined = table(spark, folder, "documents").select("doc_id", "n_chars").join(table(spark, folder, "labels"), "doc_id", "left")
-    return joined.agg(F.count("*").alias("records"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality").isNull()).alias("missing"), F.count_if(F.col("n_chars") > 1000).alias("long"))
+    return catalog.counted(joined, {"good": F.col("quality") == 1, "missing": F.col("quality").isNull(), "long": F.col("n_chars") > 1000})
 
 
 @register("gap_segments", f"""
@@ -277,9 +286,9 @@ SELECT event_type, floor(quantile_cont(value, 0.05) * 1e6 + 0.5) / 1e6 AS p5, fl
 """)
 def percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Exact, interpolated percentiles."""
-    at = [0.05, 0.5, 0.9, 0.95]
-    found = table(spark, folder, "events").groupBy("event_type").agg(F.percentile("value", F.array(*map(F.lit, at))).alias("p"))
-    return found.select("event_type", *(C.half_up(F.get("p", F.lit(k)), 6).alias(f"p{round(q * 100)}") for k, q in enumerate(at)))
+    at = {f"p{round(q * 100)}": q for q in (0.05, 0.5, 0.9, 0.95)}
+    found = segments.quantiles(table(spark, folder, "events"), ["event_type"], "value", "event_id", at)
+    return found.select("event_type", *(C.half_up(F.col(n), 6).alias(n) for n in at))
 
 
 @register("frame_rms", """
@@ -288,9 +297,8 @@ frames AS (SELECT event_type, i // 50 AS frame_idx, avg(x * x) AS ms, count(*) A
 SELECT event_type, frame_idx, floor(20.0::DOUBLE * log10(sqrt(ms) + 1e-9::DOUBLE) * 1e6 + 0.5) / 1e6 AS level FROM frames WHERE n = 50 OR frame_idx = 0
 """)
 def frame_rms(spark: SparkSession, folder: str) -> DataFrame:
-    """RMS levels of whole frames of 50 samples."""
-    order = Window.partitionBy("event_type").orderBy("event_id")
-    samples = table(spark, folder, "events").select("event_type", (F.row_number().over(order) - 1).alias("i"), (F.col("value") / 500.0).alias("x"))
+    """RMS levels of whole frames of 50 samples; the few types are numbered in a range sort."""
+    samples = view.numbered_within(table(spark, folder, "events").select("event_type", "event_id", (F.col("value") / 500.0).alias("x")), ["event_type"], [F.col("event_id")])
     found = segments.frame_rms(samples, ["event_type"], 50, keep_tail=False)
     return found.withColumn("level", C.half_up(F.col("level"), 6))
 
@@ -492,13 +500,10 @@ def doc_text(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", text.alias("text"))
 
 
-@register("edit_fold", """
-SELECT user_id, event_type, arg_max(value, struct_pack(ts := ts, event_id := event_id)) AS value, count(*) AS edits FROM events GROUP BY user_id, event_type
-""")
+@register("edit_fold", "SELECT user_id AS path, event_type AS field, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")
 def edit_fold(spark: SparkSession, folder: str) -> DataFrame:
     """The latest value of each field of each record."""
-    log = table(spark, folder, "events")
-    return log.groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.count("*").alias("edits"))
+    return edits.folded(table(spark, folder, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("path"), F.col("event_type").alias("field"), "value"))
 
 
 @register("edit_wide", """
@@ -531,14 +536,6 @@ def rename_migration(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.rename(table(spark, folder, "part").select("p_partkey", F.col("p_brand").alias("path")), moves)
 
 
-@register("sibling_join", "SELECT a.page_id, b.page_id AS sibling_id FROM pages a JOIN pages b ON regexp_replace(a.url, '[^/]*$', '') = regexp_replace(b.url, '[^/]*$', '') AND a.page_id + 1 = b.page_id")
-def sibling_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Directory mates with consecutive ids; siblings by stem and suffix are ``sibling_paths``."""
-    pages = table(spark, folder, "pages").select("page_id", F.regexp_replace("url", "[^/]*$", "").alias("dir"))
-    other = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("page_id").alias("sibling_id"), "dir")
-    return pages.join(other, ["page_id", "dir"]).select("page_id", "sibling_id")
-
-
 @register("sibling_paths", r"""
 WITH f AS (SELECT 'lib/' || page_id // 2 || CASE WHEN page_id % 2 = 0 THEN '.wav' WHEN page_id % 3 = 0 THEN '.ogg' ELSE '_16bit.wav' END AS path FROM pages)
 SELECT f.path, g.path AS sibling FROM f JOIN f g ON g.path = regexp_replace(f.path, '\.[^.]*$', '') || '_16bit.wav' WHERE f.path <> g.path
@@ -587,15 +584,14 @@ def tokens(spark: SparkSession, folder: str) -> DataFrame:
 @register("json_props", "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k, json_valid(props) AS valid FROM events")
 def json_props(spark: SparkSession, folder: str) -> DataFrame:
     """JSON values read with an explicit type."""
-    return table(spark, folder, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("double").alias("k"), F.try_parse_json("props").isNotNull().alias("valid"))
+    return table(spark, folder, "events").select("event_id", C.json_number(F.col("props"), "$.k").alias("k"), C.is_json(F.col("props")).alias("valid"))
 
 
 @register("effective_params", """
-SELECT d.doc_id, CASE WHEN quality IS NOT NULL THEN -40.0 - quality ELSE -60.0 END::DOUBLE AS silence_db, CASE WHEN quality IS NOT NULL THEN 0.5 ELSE 1.5 END::DOUBLE AS min_gap_s FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+SELECT d.doc_id AS path, CASE WHEN toxic = 0 THEN -40.0 - quality ELSE -60.0 - (d.doc_id % 3) END::DOUBLE AS silence_db, CASE WHEN toxic = 0 THEN 0.5 ELSE 1.5 END::DOUBLE AS min_gap_s FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 """)
 def effective_params(spark: SparkSession, folder: str) -> DataFrame:
     """Saved parameters where there are any, else the suggested threshold and the present setting."""
-    saved = table(spark, folder, "labels").select("doc_id", (F.lit(-40.0) - F.col("quality")).alias("silence_db"))
-    joined = table(spark, folder, "documents").select("doc_id").join(saved, "doc_id", "left")
-    has = F.col("silence_db").isNotNull()
-    return joined.select("doc_id", F.coalesce("silence_db", F.lit(-60.0)).alias("silence_db"), F.when(has, 0.5).otherwise(1.5).alias("min_gap_s"))
+    saved = table(spark, folder, "labels").select(F.col("doc_id").alias("path"), F.when(F.col("toxic") == 0, F.lit(-40.0) - F.col("quality")).alias("silence_db"), F.lit(0.5).alias("min_gap_s"))
+    records = table(spark, folder, "documents").select(F.col("doc_id").alias("path"))
+    return catalog.effective_params(records, saved, F.lit(-60.0) - F.col("path") % 3, {"min_gap_s": F.lit(1.5)}).select("path", "silence_db", "min_gap_s")

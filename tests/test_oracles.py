@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from tessella.plans import more_queries as _registered  # noqa: F401
+from tessella.plans import signal_queries as _registered  # noqa: F401
 from tessella.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
