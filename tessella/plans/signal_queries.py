@@ -179,7 +179,7 @@ def zero_snaps(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("best_ends", f"""
 WITH {CENTRED}, tries AS (SELECT user_id, unnest(range(25, least(last + 1 - 8, 45))) AS e FROM ends),
-errors AS (SELECT t.user_id, e, floor(avg((a.x - b.x) * (a.x - b.x)) * 1e9 + 0.5) AS mse FROM tries t JOIN samples a ON a.user_id = t.user_id AND a.i >= e AND a.i < e + 8 JOIN samples b ON b.user_id = t.user_id AND b.i = a.i - e + 5 GROUP BY 1, 2)
+errors AS (SELECT t.user_id, e, floor(avg((a.x - b.x) * (a.x - b.x)) * 1e9 + 0.325) AS mse FROM tries t JOIN samples a ON a.user_id = t.user_id AND a.i >= e AND a.i < e + 8 JOIN samples b ON b.user_id = t.user_id AND b.i = a.i - e + 5 GROUP BY 1, 2)
 SELECT user_id, min(mse)::BIGINT AS error FROM errors GROUP BY user_id
 """)
 def best_ends(spark: SparkSession, folder: str) -> DataFrame:
@@ -187,7 +187,7 @@ def best_ends(spark: SparkSession, folder: str) -> DataFrame:
 
     def one(x):
         end = dsp.best_end(x - 0.08, 5, 30, RATE, 0.01, 0.008)
-        return [(int(np.floor(((x[end : end + 8] - x[5:13]) ** 2).mean() * 1e9 + 0.5)),)]
+        return [(int(np.floor(((x[end : end + 8] - x[5:13]) ** 2).mean() * 1e9 + 0.325)),)]  # no tie: all are multiples of 0.05
 
     return each_signal(signals(spark, folder), one, "error long")
 
