@@ -1,11 +1,16 @@
 """Embedding near-duplicates by collision-counting projections.
 
-Equal vectors of a label are one class with a weight. All classes are sorted by a first random projection within their
-label and cut into blocks; linked vectors differ by a bounded amount there, so only blocks within that reach meet. In a
-pair of blocks each of PROJECTIONS one-dimensional projections is a line: for each query the vectors in the window
-around it collide, collisions are counted per pair, and pairs with enough are verified by cosine in double precision. Window and count follow from the threshold: the projections of a pair at the threshold differ by a normal
-variable of known spread, so the binomial count passes MISS short of always. Links are returned as counts and as stars
-of each block pair, never as all pairs.
+Equal vectors of a label are one class with a weight. A label's classes are split into cells by the signs of random
+projections, in several orders with projections of their own: as many signs, and then as many orders, as bring all but
+SPLIT_MISS of the pairs at the threshold into one cell at the least cost. Few classes are one cell; of many, each class
+meets some hundreds in each order, so the work grows little faster than their number. A cell is sorted by a further
+projection and cut into blocks; linked vectors differ by a bounded amount there, so only blocks within that reach meet.
+
+In a pair of blocks each of PROJECTIONS one-dimensional projections is a line: for each query the vectors in the window
+around it collide, collisions are counted per pair, and pairs with enough are verified by cosine in double precision.
+Window and count follow from the threshold: the projections of a pair at the threshold differ by a normal variable of
+known spread, so the binomial count passes MISS short of always. A pair counts in the first order in which it shares a
+cell. Links are returned as counts and as stars of each block pair, never as all pairs.
 
 Defined results: a vector that is null, zero, or holds null or non-finite components links with nothing, nor does one
 with a null label; vectors of different lengths do not link; repeated rows count as vectors of their own; a null vec_id
@@ -14,8 +19,9 @@ takes part but names no component; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
-from math import comb, erf, sqrt
+from math import acos, ceil, comb, erf, log, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -28,6 +34,10 @@ THRESHOLD = 0.93
 PROJECTIONS = 32
 #: The window around a query, in standard deviations of the difference of a pair at the threshold, and the share of such pairs that may be missed.
 WINDOW, MISS = 2.0, 1e-7
+#: The share of pairs at the threshold that no order may bring together, and the most signs and orders.
+SPLIT_MISS, MOST_SIGNS, MOST_ORDERS = 1e-6, 24, 250
+#: Costs in compared pairs, as measured: of a row in an order, and of a cell.
+ROW_COST, CELL_COST = 300, 40_000
 BLOCK = 1024
 
 
@@ -39,6 +49,24 @@ def directions(dim: int) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=4)
+def hyperplanes(dim: int, order: int) -> np.ndarray:
+    """(dim, MOST_SIGNS) normal directions whose signs split the cells of an order."""
+    return np.random.default_rng([dim, order, 1]).standard_normal((dim, MOST_SIGNS))
+
+
+def splits(n: int, threshold: float) -> tuple[int, int]:
+    """(signs, orders) of the least cost for ``n`` classes."""
+    best = (n / 2, 0, 1)
+    for signs in range(1, MOST_SIGNS + 1):
+        together = (1 - acos(threshold) / pi) ** signs
+        orders = ceil(log(SPLIT_MISS) / log(1 - together))
+        cell = max(n / 2**signs, 1)
+        if orders <= MOST_ORDERS:
+            best = min(best, (orders * (cell / 2 + CELL_COST / cell + ROW_COST), signs, orders))
+    return best[1:]
+
+
 def least_count(miss: float = MISS) -> int:
     """The most collisions that a pair at the threshold reaches but for ``miss`` of the cases."""
     p, below = erf(WINDOW / sqrt(2)), 0.0
@@ -84,6 +112,11 @@ def meet(threshold: float):
         u, v = links(x, y, threshold)
         if same:
             u, v = u[u < v], v[u < v]
+        order = int(rows["order"].iat[0])
+        if order:  # what shares a cell in an earlier order has been found there
+            cells = [np.frombuffer(b"".join(s["cells"]), np.int32).reshape(len(s), -1)[:, :order] for s in (a, b)]
+            new = ~(cells[0][u] == cells[1][v]).any(axis=1)
+            u, v = u[new], v[new]
         ids = [s["cid"].to_numpy()[k] for s, k in ((a, u), (b, v))]
         weights = [s["weight"].to_numpy()[k] for s, k in ((b, v), (a, u))]
         nodes, roots = stars(*ids) if len(u) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -93,6 +126,25 @@ def meet(threshold: float):
     return run
 
 
+def in_orders(classes: DataFrame) -> DataFrame:
+    """Each class (label, dim, cid, weight, embedding, signs, orders) once in each order: order, cell, the cells of all orders, and the place on the last line."""
+    kind, label = (classes.schema[c].dataType.simpleString() for c in ("embedding", "label"))
+    names = ["label", "dim", "order", "cell", "_line", "cid", "weight", "embedding", "cells"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for (dim, signs, orders), rows in whole.groupby(["dim", "signs", "orders"]):
+                x = np.array(rows["embedding"].tolist(), float).reshape(len(rows), -1)
+                x /= np.linalg.norm(x, axis=1)[:, None]
+                powers = 1 << np.arange(signs, dtype=np.int32)
+                cells = np.stack([((x @ hyperplanes(int(dim), k)[:, :signs] > 0) @ powers).astype(np.int32) if signs else np.zeros(len(x), np.int32) for k in range(orders)], axis=1)
+                rows = rows.assign(_line=x @ directions(int(dim))[:, -1], cells=[c.tobytes() for c in cells])
+                for k in range(orders):
+                    yield rows.assign(order=k, cell=cells[:, k])[names]
+
+    return classes.mapInPandas(frugal(run), f"label {label}, dim int, order int, cell int, _line double, cid long, weight long, embedding {kind}, cells binary")
+
+
 def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     scratch = Scratch(spark, "embeddings")
@@ -103,33 +155,36 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     keyed = vectors.select("vec_id", "label", "embedding", F.when(usable, name).alias("_name"))
     classes = keyed.where("_name IS NOT NULL").groupBy("_name").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
 
-    def first_line(batches):
+    # Numbered as they are written, so that numbers stay.
+    numbered = scratch.save(classes.withColumns({"dim": F.size("embedding"), "cid": F.monotonically_increasing_id()}), "numbered")
+    sizes = numbered.groupBy("label", "dim").agg(F.count("*").alias("n"))
+
+    def planned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            rows["dim"] = rows["embedding"].map(len)
-            rows["_line"] = 0.0
-            for dim, some in rows.groupby("dim"):
-                x = np.array(some["embedding"].tolist(), float)
-                rows.loc[some.index, "_line"] = x @ directions(int(dim))[:, -1] / np.linalg.norm(x, axis=1)
-            yield rows
-
-    kind = classes.schema["embedding"].dataType.simpleString()
+            plans = [splits(n, threshold) for n in rows["n"].tolist()]
+            yield rows[["label", "dim"]].assign(signs=[p[0] for p in plans], orders=[p[1] for p in plans])
+
     label = classes.schema["label"].dataType.simpleString()
-    lined = scratch.save(classes.mapInPandas(frugal(first_line), f"_name string, weight long, least {classes.schema['least'].dataType.simpleString()}, label {label}, embedding {kind}, dim int, _line double").withColumn("_one", F.lit(1).cast("long")), "lined")
-    placed = scratch.save(running_total(scratch, "sorted", lined, [F.col("label"), F.col("dim"), F.col("_line"), F.col("_name")], "_one").withColumnRenamed("_before", "cid"), "placed")
-    starts = placed.groupBy("label", "dim").agg(F.min("cid").alias("_first"))
-    placed = scratch.save(placed.join(starts, ["label", "dim"]).withColumn("block", F.floor((F.col("cid") - F.col("_first")) / BLOCK)), "blocks")
-    ends = placed.groupBy("label", "dim", "block").agg(F.min("_line").alias("low"), F.max("_line").alias("high"))
-    later = ends.select("label", "dim", F.col("block").alias("other"), F.col("low").alias("from"))
+    plan = scratch.save(sizes.mapInPandas(planned, f"label {label}, dim int, signs int, orders int"), "plan")
+    rows = in_orders(numbered.join(plan, ["label", "dim"])).withColumn("_one", F.lit(1).cast("long"))
+    group = ["label", "dim", "order", "cell"]
+    placed = scratch.save(running_total(scratch, "sorted", rows, [*map(F.col, group), F.col("_line"), F.col("cid")], "_one").withColumnRenamed("_before", "_at"), "placed")
+    starts = placed.groupBy(*group).agg(F.min("_at").alias("_first"))
+    placed = scratch.save(placed.join(starts, group).withColumn("block", F.floor((F.col("_at") - F.col("_first")) / BLOCK)), "blocks")
+    scratch.drop("sorted", "placed")
+    ends = placed.groupBy(*group, "block").agg(F.min("_line").alias("low"), F.max("_line").alias("high"))
+    later = ends.select(*group, F.col("block").alias("other"), F.col("low").alias("from"))
     reach = spread(threshold) * (1 + 1e-9)
-    pairs = ends.join(later, ["label", "dim"]).where((F.col("other") >= F.col("block")) & (F.col("from") <= F.col("high") + reach)).select("label", "dim", "block", "other")
+    pairs = ends.join(later, group).where((F.col("other") >= F.col("block")) & (F.col("from") <= F.col("high") + reach)).select(*group, "block", "other")
     pairs = scratch.save(pairs, "pairs")
-    left = placed.join(pairs, ["label", "dim", "block"]).select("label", "dim", "block", "other", "cid", "weight", "embedding", F.lit(0).alias("_side"))
-    right = placed.withColumnRenamed("block", "other").join(pairs.where("other > block"), ["label", "dim", "other"]).select("label", "dim", "block", "other", "cid", "weight", "embedding", F.lit(1).alias("_side"))
-    found = left.union(right).groupBy("label", "dim", "block", "other").applyInPandas(meet(threshold), "cid long, n long, other long")
+    given = [*group, "block", "other", "cid", "weight", "embedding", "cells"]
+    left = placed.join(pairs, [*group, "block"]).select(*given, F.lit(0).alias("_side"))
+    right = placed.withColumnRenamed("block", "other").join(pairs.where("other > block"), [*group, "other"]).select(*given, F.lit(1).alias("_side"))
+    found = left.union(right).groupBy(*group, "block", "other").applyInPandas(meet(threshold), "cid long, n long, other long")
     found = scratch.save(found, "found")
     joined = components(scratch, found.select(F.col("cid").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("cid").agg(F.sum("n").alias("n"))
-    named = placed.join(counts, "cid", "left").join(joined.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    named = numbered.join(counts, "cid", "left").join(joined.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     named = scratch.save(named.select("_name", "cid", "weight", "least", "component", F.coalesce("n", F.lit(0)).alias("n")), "named")
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     table = scratch.save(named.join(smallest, "component").select("_name", "component_id", (F.col("n") + F.col("weight") - 1).alias("n_links")), "classes")

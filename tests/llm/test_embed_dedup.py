@@ -29,9 +29,11 @@ def plain(rows, threshold):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_equals_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, split", [(1024, None), (16, None), (1024, (3, 16)), (16, (2, 10))])
+def test_equals_all_pairs(spark, monkeypatch, block, split):
     monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    if split:  # cells in several orders, however few the classes
+        monkeypatch.setattr(embed_dedup, "splits", lambda n, threshold: split)
     rng = np.random.default_rng(4)
     rows = []
     for label in range(3):
@@ -59,3 +61,26 @@ def test_calibrated_count_recalls_threshold_pairs():
     b = 0.9300001 * a + np.sqrt(1 - 0.9300001**2) * b
     u, v = embed_dedup.links(a, b, 0.93)
     assert set(range(400)) <= {i for i, j in zip(u, v) if i == j}
+
+
+def test_splits_recall_threshold_pairs_at_little_cost():
+    """Few classes are one cell; of many, each meets few, and pairs at the threshold share a cell of some order."""
+    assert embed_dedup.splits(2000, 0.93) == (0, 1)
+    costs = []
+    for n in (10**6, 10**8):
+        signs, orders = embed_dedup.splits(n, 0.93)
+        assert (1 - (1 - np.arccos(0.93) / np.pi) ** signs) ** orders <= embed_dedup.SPLIT_MISS
+        costs.append(orders * (n / 2**signs / 2 + embed_dedup.ROW_COST))
+    assert costs[1] < 5 * costs[0]  # for a hundred times the classes
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(3000, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.normal(size=(3000, 64))
+    b -= np.einsum("ij,ij->i", a, b)[:, None] * a
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    signs, orders = embed_dedup.splits(10**6, 0.93)
+    together = np.zeros(3000, bool)
+    for k in range(orders):
+        h = embed_dedup.hyperplanes(64, k)[:, :signs]
+        together |= ((a @ h > 0) == (b @ h > 0)).all(axis=1)
+    assert together.all()
