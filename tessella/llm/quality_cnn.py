@@ -2,8 +2,8 @@
 
 Filters over WIDTH bytes (a learned table of weights for each place and byte) slide over the whole text. Overlapping
 chunks of CHUNK bytes, which together cover the text, take the maximum of each filter; a rectified linear layer makes a
-logit of a chunk, and a logistic layer over the mean, least and greatest chunk logit and the text's length makes one
-probability. Trained with Adam on a bounded sample of labelled documents.
+logit of a chunk, and a logistic layer over the mean, least and greatest chunk logit makes one probability. Trained with
+Adam, in a fixed number of steps, on a bounded sample of labelled documents.
 
 Defined results: a null or empty text has one chunk in which no filter fires; a NUL byte counts as padding; repeated
 rows are scored each; a null doc_id has the remainder of an empty text; without usable labels of both kinds the score
@@ -26,7 +26,7 @@ WIDTH, FILTERS = 6, 16
 BLOCK, CHUNK_BLOCKS, STRIDE_BLOCKS = 64, 8, 7
 CHUNK = BLOCK * CHUNK_BLOCKS
 THRESHOLD = 0.3
-EPOCHS, BATCH, RATE = 14, 64, 0.01
+STEPS, BATCH, RATE = 2500, 64, 0.01
 #: Bounds of the training sample: documents of each label, bytes of each, chunks of each.
 SAMPLE = {0: 1500, 1: 2500}
 SAMPLE_BYTES = 20_000
@@ -80,13 +80,13 @@ def chunk_maxima(table: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.
 
 
 def features(model: dict, texts: list[bytes]) -> np.ndarray:
-    """Mean, least and greatest chunk logit and log length of each text."""
+    """Mean, least and greatest chunk logit of each text."""
     if not texts:
-        return np.zeros((0, 4))
+        return np.zeros((0, 3))
     maxima, chunks = chunk_maxima(model["table"], texts)
     logits = np.maximum(maxima + model["bias"], 0) @ model["out"] + model["shift"]
     at = np.cumsum(chunks) - chunks
-    return np.column_stack([np.add.reduceat(logits, at) / chunks, np.minimum.reduceat(logits, at), np.maximum.reduceat(logits, at), np.log1p([len(t) for t in texts])])
+    return np.column_stack([np.add.reduceat(logits, at) / chunks, np.minimum.reduceat(logits, at), np.maximum.reduceat(logits, at)])
 
 
 def train(rows: list[tuple[str, int]], seed: int = 0) -> dict | None:
@@ -111,10 +111,11 @@ def train(rows: list[tuple[str, int]], seed: int = 0) -> dict | None:
     }
     p["table"][:, 0] = PAD
     moments, step = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}, 0
-    epochs = max(EPOCHS, min(150, EPOCHS * 4000 // max(1, len(x))))  # small samples need as many steps
-    for _ in range(epochs):
+    while step < STEPS:
         order = rng.permutation(len(x))
         for at in range(0, len(order), BATCH):
+            if step == STEPS:
+                break
             pick = order[at : at + BATCH]
             b = x[pick]
             values = p["table"][0].take(b[:, :CHUNK], axis=0)
