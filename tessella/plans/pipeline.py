@@ -71,7 +71,7 @@ class Library:
     def _vectors(self, name: str, make, only_missing: bool) -> dict:
         records, old = self.table("catalog"), self.table(name)
         work = catalog.missing(records, old) if only_missing else records
-        self.put(name, catalog.merge_vectors(old, make(work), records))
+        stores.write_vectors(catalog.merge_vectors(old, make(work), records), f"{self.store}/{name}")
         return {"ok": True, "total": self.table(name).count()}
 
     def fingerprint(self, only_missing: bool = True) -> dict:

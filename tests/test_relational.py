@@ -257,6 +257,8 @@ def test_stores(spark, tmp_path):
     assert [tuple(r) for r in stores.read_vectors(spark, str(tmp_path / "v.npz")).orderBy("path").collect()] == [("a", [1.0, 0.0], "m"), ("b", [0.0, 1.0], "m")]
     assert stores.view_state('{"order": [2, 2, 9], "sort": 99, "search": 5}', 3) == {"order": [2, 0, 1], "sort": 2, "descending": False, "search": "5"}
     assert stores.view_state("nonsense", 2)["order"] == [0, 1]
+    (tmp_path / "config.json").write_text('{"library_root": "/lib"}')
+    assert stores.read_config(str(tmp_path / "config.json")) == {"library_root": "/lib"}
     assert stores.preprocessor({"fft_window_size": 512, "max_length_s": 2})["nb_max_samples"] == 96000
 
 
@@ -307,3 +309,30 @@ def test_renames_avoid_each_other(spark):
     kept = {f"d/{n}" for n in names} - set(moves)
     assert len(set(moves.values())) == len(moves) == 5 and not set(moves.values()) & kept
     assert catalog.plan_renames(records.limit(0)).count() == 0
+
+
+def test_quantiles_and_numbers_within_keys(spark):
+    """Exact quantiles of keys of any share, nulls and ties included, as numpy gives them."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [("hot", float(np.round(x, 2)), k) for k, x in enumerate(rng.normal(size=2000))] + [("one", 5.0, 9001), ("two", 1.0, 9002), ("two", 2.0, 9003), ("hot", None, 9004), ("hot", float("nan"), 9005), ("none", None, 9006)]
+    df = spark.createDataFrame(rows, "k string, v double, id long").repartition(5)
+    at = {"low": 0.05, "mid": 0.5, "high": 0.999}
+    found = {r.k: (r.low, r.mid, r.high) for r in segments.quantiles(df, ["k"], "v", "id", at).collect()}
+    plain = {k: [v for kk, v, _ in rows if kk == k and v is not None and v == v] for k in ("hot", "one", "two")}
+    assert set(found) == set(plain)
+    for k, values in plain.items():
+        np.testing.assert_allclose(found[k], np.quantile(values, list(at.values())), atol=1e-12)
+    assert segments.quantiles(df.limit(0), ["k"], "v", "id", at).count() == 0
+    placed = view.numbered_within(df.where("k = 'two'"), ["k"], [F.col("v"), F.col("id")])
+    assert sorted((r.v, r.i) for r in placed.collect()) == [(1.0, 0), (2.0, 1)]
+
+
+def test_pasted_and_cleared_cells(spark):
+    user = spark.createDataFrame([("a", " wet ", 99.0, None), ("b", None, None, 3)], "path string, tags string, gain_db double, rating int")
+    targets = spark.createDataFrame([("b",), ("c",)], "path string")
+    found = {(r.path, r.field): r.value for r in edits.pasted(user, "a", targets, ["tags", "gain_db", "rating"], 7).collect()}
+    assert found == {(p, f): v for p in "bc" for f, v in (("tags", "wet"), ("gain_db", "24.0"))}
+    assert edits.pasted(user, "nowhere", targets, ["tags"]).count() == 0
+    assert {(r.field, r.value) for r in edits.cleared(targets, ["tags", "level", "rating"]).collect()} == {("tags", ""), ("level", None)}
