@@ -60,3 +60,25 @@ def test_equals_brute_force(spark, tmp_path, monkeypatch, seed, family):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert S.remove_repeats(spark, str(tmp_path)).count() == 0
+
+
+def test_a_large_family_at_real_constants(spark, tmp_path):
+    """A passage in more texts than a task gathers different rows of: before and after it, every text goes on differently."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage = prose(50)
+    texts = [f"{prose(12)} {passage} {prose(12)}" for _ in range(S.FAMILY + 400)] + [passage, passage[:199], prose(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_repeats(spark, str(tmp_path)).collect()}
+    assert found == dict(enumerate(plain(texts)))
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "x" * 300, 5, 7), (2, "x" * 300, 5, 7)], "doc_id long, text string, _name int, core int")
+    found = S.deduplicated(spark, docs)
+    assert found.columns == ["doc_id", "text", "_name", "core", "_spans"]
+    assert [[(s.start, s.end) for s in r._spans] for r in found.collect()] == [[(0, 300)]] * 2
+    with pytest.raises(ValueError, match="_spans"):
+        S.deduplicated(spark, docs.withColumnRenamed("core", "_spans"))
