@@ -6,6 +6,7 @@ only missing) before these functions: Spark does not move a filter through them.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -59,30 +60,44 @@ def decoded(path: str) -> tuple[np.ndarray, int]:
 READ_FRAMES = 1 << 18
 
 
-def frames_in(f) -> int:
-    head = wav_header(f)
-    return int((head["duration"] or 0) * (head["sample_rate"] or 0))
+def blocks_of(path: str) -> tuple[int, Iterator[tuple[np.ndarray, int]]]:
+    """How many frames a file has, and (block, rate) of READ_FRAMES at a time. Other formats than WAV need ``soundfile``."""
+    with open(path, "rb") as f:
+        if f.read(4) in (b"RIFF", b"RF64"):
+            head = wav_header(f)
+            return int((head["duration"] or 0) * (head["sample_rate"] or 0)), _wav_blocks(path)
+    try:
+        import soundfile
+    except ImportError:
+        raise ValueError("no WAV file, and there is no soundfile") from None
+    info = soundfile.info(path)
+    return info.frames, ((x, info.samplerate) for x in soundfile.blocks(path, blocksize=READ_FRAMES, dtype="float64", always_2d=True))
 
 
-def analyse(path: str) -> dict:
-    """One read of a file in blocks: levels, loudness and peak. Without samples all of them are the floor.
+def _wav_blocks(path: str) -> Iterator[tuple[np.ndarray, int]]:
+    with open(path, "rb") as f:
+        yield from read_blocks(f, READ_FRAMES)
+
+
+def analyse(path: str, loudness: bool = True) -> dict:
+    """One read of a file in blocks: levels, loudness (unless it is not wanted) and peak. Without samples all of them are the floor.
 
     A file of over STREAM_FRAMES frames has its RMS level for a loudness, and keeps its tail frame.
     """
-    with open(path, "rb") as f:
-        long = frames_in(f) > dsp.STREAM_FRAMES
-        levels, energy, top, total, rest, rate, frame, meter = [], 0.0, 0.0, 0, np.zeros(0), 0, 1, None
-        for block, rate in read_blocks(f, READ_FRAMES):
-            frame, one = max(1, int(rate * dsp.FRAME_S)), dsp.mono(block)
-            energy, top, total = energy + float((one**2).sum()), max(top, float(np.abs(block).max(initial=0))), total + len(one)
+    frames, blocks = blocks_of(path)
+    long = frames > dsp.STREAM_FRAMES
+    levels, energy, top, total, rest, rate, frame, meter = [], 0.0, 0.0, 0, np.zeros(0), 0, 1, None
+    for block, rate in blocks:
+        frame, one = max(1, int(rate * dsp.FRAME_S)), dsp.mono(block)
+        energy, top, total = energy + float((one**2).sum()), max(top, float(np.abs(block).max(initial=0))), total + len(one)
+        if loudness and not long:
             meter = meter or dsp.Loudness(rate, block.shape[1])
-            if not long:
-                meter.add(block)
-            rest = np.concatenate([rest, one])
-            whole = len(rest) // frame * frame
-            if whole:
-                levels.append(dsp.frame_levels(rest[:whole], frame, keep_tail=False))
-            rest = rest[whole:]
+            meter.add(block)
+        rest = np.concatenate([rest, one])
+        whole = len(rest) // frame * frame
+        if whole:
+            levels.append(dsp.frame_levels(rest[:whole], frame, keep_tail=False))
+        rest = rest[whole:]
     if not rate:
         raise ValueError("no samples and no format")
     if not total:
@@ -90,17 +105,17 @@ def analyse(path: str) -> dict:
     if len(rest) and (long or not levels):
         levels.append(dsp.frame_levels(rest, frame, keep_tail=True))
     mean = round(float(dsp.db(np.sqrt(energy / total), dsp.LEVEL_EPS)), 2)
-    found = None if long else meter.result()
+    found = meter.result() if meter else None
     return {"levels": np.concatenate(levels), "frame": frame, "rate": rate, "frames": total, "lufs": mean if found is None else found, "peak_db": round(float(dsp.db(max(top, dsp.LEVEL_EPS))), 2)}
 
 
-def analysed(files: DataFrame) -> DataFrame:
-    """Levels, loudness and peak of each file; a file that can't be read has an error and nothing else."""
+def analysed(files: DataFrame, loudness: bool = True) -> DataFrame:
+    """Levels, loudness (the RMS level if it is not wanted) and peak of each file; a file that can't be read has an error and nothing else."""
 
     def one(path, row):
         try:
-            a = analyse(path)
-        except (OSError, ValueError) as problem:
+            a = analyse(path, loudness)
+        except (OSError, ValueError, struct.error) as problem:
             return [(row.path, None, None, None, None, None, None, str(problem))]
         return [(row.path, a["levels"], a["frame"] / a["rate"], a["rate"], a["frames"] / a["rate"], a["lufs"], a["peak_db"], None)]
 

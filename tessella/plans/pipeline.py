@@ -54,7 +54,7 @@ class Library:
         work = catalog.work_list(self.table("catalog"), *(wanted if only_missing else []), min_duration=min_duration)
         work = catalog.targeted(work, paths) if paths is not None else work
         short = F.col("continuous")
-        levels = analysis.analysed(self.uris(work.where(~short)))
+        levels = analysis.analysed(self.uris(work.where(~short)), loudness=only != "chopping")
         sizes = work.select("path", "size")
         stored = f"{self.store}/levels"
         stores.write_table(levels, stored)

@@ -129,12 +129,15 @@ def test_other_formats_are_decoded_or_fail(spark, tmp_path, capsys):
     assert code == 1 and not found["ok"]
     assert sorted(p.name for p in folder.iterdir()) == ["rain.mp3", "tone.wav"] and small.table("catalog").count() == 2
     stub = tmp_path / "soundfile.py"
-    stub.write_text("import numpy as np\ndef read(path, dtype, always_2d):\n    return np.array([[0.5, -2.0], [1.0, 0.0]] * 100), 8000\n")
+    stub.write_text("import numpy as np\nclass info:\n    frames, samplerate = 200, 8000\n    def __init__(self, path): pass\ndef blocks(path, blocksize, dtype, always_2d):\n    yield read(path, dtype, True)[0]\ndef read(path, dtype, always_2d):\n    return np.array([[0.5, -2.0], [1.0, 0.0]] * 100), 8000\n")
     spark.sparkContext.addPyFile(str(stub))
     try:
         code, found = run("rain.mp3")
+        files = spark.createDataFrame([("rain.mp3", str(folder / "rain.mp3"))], "path string, uri string")
+        decoded, loops = analysis.analysed(files).first(), analysis.loops(files).first()
     finally:
         os.remove(SparkFiles.get("soundfile.py"))
+    assert decoded.error is None and decoded.sample_rate == 8000 and decoded.peak_db == pytest.approx(6.02, abs=0.01) and loops.duration == 200 / 8000
     assert (code, found["written"], found["paths"]) == (0, 1, ["Bundle/Sup - Rain_/rain.wav"])
     x, rate = analysis.load(str(folder / "rain.wav"))
     assert rate == 8000 and x.shape == (200, 2) and x[0].tolist() == [0.25, -1.0]
