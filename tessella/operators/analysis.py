@@ -200,6 +200,20 @@ def loop_files(files: DataFrame) -> DataFrame:
     return per_file(files.select("path", "uri", "start_s", "end_s", "crossfade_ms", "curve"), one, "parent string, uri string, content binary")
 
 
+def preview_clips(files: DataFrame) -> DataFrame:
+    """(path, rate, channels, frames, content): 16-bit samples to listen to; ``files`` has segments and crossfade_ms (null: no loop)."""
+
+    def one(path, row):
+        x, rate = load(path)
+        if not len(x):
+            return []
+        fade = None if pd.isna(row.crossfade_ms) else float(row.crossfade_ms)
+        clip = dsp.preview_clip(x, rate, [(s["start"], s["end"]) for s in row.segments], fade)
+        return [(row.path, rate, x.shape[1], len(clip), clip.astype("<i2").tobytes())]
+
+    return per_file(files.select("path", "uri", "segments", "crossfade_ms"), one, "path string, rate int, channels int, frames int, content binary")
+
+
 def copies_16_bit(files: DataFrame) -> DataFrame:
     """(parent, uri, content) of 16-bit copies, without those that exist."""
     import os

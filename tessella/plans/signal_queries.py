@@ -207,6 +207,18 @@ def previews(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("total", C.half_up(F.col("total"), 6))
 
 
+@register("preview_clips", f"""
+WITH {SAMPLES.strip()} SELECT path, 'loop' AS kind, 30 AS frames, 60 AS bytes FROM file UNION ALL SELECT path, 'pieces', 10 + 1000 + n - 30, 2 * (10 + 1000 + n - 30) FROM file
+""")
+def preview_clips(spark: SparkSession, folder: str) -> DataFrame:
+    """Clips to listen to: a loop with its crossfade, and pieces with a second of silence between them."""
+    _, files = library(spark, folder)
+    span = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
+    kinds = {"loop": (F.array(span(0.0, 0.04)), F.lit(10.0)), "pieces": (F.array(span(0.01, 0.02), span(0.025, 0.025), span(0.03, 9.0)), F.lit(None).cast("double"))}
+    clips = [analysis.preview_clips(files.withColumns({"segments": s, "crossfade_ms": f})).withColumn("kind", F.lit(k)) for k, (s, f) in kinds.items()]
+    return clips[0].union(clips[1]).select("path", "kind", "frames", F.octet_length("content").alias("bytes"))
+
+
 @register("loop_suggestions")
 def loop_suggestions(spark: SparkSession, folder: str) -> DataFrame:
     """A loop region for each file; periods and prominences are beyond SQL, and tests hold them against plain signals."""

@@ -125,6 +125,10 @@ def test_pieces_and_preview():
     assert len(dsp.preview(dsp.pieces(x, 10, [(0, 1), (8, 99)]), 10)) == 40
     assert dsp.to_integers(np.array([2.0, -2.0, 0.5]), 16).tolist() == [32767, -32768, 16384]
     assert dsp.normal_peak(np.array([2.0, 1.0])).tolist() == [1.0, 0.5]
+    y = np.linspace(-1.5, 1.5, 100)[:, None]
+    loop = dsp.preview_clip(y, 10, [(2, 8)], 1000, 8)
+    np.testing.assert_array_equal(loop, np.clip(np.rint(dsp.crossfade_loop(y[20:80], 10) * 127), -128, 127))
+    assert len(dsp.preview_clip(y, 10, [(0, 1), (2, 2), (8, 9)], 1000)) == 30 and len(dsp.preview_clip(y, 10, [(2, 8)])) == 60
 
 
 @pytest.mark.parametrize("bits", [16, 24])
