@@ -219,6 +219,23 @@ def preview_clips(spark: SparkSession, folder: str) -> DataFrame:
     return clips[0].union(clips[1]).select("path", "kind", "frames", F.octet_length("content").alias("bytes"))
 
 
+@register("periods", f"""
+WITH {SAMPLES.strip()}, e AS (SELECT user_id, i, raw - avg(raw) OVER (PARTITION BY user_id) AS e, count(*) OVER (PARTITION BY user_id) AS n FROM samples),
+sums AS (SELECT a.user_id, b.i - a.i AS lag, sum(a.e * b.e) AS s, any_value(a.n) AS n FROM e a JOIN e b ON a.user_id = b.user_id AND b.i >= a.i GROUP BY 1, 2),
+own AS (SELECT user_id, lag, n, s / (max(CASE WHEN lag = 0 THEN s END) OVER (PARTITION BY user_id) + 1e-12::DOUBLE) AS x FROM sums),
+part AS (SELECT *, lag(x) OVER o AS before, lead(x) OVER o AS after FROM own WHERE lag >= 3 AND lag < n - 1 WINDOW o AS (PARTITION BY user_id ORDER BY lag)),
+tops AS (SELECT * FROM part WHERE x > before AND x > after),
+bounds AS (SELECT t.user_id, t.lag, t.x, coalesce(max(CASE WHEN p.lag < t.lag AND p.x > t.x THEN p.lag END), -1) AS low, coalesce(min(CASE WHEN p.lag > t.lag AND p.x > t.x THEN p.lag END), 1000000) AS high FROM tops t JOIN part p ON p.user_id = t.user_id GROUP BY 1, 2, 3),
+real AS (SELECT b.user_id, b.lag, b.x FROM bounds b JOIN part p ON p.user_id = b.user_id AND p.lag > b.low AND p.lag < b.high GROUP BY 1, 2, 3 HAVING b.x - greatest(min(CASE WHEN p.lag <= b.lag THEN p.x END), min(CASE WHEN p.lag >= b.lag THEN p.x END)) >= 0.12),
+best AS (SELECT user_id, arg_max(lag, x) * 10 AS period, max(x) AS x FROM real GROUP BY user_id)
+SELECT f.user_id, period, {round6("coalesce(x, 0.0)")} AS strength FROM file f LEFT JOIN best b ON f.user_id = b.user_id
+""")
+def periods(spark: SparkSession, folder: str) -> DataFrame:
+    """The strongest repetition of each signal, taken as levels every 10 samples; none without a real peak."""
+    found = each_signal(signals(spark, folder), lambda x: [dsp.period(x, 10, RATE)], "period double, strength double")
+    return found.select("user_id", F.when(~F.isnan("period"), F.col("period")).cast("long").alias("period"), C.half_up(F.col("strength"), 6).alias("strength"))
+
+
 @register("loop_suggestions")
 def loop_suggestions(spark: SparkSession, folder: str) -> DataFrame:
     """A loop region for each file; periods and prominences are beyond SQL, and tests hold them against plain signals."""
