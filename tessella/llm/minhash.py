@@ -41,7 +41,7 @@ SKETCH_BITS, SKETCH_LEAST = 128, 0.45
 #: Neighbours that are confirmed first for each class, the most alike ones; of the others only those that would join components.
 FIRST = 4
 #: Classes, and shingles, of one side of a block.
-BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1 << 20, 8192
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1 << 20, 8192
 
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
