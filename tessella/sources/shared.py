@@ -13,7 +13,7 @@ LOCAL_SHARED = "/tmp/checkpoints/tessella"
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one; it goes when the driver ends."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     out = f"{(named or LOCAL_SHARED).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(out)
