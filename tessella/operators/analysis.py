@@ -123,15 +123,21 @@ def analysed(files: DataFrame, loudness: bool = True) -> DataFrame:
 
 
 def envelope(files: DataFrame) -> DataFrame:
-    """Level series for a graph: frames of 20 ms, longer in long files, so that at most 8,000 stand for a file."""
+    """Level series for a graph: frames of 20 ms, longer in long files, so that at most 8,000 stand for a file.
+
+    ``peak_db`` is the greatest level that is above the floor.
+    """
 
     def one(path, row):
         x, rate = load(path)
         if not rate:
             return []
         seconds = max(dsp.FRAME_S, len(x) / max(rate, 1) / 8000)
-        levels = dsp.frame_levels(dsp.mono(x), max(1, int(rate * seconds)), keep_tail=True) if len(x) else np.array([FLOOR_DB])
-        return [(row.path, np.round(levels, 1), seconds, rate, len(x) / max(rate, 1), dsp.peak_level(x))]
+        frame = max(1, int(rate * seconds))
+        levels = dsp.frame_levels(dsp.mono(x), frame, keep_tail=True) if len(x) else np.array([FLOOR_DB])
+        levels = np.maximum(levels, FLOOR_DB)
+        heard = levels[levels > FLOOR_DB + 1]
+        return [(row.path, levels, frame / rate, rate, len(x) / rate, round(float(heard.max()), 2) if len(heard) else FLOOR_DB)]
 
     return per_file(files.select("path", "uri"), one, "path string, levels array<double>, frame_s double, sample_rate int, duration double, peak_db double")
 
@@ -143,13 +149,16 @@ def long_form(levels: DataFrame) -> DataFrame:
 
 
 def chops(levels: DataFrame, gap_s: float = 1.5, sound_s: float = 0.3) -> DataFrame:
-    """(path, silence_db, min_gap_s, min_sound_s, chops): the suggested threshold of each file, and the sounds it gives."""
-    rows = long_form(levels).withColumn("level", F.greatest("level", F.lit(-100.0)))
-    suggested = segments.suggest_threshold(rows, ["path"], F.col("peak_db"))
+    """(path, silence_db, min_gap_s, min_sound_s, chops, continuous): the suggested threshold of each file, to one decimal, and
+    the sounds it gives. A file of at most one sound is continuous: one piece, without parameters."""
+    rows = long_form(levels).withColumn("level", F.greatest("level", F.lit(FLOOR_DB)))
+    suggested = segments.suggest_threshold(rows, ["path"]).withColumn("threshold", F.bround("threshold", 1))
     every = rows.join(suggested, "path")
     found = segments.gap_segments(every, ["path"], F.col("threshold"), segments.frames_of(F.lit(gap_s), F.col("frame_s")), F.lit(sound_s) / F.col("frame_s"))
-    number = suggested.join(found.groupBy("path").agg(F.count("*").alias("chops")), "path", "left")
-    return number.select("path", F.col("threshold").alias("silence_db"), F.lit(gap_s).alias("min_gap_s"), F.lit(sound_s).alias("min_sound_s"), F.coalesce("chops", F.lit(0)).cast("int").alias("chops"))
+    number = suggested.join(found.groupBy("path").agg(F.count("*").alias("_n")), "path", "left")
+    several = F.coalesce("_n", F.lit(0)) > 1
+    values = {"silence_db": F.col("threshold"), "min_gap_s": F.lit(gap_s), "min_sound_s": F.lit(sound_s)}
+    return number.select("path", *(F.when(several, x).alias(c) for c, x in values.items()), F.when(several, F.col("_n")).otherwise(1).cast("int").alias("chops"), (~several).alias("continuous"))
 
 
 def fingerprints(files: DataFrame) -> DataFrame:

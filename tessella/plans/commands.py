@@ -81,14 +81,15 @@ def execute(library: Library, a: argparse.Namespace) -> dict:
     if a.command == "explore_gaps":
         levels = analysis.analysed(library.uris(catalog.first_with_prefix(library.table("catalog"), a.target)))
         rows = analysis.long_form(levels)
-        found = segments.sweep(rows.select("path", "idx", "level"), ["path"], levels.select("path", F.col("peak_db").alias("peak")), 0.02, a.sound)
+        found = segments.sweep(rows.select("path", "idx", "level"), ["path"], rows.where("level > -99").groupBy("path").agg(F.max("level").alias("peak")), 0.02, a.sound)
         return {"ok": True, "sweep": [r.asDict() for r in found.orderBy("path", "threshold_kind", "gap_s").collect()]}
     file = one_file(library, a.target)
     if a.command == "envelope":
         levels = analysis.envelope(file)
         row = levels.first().asDict()
-        suggested = segments.suggest_threshold(analysis.long_form(levels), ["path"], F.col("peak_db")).first()
-        return {"ok": True, **row, "n": len(row["levels"]), "floor_db": -100.0, "suggested_db": suggested["threshold"]}
+        suggested = segments.suggest_threshold(analysis.long_form(levels), ["path"]).first()
+        shown = {"levels": [round(x, 1) for x in row["levels"]], "n": len(row["levels"])}
+        return {"ok": True, **row, **shown, "floor_db": round(min(row["levels"]), 2), "suggested_db": round(suggested["threshold"], 1)}
     if a.command == "loopfind":
         return {"ok": True, **analysis.loops(file, a.min_s).first().asDict()}
     if a.command == "chop":

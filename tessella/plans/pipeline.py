@@ -51,7 +51,12 @@ class Library:
         without being read."""
         chopping, loudness = self.table("chopping"), self.table("loudness")
         wanted = [t for name, t in (("chopping", chopping), ("loudness", loudness)) if only in (None, name)]
-        work = catalog.work_list(self.table("catalog"), *(wanted if only_missing else []), min_duration=min_duration)
+        records = self.table("catalog")
+        if only == "chopping" and not only_missing and paths is None:  # what has its size and these parameters stays, with its manual edits
+            records = catalog.stale(records, chopping, {"min_gap_s": F.lit(gap_s), "min_sound_s": F.lit(sound_s)})
+        if only == "loudness" and not only_missing and paths is None:
+            records = catalog.stale(records, loudness.withColumn("continuous", F.lit(False)), {})
+        work = catalog.work_list(records, *(wanted if only_missing else []), min_duration=min_duration)
         work = catalog.targeted(work, paths) if paths is not None else work
         short = F.col("continuous")
         levels = analysis.analysed(self.uris(work.where(~short)), loudness=only != "chopping")
@@ -60,7 +65,7 @@ class Library:
         stores.write_table(levels, stored)
         levels = stores.read_table(self.spark, stored, analysis.LEVELS).where("error IS NULL")
         if only != "loudness":
-            made = analysis.chops(levels, gap_s, sound_s).withColumn("continuous", F.lit(False)).join(sizes, "path")
+            made = analysis.chops(levels, gap_s, sound_s).join(sizes, "path")
             brief = work.where(short).drop("continuous").select("path", *(F.lit(None).cast("double").alias(c) for c in ("silence_db", "min_gap_s", "min_sound_s")), F.lit(1).alias("chops"), F.lit(True).alias("continuous"), "size")
             self.put("chopping", edits.analysed_chop(chopping, made.unionByName(brief).select(*chopping.columns)))
         if only != "chopping":

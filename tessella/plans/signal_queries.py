@@ -101,31 +101,31 @@ def wav_loudness(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register("wav_envelope", f"""
-WITH {LEVELS.strip()} SELECT path, idx, floor(({db("ms", "1e-9")}) * 10 + 0.5) / 10 AS level FROM frames f JOIN file USING (user_id)
+WITH {LEVELS.strip()} SELECT path, idx, floor(greatest({db("ms", "1e-9")}, -100.0) * 10 + 0.5) / 10 AS level FROM frames f JOIN file USING (user_id)
 """)
 def wav_envelope(spark: SparkSession, folder: str) -> DataFrame:
     """Envelopes for graphs: the tail frame counts."""
-    return analysis.long_form(analysis.envelope(library(spark, folder)[1])).select("path", "idx", "level")
+    found = analysis.long_form(analysis.envelope(library(spark, folder)[1]))
+    return found.select("path", "idx", C.half_up(F.greatest("level", F.lit(-100.0)), 1).alias("level"))
 
 
 @register("wav_chops", f"""
 WITH {LEVELS.strip()},
 series AS (SELECT user_id, idx, greatest({db("ms", "1e-9")}, -100.0::DOUBLE) AS level FROM frames WHERE n = 20),
-peaks AS (SELECT user_id, floor(20.0::DOUBLE * log10(greatest(max(abs(x)), 1e-12::DOUBLE)) * 100 + 0.5) / 100 AS peak FROM pcm GROUP BY user_id),
-usable AS (SELECT user_id, level FROM series WHERE level > -99), totals AS (SELECT user_id, count(*) AS n, any_value(peak) AS peak FROM usable JOIN peaks USING (user_id) GROUP BY user_id),
+usable AS (SELECT user_id, level FROM series WHERE level > -99), totals AS (SELECT user_id, count(*) AS n, max(level) AS peak FROM usable GROUP BY user_id),
 bins AS (SELECT user_id, least(floor(level)::INT + 90, 89) AS bin, count(*) AS n FROM usable WHERE level BETWEEN -90 AND 0 GROUP BY 1, 2),
 dense AS (SELECT t.user_id, s.bin, coalesce(b.n, 0) AS n FROM totals t CROSS JOIN (SELECT unnest(range(90)) AS bin) s LEFT JOIN bins b ON b.user_id = t.user_id AND b.bin = s.bin),
 smooth AS (SELECT user_id, bin - 89.5::DOUBLE AS centre, sum(n) OVER (PARTITION BY user_id ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS three FROM dense),
 best AS (SELECT s.user_id, count(*) AS candidates, arg_min(struct_pack(three := three, centre := centre), three * 1000 + centre + 100) AS b FROM smooth s JOIN totals t ON s.user_id = t.user_id WHERE centre >= -70 AND centre <= peak - 10 GROUP BY s.user_id),
-limits AS (SELECT t.user_id, CASE WHEN coalesce(candidates, 0) < 3 THEN least(greatest(least(-60.0::DOUBLE, peak - 15), -68), -50) WHEN b.three <= 0.006::DOUBLE * n THEN least(greatest(b.centre, -68), -50) ELSE -60.0::DOUBLE END AS threshold FROM totals t LEFT JOIN best USING (user_id)),
+limits AS (SELECT t.user_id, round_even(CASE WHEN coalesce(candidates, 0) < 3 THEN least(greatest(least(-60.0::DOUBLE, peak - 15), -68), -50) WHEN b.three <= 0.006::DOUBLE * n THEN least(greatest(b.centre, -68), -50) ELSE -60.0::DOUBLE END, 1) AS threshold FROM totals t LEFT JOIN best USING (user_id)),
 every AS (SELECT s.user_id, idx, level, threshold FROM series s JOIN limits l ON s.user_id = l.user_id),
 {segments_sql("user_id", "every", "threshold", "2", "1.0")}
-SELECT path, threshold AS silence_db, count(f.user_id)::INT AS chops FROM limits l JOIN file USING (user_id) LEFT JOIN found f ON f.user_id = l.user_id GROUP BY path, threshold
+SELECT path, CASE WHEN count(f.user_id) > 1 THEN threshold END AS silence_db, greatest(count(f.user_id), 1)::INT AS chops, count(f.user_id) <= 1 AS continuous FROM limits l JOIN file USING (user_id) LEFT JOIN found f ON f.user_id = l.user_id GROUP BY path, threshold
 """)
 def wav_chops(spark: SparkSession, folder: str) -> DataFrame:
     """A threshold for each file, and how many sounds it gives."""
     levels = analysis.analysed(library(spark, folder)[1])
-    return analysis.chops(levels, 0.04, 0.02).select("path", "silence_db", "chops")
+    return analysis.chops(levels, 0.04, 0.02).select("path", "silence_db", "chops", "continuous")
 
 
 @register("wav_pieces", f"""

@@ -85,7 +85,7 @@ def test_vectors_and_search(library, capsys):
     code, found = run("loopfind", next(p for p in paths if p.endswith("noise.wav")), "--min-s", "1")
     assert found["ok"] and found["end_s"] - found["start_s"] >= 1
     code, found = run("envelope", tone_path)
-    assert found["n"] == 50 and found["peak_db"] == pytest.approx(-6.02, abs=0.2)
+    assert found["n"] == 50 and found["peak_db"] == pytest.approx(-9.03, abs=0.2)
     code, found = run("explore_gaps", "bursts")
     assert len(found["sweep"]) == 15 and {r["sounds"] for r in found["sweep"] if r["gap_s"] == 1.0} == {3}
     code, found = run("similar", "nowhere.wav")
@@ -129,7 +129,7 @@ def test_other_formats_are_decoded_or_fail(spark, tmp_path, capsys):
     assert code == 1 and not found["ok"]
     assert sorted(p.name for p in folder.iterdir()) == ["rain.mp3", "tone.wav"] and small.table("catalog").count() == 2
     stub = tmp_path / "soundfile.py"
-    stub.write_text("import numpy as np\nclass info:\n    frames, samplerate = 200, 8000\n    def __init__(self, path): pass\ndef blocks(path, blocksize, dtype, always_2d):\n    yield read(path, dtype, True)[0]\ndef read(path, dtype, always_2d):\n    return np.array([[0.5, -2.0], [1.0, 0.0]] * 100), 8000\n")
+    stub.write_text("import numpy as np\nclass info:\n    frames, samplerate, duration, subtype, channels = 200, 8000, 0.025, 'PCM_16', 2\n    def __init__(self, path): pass\ndef blocks(path, blocksize, dtype, always_2d):\n    yield read(path, dtype, True)[0]\ndef read(path, dtype, always_2d):\n    return np.array([[0.5, -2.0], [1.0, 0.0]] * 100), 8000\n")
     spark.sparkContext.addPyFile(str(stub))
     try:
         code, found = run("rain.mp3")
@@ -265,6 +265,10 @@ def test_progress_and_cancellation(library, tmp_path, capsys):
     assert commands.main(["loudness", library.root, library.store, "--paths", str(paths), "--renames"], library.spark) == 0
     found = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert found["analysed"] == 1 and found["renames"] == []
+    # What has its size and these parameters is not analysed again.
+    library.analyse(only="chopping")
+    assert library.analyse(only="chopping")["analysed"] == 0 and library.analyse(only="loudness")["analysed"] == 0
+    assert library.analyse(gap_s=2.5, only="chopping")["analysed"] > 0
 
 
 def test_audio_text_model(library, tmp_path, capsys):
