@@ -198,26 +198,28 @@ def chop_files(files: DataFrame) -> DataFrame:
     return per_file(files.select("path", "uri", "segments"), one, "parent string, uri string, content binary")
 
 
-def loop_files(files: DataFrame) -> DataFrame:
-    """(parent, uri, content) of 16-bit loops; ``files`` has start_s, end_s, crossfade_ms and curve."""
+def loop_files(files: DataFrame, whole: bool = False) -> DataFrame:
+    """(parent, uri, content) of 16-bit loops; ``files`` has start_s, end_s, crossfade_ms and curve. ``whole`` as in ``preview_clips``."""
 
     def one(path, row):
         x, rate = load(path)
-        region = dsp.pieces(x, rate, [(row.start_s, row.end_s)])
-        return [(row.path, numbered(row.uri, "_loop.wav"), wav_bytes(dsp.crossfade_loop(r, round(row.crossfade_ms / 1000 * rate), row.curve), rate)) for r in region]
+        found = dsp.loops(x, rate, [(row.start_s, row.end_s)], round(row.crossfade_ms / 1000 * rate), row.curve, whole)
+        return [(row.path, numbered(row.uri, "_loop.wav"), wav_bytes(y, rate)) for y in found]
 
     return per_file(files.select("path", "uri", "start_s", "end_s", "crossfade_ms", "curve"), one, "parent string, uri string, content binary")
 
 
-def preview_clips(files: DataFrame) -> DataFrame:
-    """(path, rate, channels, frames, content): 16-bit samples to listen to; ``files`` has segments and crossfade_ms (null: no loop)."""
+def preview_clips(files: DataFrame, whole: bool = False) -> DataFrame:
+    """(path, rate, channels, frames, content): 16-bit samples to listen to; ``files`` has segments and crossfade_ms (null: no loop).
+
+    ``whole``: loops have the length of their region also in files that end before it (``dsp.loops``)."""
 
     def one(path, row):
         x, rate = load(path)
         if not len(x):
             return []
         fade = None if pd.isna(row.crossfade_ms) else float(row.crossfade_ms)
-        clip = dsp.preview_clip(x, rate, [(s["start"], s["end"]) for s in row.segments], fade)
+        clip = dsp.preview_clip(x, rate, [(s["start"], s["end"]) for s in row.segments], fade, whole=whole)
         return [(row.path, rate, x.shape[1], len(clip), clip.astype("<i2").tobytes())]
 
     return per_file(files.select("path", "uri", "segments", "crossfade_ms"), one, "path string, rate int, channels int, frames int, content binary")

@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tessella.functions import dsp
 from tessella.plans import signal_queries as _registered  # noqa: F401
 from tessella.plans import registry
 
@@ -31,3 +32,21 @@ def equals_sql(spark, folder, name, *tables):
 
 def test_crossfades_of_short_signals(spark, signals):
     equals_sql(spark, signals, "crossfades", "events")
+
+
+def test_loops_keep_their_length_where_the_signal_ends():
+    x = np.arange(1.0, 101.0)[:, None]
+    ends = [(0, 8), (0, 4)]
+    for a, b in zip(dsp.loops(x, 10, ends, 10), (x[:80], x[:40])):
+        np.testing.assert_array_equal(a, dsp.crossfade_loop(b, 10))
+    assert [len(y) for y in dsp.loops(x, 10, [(2, 11), (3, 3), (2, 20)], 20)] == [60, 60]
+    part, lacking = dsp.loops(x, 10, [(2, 11), (2, 20)], 20, whole=True)
+    np.testing.assert_array_equal(part, dsp.crossfade_loop(x[20:], 10))  # of the 20 samples behind the loop, 10 are there
+    assert len(lacking) == 160 and (lacking[:80] == x[20:]).all() and not lacking[80:].any()
+    np.testing.assert_array_equal(dsp.loops(x, 10, [(2, 8)], 10, whole=True)[0], dsp.crossfade_loop(x[20:80], 10))
+    assert len(dsp.pieces(x, 10, [(2, float("inf"))])[0]) == 80
+
+
+def test_clips_of_short_and_long_signals(spark, signals):
+    equals_sql(spark, signals, "preview_clips", "events")
+    equals_sql(spark, signals, "previews", "events")
