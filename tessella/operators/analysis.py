@@ -24,16 +24,26 @@ FLOOR_DB = -100.0
 LEVELS = "path string, levels array<double>, frame_s double, sample_rate int, duration double, lufs double, peak_db double, error string"
 
 
+#: Values (of arrays), or bytes, of output rows that are handed on together.
+TOGETHER = 1 << 20
+
+
 def per_file(df: DataFrame, function: Callable[[str, pd.Series], list[tuple]], schema: str) -> DataFrame:
-    """``function(path on disk, row)`` gives the output rows of each row of ``df``."""
+    """``function(path on disk, row)`` gives the output rows of each row of ``df``; those of small files are handed on together."""
     names = [f.strip().split(" ")[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
+            waiting, size = [], 0
             for row in rows.itertuples(index=False):
                 found = function(local(row.uri), row)
-                if found:
-                    yield pd.DataFrame(found, columns=names)
+                waiting += found
+                size += sum(len(v) for r in found for v in r if isinstance(v, (bytes, list, np.ndarray)))
+                if size >= TOGETHER:
+                    yield pd.DataFrame(waiting, columns=names)
+                    waiting, size = [], 0
+            if waiting:
+                yield pd.DataFrame(waiting, columns=names)
 
     return df.mapInPandas(run, schema)
 

@@ -71,11 +71,17 @@ def loop_spec(segments: Column, frame_s: Column) -> Column:
     return F.when(F.size(segments) == 1, F.struct((one["start"] * frame_s).alias("start_s"), (one["end"] * frame_s).alias("end_s")))
 
 
+def _in_histogram() -> Column:
+    return (F.col("level") >= FLOOR_DB) & (F.col("level") <= 0)
+
+
+def _bin() -> Column:
+    return F.least(F.floor(F.col("level")) - FLOOR_DB, F.lit(-FLOOR_DB - 1)).cast("int")
+
+
 def histogram(series: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, bin, n): whole decibels from -90 to 0, bins 0..89; 0 dB is in the last bin, what is outside is left out."""
-    inside = series.where((F.col("level") >= FLOOR_DB) & (F.col("level") <= 0))
-    bin_ = F.least(F.floor(F.col("level")) - FLOOR_DB, F.lit(-FLOOR_DB - 1)).cast("int")
-    return inside.groupBy(*keys, bin_.alias("bin")).agg(F.count("*").alias("n"))
+    return series.where(_in_histogram()).groupBy(*keys, _bin().alias("bin")).agg(F.count("*").alias("n"))
 
 
 def suggest_threshold(series: DataFrame, keys: list[str], peak: Column | None = None) -> DataFrame:
@@ -84,15 +90,17 @@ def suggest_threshold(series: DataFrame, keys: list[str], peak: Column | None =
     Series without a frame over -99 dB get the default. The smoothed histogram is the sum of three bins with nothing
     beyond the ends. ``peak``: a column of the series (constant in it), or the greatest level.
     """
-    usable = series.where("level > -99")
-    totals = usable.groupBy(*keys).agg(F.count("*").alias("_n"), (F.max(peak) if peak is not None else F.max("level")).alias("_peak"))
-    spine = totals.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(-FLOOR_DB - 1))).alias("bin"))
-    dense = spine.join(histogram(usable, keys), [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    three = Window.partitionBy(*keys).orderBy("bin").rowsBetween(-1, 1)
-    smooth = dense.withColumn("_three", F.sum("n").over(three)).withColumn("_centre", F.col("bin") + (FLOOR_DB + 0.5))
-    candidates = smooth.join(totals, keys).where((F.col("_centre") >= LOW_DB) & (F.col("_centre") <= F.col("_peak") - HEADROOM_DB))
-    best = candidates.groupBy(*keys).agg(F.count("*").alias("_some"), F.min(F.struct("_three", "_centre")).alias("_best"))
-    joined = series.select(*keys).distinct().join(totals, keys, "left").join(best, keys, "left")
+    usable, level = F.col("level") > -99, F.col("level")
+    # One pass: the bins of a series are counted before they come together, ninety at most.
+    binned = F.when(usable & _in_histogram(), _bin())
+    counted = series.groupBy(*keys, binned.alias("_bin")).agg(F.count_if(usable).alias("_n"), F.max(F.when(usable, level if peak is None else peak)).alias("_peak"))
+    bins = F.collect_list(F.when(F.col("_bin").isNotNull(), F.struct("_bin", "_n")))
+    joined = counted.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.max("_peak").alias("_peak"), F.map_from_entries(bins).alias("_bins"))
+    of = lambda b: F.coalesce(F.col("_bins")[b], F.lit(0).cast("long"))
+    spine = F.sequence(F.lit(0), F.lit(-FLOOR_DB - 1))
+    smooth = F.transform(spine, lambda b: F.struct((of(b - 1) + of(b) + of(b + 1)).alias("_three"), (b + F.lit(FLOOR_DB + 0.5)).alias("_centre")))
+    joined = joined.withColumn("_candidates", F.filter(smooth, lambda c: (c["_centre"] >= LOW_DB) & (c["_centre"] <= F.col("_peak") - HEADROOM_DB)))
+    joined = joined.withColumns({"_n": F.nullif("_n", F.lit(0)), "_some": F.size("_candidates"), "_best": F.array_min("_candidates")})
     clip = lambda x: F.least(F.greatest(x, F.lit(CLIP[0])), F.lit(CLIP[1]))
     few = clip(F.least(F.lit(DEFAULT_DB), F.col("_peak") - 15.0))
     valley = F.when(F.col("_best._three") <= F.col("_n") * EMPTY_SHARE, clip(F.col("_best._centre"))).otherwise(F.lit(DEFAULT_DB))

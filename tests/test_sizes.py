@@ -54,3 +54,70 @@ def test_clips_of_short_and_long_signals(spark, signals):
 
 def test_pieces_of_short_and_long_signals(spark, signals):
     equals_sql(spark, signals, "wav_pieces", "events")
+
+
+def test_small_files_are_read_once_and_together(spark, signals, tmp_path):
+    from tessella.operators import analysis
+    from tessella.sources import audio
+
+    for k in range(1200):
+        (tmp_path / f"u{k}.wav").write_bytes(audio.wav_bytes(np.full(20, (k + 1) / 2000), 1000))
+    files = audio.scan(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and files.count() == 1200
+    out, sizes = analysis.per_file(files.coalesce(1), lambda path, row: [(row.path,)], "path string"), []
+
+    def frames(batches):
+        for rows in batches:
+            yield pd.DataFrame({"n": [len(rows)]})
+
+    assert out.distinct().count() == 1200
+    sizes = [r.n for r in out.mapInPandas(frames, "n long").collect()]
+    assert sum(sizes) == 1200 and len(sizes) < 12
+    found = analysis.analysed(files, loudness=False)
+    assert found.where("size(levels) = 1 AND error IS NULL").count() == 1200
+
+
+def test_files_of_chops_are_read_once(spark, signals):
+    calls = spark.sparkContext.accumulator(0)
+    from tessella.operators import analysis
+
+    plain = analysis.per_file
+
+    def counted(df, function, schema):
+        def one(path, row):
+            calls.add(1)
+            return function(path, row)
+
+        return plain(df, one, schema)
+
+    analysis.per_file = counted
+    try:
+        equals_sql(spark, signals, "wav_chops", "events")
+    finally:
+        analysis.per_file = plain
+    assert calls.value == 5
+
+
+def test_threshold_counts_bins_in_one_pass(spark):
+    from tessella.operators import segments
+
+    rng = np.random.default_rng(3)
+    lists = [rng.uniform(-110, 5, 400).tolist(), [-99.5, -100.0], [*rng.normal(-20, 3, 200), *rng.normal(-80, 3, 200)], [-45.0] * 3, [*rng.normal(-20, 3, 300), *rng.normal(-63, 1, 100)]]
+    series = spark.createDataFrame([(k, i, float(v)) for k, x in enumerate(lists) for i, v in enumerate(x)], "path long, idx long, level double")
+
+    def expected(x):
+        usable = [v for v in x if v > -99]
+        if not usable:
+            return -60.0
+        n = np.bincount([min(int(np.floor(v)) + 90, 89) for v in usable if -90 <= v <= 0], minlength=90)
+        three = np.convolve(n, [1, 1, 1], "same")
+        found = sorted((int(t), b - 89.5) for b, t in enumerate(three) if -70 <= b - 89.5 <= max(usable) - 10)
+        clip = lambda v: min(max(v, -68.0), -50.0)
+        if len(found) < 3:
+            return clip(min(-60.0, max(usable) - 15))
+        return clip(found[0][1]) if found[0][0] <= 0.006 * len(usable) else -60.0
+
+    found = segments.suggest_threshold(series, ["path"])
+    assert {r.path: r.threshold for r in found.collect()} == {k: expected(x) for k, x in enumerate(lists)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
