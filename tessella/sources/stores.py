@@ -8,6 +8,7 @@ it is kept, and stands in where the current one can't be read.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -93,8 +94,39 @@ def read_table(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+#: What a catalog file of this program begins with, up to its first record; each other record has a line of its own.
+HEAD = r'^\{"library_root": "(?:[^"\\]|\\.)*", "generated": "(?:[^"\\]|\\.)*", "count": [0-9]+, "files": \['
+#: Bytes of a file in which its head must end.
+HEAD_BYTES = 1 << 16
+
+
+def _catalog_head(spark: SparkSession, path: str) -> dict | None:
+    """What stands before the records of a catalog file that has them in lines of their own; None for other files."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p) or fs.getFileStatus(p).isDirectory():
+        return None
+    stream = fs.open(p)
+    try:
+        whole = fs.getFileStatus(p).getLen()
+        start = bytes(stream.readNBytes(HEAD_BYTES)).decode("utf-8", "ignore")
+        stream.seek(max(0, whole - 3))
+        end = bytes(stream.readNBytes(3))
+    finally:
+        stream.close()
+    found = re.match(HEAD, start)
+    return json.loads(found[0] + "]}") if found and end == b"\n]}" else None
+
+
 def read_catalog_json(spark: SparkSession, path: str) -> DataFrame:
-    """A catalog file {library_root, generated, count, files}; numbers get their types from the schema."""
+    """A catalog file {library_root, generated, count, files}; numbers get their types from the schema.
+
+    What ``write_catalog_json`` has written is read by lines, so any number of tasks share it. Of other files there is
+    no place to start in but the first, and one task reads them.
+    """
+    if _catalog_head(spark, path):
+        value = F.regexp_replace(F.regexp_replace("value", HEAD, ""), "^,", "")
+        lines = spark.read.option("lineSep", "\n").text(path).where("value <> ']}'")
+        return lines.select(F.from_json(value, CATALOG).alias("r")).select("r.*")
     raw = spark.read.schema(f"files array<struct<{', '.join(f.strip().replace(' ', ': ', 1) for f in CATALOG.split(','))}>>").json(path, multiLine=True)
     return raw.select(F.inline("files"))
 
@@ -124,7 +156,7 @@ def write_catalog_json(catalog: DataFrame, path: str, root: str, scanned: bool =
     seen = Observation()
     record = F.concat(F.lit(","), F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).alias("value")
     clean.select(record).observe(seen, F.count("*").alias("n")).write.mode("overwrite").text(rows)
-    before = None if scanned else spark.read.json(path, multiLine=True, schema="generated string").first() if _read_text(spark, path) else None
+    before = None if scanned else _catalog_head(spark, path) or _generated(spark, path)
     stamp = before["generated"] if before and before["generated"] else spark.sql("SELECT date_format(current_timestamp(), 'yyyy-MM-dd HH:mm:ss')").first()[0]
     fs, _ = _fs(spark, path)
     _, beside = _fs(spark, path + ".tmp")
@@ -145,6 +177,13 @@ def write_catalog_json(catalog: DataFrame, path: str, root: str, scanned: bool =
     replace(spark, path + ".tmp", path)
 
 
+def _generated(spark: SparkSession, path: str) -> dict | None:
+    """The time of a catalog file of any form."""
+    fs, p = _fs(spark, path)
+    found = spark.read.json(path, multiLine=True, schema="generated string").first() if fs.exists(p) and fs.getFileStatus(p).getLen() else None
+    return found.asDict() if found else None
+
+
 def read_vectors(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
     """A vector store (path, vector, model) in Parquet, or in a NumPy archive of an older installation."""
     if not path.endswith(".npz"):

@@ -1,5 +1,7 @@
 """Queries over signals and tables of sizes that the small tables do not have."""
 
+import json
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -121,3 +123,33 @@ def test_threshold_counts_bins_in_one_pass(spark):
     assert {r.path: r.threshold for r in found.collect()} == {k: expected(x) for k, x in enumerate(lists)}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_a_catalog_file_is_read_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessella import schema
+    from tessella.sources import stores
+
+    kinds = dict(f.strip().split(" ") for f in schema.CATALOG.split(","))
+    values = {"path": F.concat(F.lit("ä/"), F.col("id").cast("string")), "filename": F.lit('"files": [{"'), "size": F.col("id"), "description": F.lit(']}, {"library_root": "x"} \x85')}
+    rows = spark.range(3000).select(*(values.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+    target, size = str(tmp_path / "index.json"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    expected = sorted(map(tuple, rows.collect()))
+    stores.write_catalog_json(rows, target, 'a "root"\\ä')
+    (tmp_path / "old.json").write_text(json.dumps(json.loads((tmp_path / "index.json").read_text())))  # of an older program: one line
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        back = stores.read_catalog_json(spark, target)
+        assert back.rdd.getNumPartitions() > 4
+        assert sorted(map(tuple, back.collect())) == expected
+        old = stores.read_catalog_json(spark, str(tmp_path / "old.json"))
+        assert old.columns == back.columns and sorted(map(tuple, old.collect())) == expected
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    text = (tmp_path / "index.json").read_text()
+    stores.write_text(spark, target, text.replace(json.loads(text)["generated"], "2001-02-03 04:05:06"))
+    for root in ("/a", "/b"):
+        stores.write_catalog_json(rows.limit(2), target, root)
+        kept = json.loads((tmp_path / "index.json").read_text())
+        assert (kept["generated"], kept["count"], kept["library_root"], len(kept["files"])) == ("2001-02-03 04:05:06", 2, root, 2)
