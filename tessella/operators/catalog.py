@@ -51,11 +51,15 @@ def split_reused(files: DataFrame, cache: DataFrame, key: str = "path") -> DataF
 
 
 def incremental(files: DataFrame, cache: DataFrame, parse, key: str = "path", full: bool = False) -> DataFrame:
-    """The new catalog: cached records of unchanged files, ``parse`` of the others; files that are gone drop out."""
+    """The new catalog: cached records of unchanged files, ``parse`` of the others; files that are gone drop out.
+
+    A file is unchanged where path, size and mtime are, so each side is one join on the three.
+    """
     if full:
         return parse(files)
-    split = split_reused(files, cache, key)
-    return cache.join(split.where("reused").select(key), key, "left_semi").unionByName(parse(split.where("NOT reused").drop("reused")), allowMissingColumns=True)
+    same = [key, "size", "mtime"]
+    kept = cache.join(files.select(*same), same, "left_semi").select(*cache.columns)
+    return kept.unionByName(parse(files.join(cache.select(*same), same, "left_anti").select(*files.columns)), allowMissingColumns=True)
 
 
 def changed(parsed: DataFrame, cache: DataFrame, now: DataFrame) -> DataFrame:

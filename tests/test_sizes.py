@@ -153,3 +153,17 @@ def test_a_catalog_file_is_read_by_many_tasks(spark, tmp_path):
         stores.write_catalog_json(rows.limit(2), target, root)
         kept = json.loads((tmp_path / "index.json").read_text())
         assert (kept["generated"], kept["count"], kept["library_root"], len(kept["files"])) == ("2001-02-03 04:05:06", 2, root, 2)
+
+
+def test_an_incremental_scan_joins_each_side_once(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.operators import catalog
+
+    kind = "path string, size long, mtime double"
+    files = spark.createDataFrame([("same", 1, 1.0), ("size", 2, 1.0), ("mtime", 1, 2.0), ("new", 1, 1.0), ("null", None, 1.0), ("twice", 3, 3.0)], kind)
+    cache = spark.createDataFrame([("same", 1, 1.0), ("size", 1, 1.0), ("mtime", 1, 1.0), ("gone", 1, 1.0), ("null", None, 1.0), ("twice", 3, 3.0), ("twice", 4, 3.0)], kind).withColumn("value", F.lit("cached"))
+    now = catalog.incremental(files, cache, lambda some: some.withColumn("value", F.lit("parsed")))
+    assert sorted((r.path, r.size, r.value) for r in now.collect() if r.path != "null") == [("mtime", 1, "parsed"), ("new", 1, "parsed"), ("same", 1, "cached"), ("size", 2, "parsed"), ("twice", 3, "cached")]
+    assert [r.value for r in now.where("path = 'null'").collect()] == ["parsed"]
+    assert now._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
